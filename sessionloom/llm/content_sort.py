@@ -115,7 +115,7 @@ def content_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), normalised(F.col(text)).alias("norm"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    heads_type = T.StructType([T.StructField("run", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("edge", T.BooleanType()), T.StructField("text", T.StringType()), rows.schema["row"]])
+    heads_type = T.StructType([T.StructField("run", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("edge", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("row", rows.schema["row"].dataType, True)])
     n_range = shuffle_partitions(docs.sparkSession)
     # The normalised text decides the order but is not shipped: a task derives it from the row again.
     norm = normalised(F.col(f"row.`{text}`"))
