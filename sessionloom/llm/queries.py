@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, content_sort, langid, mixing
+from . import bpe, chat, content_sort, forest, gru, langid, minhash, mixing, templates, warc
 from .common import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -40,6 +40,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+def op4_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op5_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.i >= 85 * (x.n + y.n - o.i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c ON c.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(table(spark, sf_dir, "documents"))
 
@@ -59,11 +91,34 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines_dropped", F.length("text").cast("long").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT *, string_split(m, ' ') AS toks FROM l),
+k AS (SELECT m, len(any_value(toks)) AS n, array_to_string((any_value(toks))[1:3], ' ') AS lead, any_value(toks) AS toks, count(DISTINCT doc_id) AS docs FROM t WHERE len(toks) >= 5 GROUP BY m),
+busy AS (SELECT n, lead, sum(docs) AS weight FROM k GROUP BY n, lead HAVING sum(docs) >= 10),
+p AS (SELECT k.m, k.n, k.lead, k.docs, b.weight, unnest(k.toks) AS tok, unnest(range(len(k.toks))) AS pos FROM k JOIN busy b USING (n, lead)),
+h0 AS (SELECT n, lead, pos, tok, sum(docs) AS has FROM p WHERE tok <> '<*>' GROUP BY n, lead, pos, tok HAVING sum(docs) >= 0.5 * max(weight)),
+h AS (SELECT n, lead, pos, tok FROM h0 QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY has DESC, tok) = 1),
+q AS (SELECT p.m, p.n, p.lead, p.docs FROM p JOIN h USING (n, lead, pos, tok) GROUP BY ALL HAVING count(*) >= 0.6 * p.n),
+r AS (SELECT m FROM q JOIN (SELECT n, lead FROM q GROUP BY n, lead HAVING sum(docs) >= 10) USING (n, lead)),
+g AS (SELECT t.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (r.m IS NULL) AS rest, count(r.m) AS lines_dropped FROM t LEFT JOIN r ON r.m = t.m GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(g.lines_dropped, 0) AS lines_dropped, length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.rest, '') END) AS chars_left,
+  sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.rest, '') END) AS text_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_chat_formatting": op1_chat_formatting,
-    "op2_byte_bpe": op2_byte_bpe,
-    "op7_content_sort": op7_content_sort,
-    "op8_language_id": op8_language_id,
-    "op9_mixing": op9_mixing,
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_byte_bpe, op3_warc_derivatives, op4_forest_neighbours, op5_gru_scoring,
+        op6_minhash, op7_content_sort, op8_language_id, op9_mixing, op10_log_templates,
+    )
 }
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op7_content_sort": OP7_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op6_minhash": OP6_SQL, "op7_content_sort": OP7_SQL, "op10_log_templates": OP10_SQL}
