@@ -1,13 +1,13 @@
 """Near-duplicate components by b-bit MinHash, links confirmed on full shingle sets.
 
 1. Every text becomes the set of its 5-word shingles (64-bit hashes), 320 minima, the low two bits
-   of each minimum packed into ten 64-bit words, and 40 band keys of 8 minima each. A pair at
-   Jaccard 0.85 misses all bands with probability (1 - 0.85^8)^40 = 3e-6.
+   of each minimum packed into ten 64-bit words, and band keys of as many minima each as leave a
+   pair at the threshold a chance under 1e-5 to share none (at 0.85: 40 bands of 8, 3e-6).
 2. Equal sets are one node: a node is the 128-bit digest of its set.
 3. Waves over the band buckets. In a bucket that still holds several components, every node meets
    the bucket's hub (the smallest hash, another one each wave) - linear in the bucket. Pairs whose
-   collision-corrected estimate, (m/320 - 1/4) / (3/4), reaches 0.72 (5.5 standard deviations below
-   0.85) are confirmed on the full sets, and links join components.
+   collision-corrected estimate, (m/320 - 1/4) / (3/4), is within five standard deviations of the
+   threshold or above it are confirmed on the full sets, and links join components.
 4. What hubs cannot decide: in buckets that still hold several components, pairs of different
    components are compared by bit counts in blocks, so that no bucket, however large, is one
    task's; pairs of one component are never formed, so a group of copies costs its size only.
@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,9 @@ from pyspark.sql import types as T
 
 from .common import Scratch
 
-WORDS, BANDS, ROWS, BITS = 5, 40, 8, 2
-K = BANDS * ROWS
-#: Estimates below this are not confirmed.
-LEAST_ESTIMATE = 0.72
+WORDS, K, BITS = 5, 320, 2
+#: Chance to share no band at the threshold, at most; standard deviations that an estimate may be low.
+MISSED, DEVIATIONS = 1e-5, 5
 #: Hub waves before the block comparison, and rows of one block.
 WAVES, BLOCK = 3, 1024
 #: Word hashes that a worker remembers.
@@ -47,8 +47,8 @@ _rng = np.random.Generator(np.random.PCG64(6))
 _MULT = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(0, 1 << 32, K, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
-_BAND = _rng.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_SALT = _rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+_BAND = _rng.integers(0, 1 << 64, K, dtype=np.uint64) | np.uint64(1)
+_SALT = _rng.integers(0, 1 << 64, K, dtype=np.uint64)
 _words: dict[bytes, int] = {}
 
 
@@ -84,9 +84,21 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
+def banding(threshold: float) -> int:
+    """The most minima a band with which a pair at the threshold is missed rarely enough."""
+    return max(r for r in range(1, 17) if r == 1 or (1 - threshold**r) ** (K // r) <= MISSED)
+
+
+def least_estimate(threshold: float) -> float:
+    same = threshold + (1 - threshold) * 2.0**-BITS
+    return threshold - DEVIATIONS * (same * (1 - same) / K) ** 0.5 / (1 - 2.0**-BITS)
+
+
+def band_keys(m: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key a band, from the whole minima."""
-    return _mix((m.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + _SALT).view(np.int64)
+    bands = K // rows
+    by = (m[: bands * rows].astype(np.uint64) * _BAND[: bands * rows]).reshape(bands, rows)
+    return _mix(by.sum(axis=1, dtype=np.uint64) + _SALT[:bands]).view(np.int64)
 
 
 def packed(m: np.ndarray) -> np.ndarray:
@@ -118,7 +130,7 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def features(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def features(docs: DataFrame, text: str, doc_id: str, band_rows: int) -> DataFrame:
     """doc_id, n (set size), node (digest of the set, null if empty), sig and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +145,7 @@ def features(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                         m = minima(s)
                         node.append(_digest(s))
                         sig.append(packed(m))
-                        bands.append(band_keys(m))
+                        bands.append(band_keys(m, band_rows))
                     else:
                         node.append(None)
                         sig.append(None)
@@ -198,33 +210,28 @@ def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-_BLOCKS = "bk long, i int, j int, main boolean, node binary, comp binary, sig array<long>"
+def _across(least: float):
+    """Pairs of different components in one block whose estimates suffice."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs: set[tuple[bytes, bytes]] = set()
+        sig, comp, node = np.stack(rows["sig"].to_numpy()), rows["comp"].map(bytes).to_numpy(), rows["node"].map(bytes).to_numpy()
+        left = np.flatnonzero(~rows["main"].to_numpy())
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            near = (estimates(sig[own], sig) >= least) & (comp[own][:, None] != comp[None, :])
+            for r, c in zip(*np.nonzero(near)):
+                a, b = node[own[r]], node[c]
+                pairs.add((a, b) if a < b else (b, a))
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
-def _across(pdf_rows):
-    """Pairs of different components in one block whose estimates suffice."""
-    import pandas as pd
-
-    pairs: list[tuple[bytes, bytes]] = []
-    sig = np.stack(pdf_rows["sig"].to_numpy())
-    comp = pdf_rows["comp"].map(bytes).to_numpy()
-    node = pdf_rows["node"].map(bytes).to_numpy()
-    left = np.flatnonzero(~pdf_rows["main"].to_numpy())
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        near = estimates(sig[rows], sig) >= LEAST_ESTIMATE
-        near &= comp[rows][:, None] != comp[None, :]
-        for r, c in zip(*np.nonzero(near)):
-            a, b = node[rows[r]], node[c]
-            pairs.append((a, b) if a < b else (b, a))
-    return pd.DataFrame(sorted(set(pairs)), columns=["a", "b"])
+    return run
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; links where den*|both| >= num*|either|."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    feats = scratch.keep(features(docs, text, doc_id), "features")
+    scratch, least = Scratch(docs.sparkSession), least_estimate(num / den)
+    feats = scratch.keep(features(docs, text, doc_id, banding(num / den)), "features")
     usable = feats.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     named = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = usable.join(named, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
@@ -238,7 +245,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
 
     def estimated(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.where(estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b")
+        return both.where(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
     def link(pairs: DataFrame) -> bool:
         """Confirms pairs and joins components; says whether any were joined."""
@@ -275,7 +282,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
         paired = other.select("bk", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("x"), "node", "comp", "sig")
         paired = paired.select("bk", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.lit(False).alias("main"), "node", "comp", "sig")
         cells = main.unionByName(probe).unionByName(paired)
-        link(scratch.keep(cells.groupBy("bk", "i", "j").applyInPandas(_across, "a binary, b binary").distinct(), "across"))
+        link(scratch.keep(cells.groupBy("bk", "i", "j").applyInPandas(_across(least), "a binary, b binary").distinct(), "across"))
     # Components by their smallest doc_id; sets that share no bucket are their own.
     small = labels.join(sigs.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(small, "comp").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("doc_id").alias("component_id")))
