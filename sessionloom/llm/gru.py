@@ -65,7 +65,7 @@ class Gru:
         h, self.size = HIDDEN, UNITS // CLASSES
         f = lambda *s, by: (rng.standard_normal(s) * by).astype(np.float32)
         # `x` has a row for each unit read, and a last one for the start; gates are z, r, n.
-        self.p = {"x": f(UNITS + 1, 3 * h, by=0.1), "u": f(h, 3 * h, by=h**-0.5), "b": np.zeros(3 * h, np.float32), "bn": np.zeros(h, np.float32), "oc": f(h, CLASSES, by=0.05), "bc": np.zeros(CLASSES, np.float32), "ou": f(CLASSES, h, self.size, by=0.05), "bu": np.zeros((CLASSES, self.size), np.float32)}
+        self.p = {"x": f(UNITS + 1, 3 * h, by=0.1), "u": f(h, 3 * h, by=h**-0.5), "b": np.zeros(3 * h, np.float32), "bn": np.zeros(h, np.float32), "oc": np.zeros((h, CLASSES), np.float32), "bc": np.zeros(CLASSES, np.float32), "ou": np.zeros((CLASSES, h, self.size), np.float32), "bu": np.zeros((CLASSES, self.size), np.float32)}
         self.p["b"][:h] = 1.0
         self.place = np.arange(UNITS)  # unit -> class * size + position
 
@@ -84,7 +84,7 @@ class Gru:
         step, total = 0, max(1, epochs * sum(map(len, docs)) // (lanes * 32))
         for epoch in range(epochs):
             order = np.random.default_rng(epoch).permutation(len(docs))
-            read, said, _ = self._pack([self.place[docs[i]] for i in order], lanes)
+            read, said = self._stream([self.place[docs[i]] for i in order], lanes)
             h = np.zeros((lanes, HIDDEN), np.float32)
             for at in range(0, read.shape[0], 32):
                 g, h = self._gradients(read[at : at + 32], said[at : at + 32], h)
@@ -97,6 +97,16 @@ class Gru:
                     s[k] += 0.003 * (v * v - s[k])
                     self.p[k] -= eta * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.997**step)) + 1e-8)
 
+    @staticmethod
+    def _stream(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(units read, units said), each (steps, lanes): one stream of documents cut into equal lanes."""
+        said = np.concatenate(docs)
+        read = np.r_[UNITS, said[:-1]]
+        read[np.cumsum([0, *map(len, docs[:-1])])] = UNITS
+        fill = -len(said) % lanes
+        cut = lambda x: np.ascontiguousarray(np.r_[x, np.full(fill, -1, x.dtype)].reshape(lanes, -1).T.astype(np.int32))
+        return cut(read), cut(said)
+
     @staticmethod
     def _order(docs: list[np.ndarray]) -> np.ndarray:
         """Units in an order in which those of like documents are close: one principal direction."""

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 WORDS, K, BITS = 5, 320, 2
 #: Chance to share no band at the threshold, at most; standard deviations that an estimate may be low.
@@ -295,5 +295,6 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num: int = 85, den: int = 100) -> DataFrame:
     """The rows of docs whose document stands for its component, with docs' columns."""
-    gone = components(docs, text, doc_id, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = components(docs, text, doc_id, num, den).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")

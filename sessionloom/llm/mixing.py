@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, free_name
@@ -164,12 +164,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     shared = picked.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
     names = {k: free_name(docs, k) for k in ("_i", "_s", "_w", "_n", "_c")}
     own = docs.withColumns({names["_i"]: F.col(doc_id).cast("long"), names["_s"]: F.col(source).cast("string"), names["_w"]: F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")})
-    shared = shared.select(F.col("doc_id").alias("_ji"), F.col("source").alias("_js"), F.col("size").alias("_jw"), F.col("copies").alias(names["_c"]))
-    joined = own.join(shared, F.col(names["_i"]).eqNullSafe(shared["_ji"]) & F.col(names["_s"]).eqNullSafe(shared["_js"]) & (F.col(names["_w"]) == shared["_jw"]))
+    names |= {k: free_name(docs, k) for k in ("_ji", "_js", "_jw")}
+    shared = shared.select(*[F.col(a).alias(names[b]) for a, b in (("doc_id", "_ji"), ("source", "_js"), ("size", "_jw"), ("copies", "_c"))])
+    joined = own.join(shared, F.col(names["_i"]).eqNullSafe(F.col(names["_ji"])) & F.col(names["_s"]).eqNullSafe(F.col(names["_js"])) & (F.col(names["_w"]) == F.col(names["_jw"])))
     several = F.size(names["_c"]) > 1
     once = joined.where(~several).withColumn(names["_n"], F.lit(1))
-    from pyspark.sql import Window
-
     many = joined.where(several).withColumn(names["_n"], F.row_number().over(Window.partitionBy(names["_i"], names["_s"], names["_w"]).orderBy(F.col(text))))
     both = once.unionByName(many)
     repeats = F.element_at(names["_c"], F.col(names["_n"]))
