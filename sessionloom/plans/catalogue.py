@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import cost_queries, session_queries, text_queries
+
+QUERIES: dict = {**session_queries.QUERIES, **text_queries.QUERIES, **cost_queries.QUERIES}
+SQL: dict = {**session_queries.SQL, **text_queries.SQL, **cost_queries.SQL}

@@ -1,0 +1,3 @@
+"""Text queries."""
+QUERIES: dict = {}
+SQL: dict = {}
