@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import cost_queries, session_queries, text_queries
+from . import cost_queries, replay_queries, session_queries, text_queries
 
-QUERIES: dict = {**session_queries.QUERIES, **text_queries.QUERIES, **cost_queries.QUERIES}
-SQL: dict = {**session_queries.SQL, **text_queries.SQL, **cost_queries.SQL}
+QUERIES: dict = {}
+SQL: dict = {}
+for _part in (session_queries, text_queries, cost_queries, replay_queries):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
