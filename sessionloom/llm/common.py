@@ -35,18 +35,17 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            if path := self.paths.pop(id(df), None):
+            if path := getattr(df, "_scratch_path", None):
                 jvm = self.spark.sparkContext._jvm
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
