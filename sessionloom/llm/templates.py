@@ -24,62 +24,68 @@ from pyspark.sql import functions as F
 from .common import SPACE, Scratch, free_name
 
 LEADING, MIN_TOKENS, MIN_DOCS = 3, 5, 10
+#: Rows of two or four numbers that are sent to all tasks at most; more are joined by exchange.
+SENT = 1_000_000
 #: Of its leaf's weight, what makes a token constant; of all positions, what a line must match.
 CONSTANT, SIMILAR = 0.5, 0.6
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens joined by one blank, tokens with a digit as <*>."""
-    flat = F.trim(F.regexp_replace(line, SPACE, " "))
-    return F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", "<*>")
+    """The line's tokens joined by one blank, tokens with a digit as <*>.
 
+    The patterns cannot backtrack, and lines that they would leave as they are are not rebuilt.
+    """
+    flat = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, SPACE, " ")).otherwise(line))
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(flat)
 
-def _hash(c: Column) -> Column:
-    """128 bits: two independent 64-bit hashes."""
-    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(10)).alias("b"))
 
+def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """A row per line that can belong to a template: row identity, place, leaf and key, and the masked line `m`."""
+    c = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.xxhash64(c).alias("h"), F.posexplode(F.split(c, "\n")).alias("pos", "line"))
+    rows = rows.withColumn("m", _masked(F.col("line")))
+    rows = rows.withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
+    lead = F.xxhash64(F.substring_index("m", " ", LEADING))
+    return rows.select("i", "h", "pos", "n", lead.alias("lead"), F.xxhash64("m").alias("a"), F.xxhash64("m", F.lit(10)).alias("b"), "m")
 
-def _line_keys(text: Column) -> Column:
-    """For each line, the hash of its masked form, or null for a line of no template."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_TOKENS, _hash(_masked(x))))
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, sent to all tasks only if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
-def recurring(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, scratch: Scratch | None = None) -> DataFrame:
-    """(key, leaf, docs): hashes of the masked lines that belong to a recurring template."""
+
+def recurring(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, scratch: Scratch | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """(a, b, n, lead, docs, template_docs): 128-bit keys of the masked lines of recurring templates."""
     scratch = scratch or Scratch(docs.sparkSession)
-    lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc"), F.explode(F.array_distinct(F.transform(F.split(F.col(text), "\n"), _masked))).alias("m"))
-    tokens = F.split("m", " ")
-    lines = lines.select("doc", "m", F.size(tokens).alias("n"), tokens.alias("tokens")).where(F.col("n") >= MIN_TOKENS)
-    leaf = F.struct("n", F.xxhash64(F.slice("tokens", 1, LEADING)).alias("lead"))
-    keyed = lines.select("doc", "m", leaf.alias("leaf"), _hash(F.col("m")).alias("key"))
-    # Documents of each masked line and leaf, by hashes: no text is shuffled here.
-    counted = scratch.keep(keyed.groupBy("leaf", "key", "doc").agg(F.lit(1).alias("one")).groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs")), "counted")
-    busy = scratch.keep(counted.groupBy("leaf").agg(F.sum("docs").alias("weight")).where(F.col("weight") >= min_docs), "busy")
-    near = scratch.keep(counted.join(busy, "leaf").select("leaf", "key", "docs", "weight"), "near")
-    # The words of the lines in busy leaves, once a line.
-    words = keyed.join(near.select("key", "docs", "weight"), "key").groupBy("key").agg(F.first("m").alias("m"), F.first("leaf").alias("leaf"), F.first("docs").alias("docs"), F.first("weight").alias("weight"))
-    words = scratch.keep(words, "words")
-    spots = words.select("leaf", "key", "docs", "weight", F.posexplode(F.split("m", " ")).alias("at", "token"))
-    held = spots.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("has"), F.max("weight").alias("weight")).where((F.col("has") >= CONSTANT * F.col("weight")) & (F.col("token") != "<*>"))
+    leaf, key = ["n", "lead"], ["a", "b"]
+    lines = scratch.keep(_lines(docs, text, doc_id).drop("m"), "lines") if lines is None else lines
+    # Documents of each masked line by hashes: no text is shuffled here.
+    once = lines.select(*leaf, *key, F.coalesce("i", F.lit(-1)).alias("doc")).distinct()
+    counted = scratch.keep(once.groupBy(*leaf, *key).agg(F.count(F.lit(1)).alias("docs")), "counted")
+    busy = scratch.keep(counted.groupBy(*leaf).agg(F.sum("docs").alias("weight")).where(F.col("weight") >= min_docs), "busy")
+    # The words of the lines in busy leaves, one row a distinct line.
+    words = _lines(docs, text, doc_id).join(_small(busy), leaf).groupBy(*leaf, *key, "weight").agg(F.first("m").alias("m"))
+    words = scratch.keep(words.join(counted.select(*leaf, *key, "docs").hint("merge"), [*leaf, *key]), "words")
+    spots = words.select(*leaf, *key, "docs", "weight", F.posexplode(F.split("m", " ")).alias("at", "token"))
+    held = spots.groupBy(*leaf, "at", "token").agg(F.sum("docs").alias("has"), F.max("weight").alias("weight")).where((F.col("has") >= CONSTANT * F.col("weight")) & (F.col("token") != "<*>"))
     # At exactly half, two tokens may tie: the smaller one is the constant.
-    held = held.groupBy("leaf", "at").agg(F.min_by("token", F.struct(-F.col("has"), F.col("token"))).alias("token"))
-    match = spots.join(held, ["leaf", "at", "token"]).groupBy("leaf", "key", "docs").agg(F.count(F.lit(1)).alias("same"))
-    member = scratch.keep(match.where(F.col("same") >= SIMILAR * F.col("leaf.n")).select("leaf", "key", "docs"), "member")
-    kept = member.groupBy("leaf").agg(F.sum("docs").alias("template_docs")).where(F.col("template_docs") >= min_docs)
-    return scratch.keep(member.join(kept, "leaf").select("key", "leaf", "docs", "template_docs"), "recurring")
+    held = held.groupBy(*leaf, "at").agg(F.min_by("token", F.struct(-F.col("has"), F.col("token"))).alias("token"))
+    match = spots.join(held.hint("merge"), [*leaf, "at", "token"]).groupBy(*leaf, *key, "docs").agg(F.count(F.lit(1)).alias("same"))
+    member = scratch.keep(match.where(F.col("same") >= SIMILAR * F.col("n")).drop("same"), "member")
+    kept = member.groupBy(*leaf).agg(F.sum("docs").alias("template_docs")).where(F.col("template_docs") >= min_docs)
+    return scratch.keep(member.join(kept, leaf), "recurring")
 
 
 def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, dropped: str = "lines_dropped") -> DataFrame:
     """docs with the recurring lines gone from the text, and how many went."""
     scratch = Scratch(docs.sparkSession)
-    found = recurring(docs, text, doc_id, min_docs, scratch)
-    row, gone = free_name(docs, "_row"), free_name(docs, "_gone")
-    ident = F.struct(F.col(doc_id).cast("long").alias("i"), F.xxhash64(F.col(text)).alias("h"))
-    keys = docs.select(ident.alias(row), F.explode(F.array_distinct(F.filter(_line_keys(F.col(text)), lambda k: k.isNotNull()))).alias("key")).distinct()
-    hits = keys.join(found.select("key").distinct(), "key").groupBy(row).agg(F.collect_set("key").alias(gone))
-    out = docs.withColumn(row, ident).join(hits, row, "left")
-    lines = F.arrays_zip(F.split(F.col(text), "\n").alias("line"), _line_keys(F.col(text)).alias("key"))
-    stay = F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains(F.col(gone), x["key"]))
-    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
-    went = F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")) - F.size(stay))
-    return out.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns], went.cast("long").alias(dropped))
+    lines = scratch.keep(_lines(docs, text, doc_id).drop("m"), "lines")
+    found = recurring(docs, text, doc_id, min_docs, scratch, lines)
+    i, h, gone = (free_name(docs, x) for x in ("_i", "_h", "_gone"))
+    hits = lines.join(_small(found.select("a", "b").distinct()), ["a", "b"]).groupBy("i", "h").agg(F.collect_set("pos").alias(gone))
+    hits = hits.withColumnsRenamed({"i": i + "_", "h": h + "_"})
+    own = docs.withColumns({i: F.col(f"`{doc_id}`").cast("long"), h: F.xxhash64(F.col(f"`{text}`"))})
+    out = own.join(hits.hint("merge"), F.col(i).eqNullSafe(F.col(i + "_")) & (F.col(h) == F.col(h + "_")), "left")
+    stay = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, at: ~F.array_contains(F.col(gone), at))
+    new = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(stay, "\n"))
+    return out.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(dropped))
