@@ -26,14 +26,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, shuffle_partitions
 
 WORDS, K, BITS = 5, 320, 2
 #: Chance to share no band at the threshold, at most; standard deviations that an estimate may be low.
@@ -117,6 +116,7 @@ def estimate(a: Column, b: Column) -> Column:
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The same for all pairs of two stacks of signatures."""
     planes, chance = K // 64, 2.0**-BITS
+    a, b = a.view(np.uint64), b.view(np.uint64)  # numpy counts the bits of a signed number's magnitude
     apart = np.zeros((len(a), len(b)), dtype=np.int64)
     for i in range(planes):
         apart += np.bitwise_count((a[:, None, i] ^ b[None, :, i]) | (a[:, None, i + planes] ^ b[None, :, i + planes]))
@@ -211,19 +211,53 @@ def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _across(least: float):
-    """Pairs of different components in one block whose estimates suffice."""
+    """Pairs (a, b) of different components in one block whose estimates suffice; blocks come sorted."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs: set[tuple[bytes, bytes]] = set()
-        sig, comp, node = np.stack(rows["sig"].to_numpy()), rows["comp"].map(bytes).to_numpy(), rows["node"].map(bytes).to_numpy()
-        left = np.flatnonzero(~rows["main"].to_numpy())
+    def pairs_of(block: tuple) -> set[tuple[bytes, bytes]]:
+        sig, comp, node, main = block
+        out: set[tuple[bytes, bytes]] = set()
+        left = np.flatnonzero(~main)
         for at in range(0, len(left), 256):
             own = left[at : at + 256]
-            near = (estimates(sig[own], sig) >= least) & (comp[own][:, None] != comp[None, :])
+            near = (estimates(sig[own], sig) >= least) & (comp[own][:, None] != comp[None]).any(axis=2)
             for r, c in zip(*np.nonzero(near)):
-                a, b = node[own[r]], node[c]
-                pairs.add((a, b) if a < b else (b, a))
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
+                x, y = node[own[r]], node[c]
+                out.add((x, y) if x < y else (y, x))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the parts of a block that began in an earlier batch
+        now, found = None, set()
+
+        def emit() -> pa.RecordBatch:
+            rows = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        def close() -> None:
+            if held:
+                found.update(pairs_of(held[0] if len(held) == 1 else tuple([x for h in held for x in h[2]] if k == 2 else np.concatenate([h[k] for h in held]) for k in range(4))))
+                held.clear()
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bk", "i", "j")], axis=1)
+            sig = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            node = batch.column("node").to_pylist()
+            comp = np.frombuffer(b"".join(batch.column("comp").to_pylist()), dtype=np.uint64).reshape(n, 2)
+            main = batch.column("main").to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), n]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if now != (first := tuple(key[lo].tolist())):
+                    close()
+                    now = first
+                held.append((sig[lo:hi], comp[lo:hi], node[lo:hi], main[lo:hi]))
+                if len(found) > 20_000:
+                    yield emit()
+        close()
+        yield emit()
 
     return run
 
@@ -238,7 +272,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
     nodes = scratch.keep(nodes.select("node", "doc_id", "sig", "bands"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bk"))
     shared = rows.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.keep(rows.join(shared.select("bk"), "bk"), "buckets")
+    buckets = scratch.keep(rows.join(shared.withColumnRenamed("n", "members"), "bk"), "buckets")
     sigs = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "sig"), "sigs")
     sets = scratch.keep(_sets(docs, sigs.select("doc_id").distinct(), text, doc_id), "sets")
     labels = scratch.keep(sigs.select("node", F.col("node").alias("comp")), "labels")
@@ -269,7 +303,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
         met = at.join(hubs, "bk").where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         link(scratch.keep(estimated(met), "met"))
         scratch.drop(at)
-        open_ = buckets.join(hubs.select("bk"), "bk", "left_semi")
+        # A bucket of two has met whole: its one pair went through the first wave.
+        open_ = buckets.where("members > 2").join(hubs.select("bk"), "bk", "left_semi")
     # Buckets that still hold several components: compare across components, in blocks.
     at = scratch.keep(open_.join(labels, "node").select("bk", "node", "comp"), "at")
     by = at.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bk").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -282,7 +317,9 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
         paired = other.select("bk", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("x"), "node", "comp", "sig")
         paired = paired.select("bk", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.lit(False).alias("main"), "node", "comp", "sig")
         cells = main.unionByName(probe).unionByName(paired)
-        link(scratch.keep(cells.groupBy("bk", "i", "j").applyInPandas(_across(least), "a binary, b binary").distinct(), "across"))
+        # Comparing costs more than the bytes of a block tell: the number of tasks is set, not derived.
+        cells = cells.repartition(shuffle_partitions(docs.sparkSession), "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
+        link(scratch.keep(cells.mapInArrow(_across(least), "a binary, b binary").distinct(), "across"))
     # Components by their smallest doc_id; sets that share no bucket are their own.
     small = labels.join(sigs.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(small, "comp").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("doc_id").alias("component_id")))
