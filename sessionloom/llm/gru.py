@@ -40,7 +40,7 @@ UNITS = OWN + BUCKETS
 #: Counts that every task holds; tokens of the learning sample; passes over it.
 WARM, SAMPLE_TOKENS, EPOCHS = 50_000, 400_000, 2
 #: Tokens that a task packs into lanes at once, lanes at most, and texts of one step.
-PACK, LANES, TEXTS = 3_000_000, 384, 500
+PACK, LANES, TEXTS = 5_000_000, 384, 500
 #: Distinct tokens that a counting task holds before it hands them on.
 COUNTED = 300_000
 #: The end token; no word is empty.
