@@ -94,13 +94,13 @@ def growth(rows: DataFrame, values: list[str], by: str = "history") -> DataFrame
     return rows.agg(*[(F.max_by(v, by) / F.nullif(F.min_by(v, by), F.lit(0))).alias(f"{v}_growth") for v in [by, *values]])
 
 
-def placement(sessions: DataFrame, kv_bytes: int = 131_072, budget_s: float = 1.0) -> DataFrame:
+def placement(sessions: DataFrame, kv_bytes: int = 131_072, budget_s: float = 1.0, digits: int = 4) -> DataFrame:
     """Sessions (session, ordinal, history, state) ranked by measured cost and by footprint."""
     from .metrics import ranked_by_cost
 
     true = ceiling(F.col("history"), LOOKUP_S) + ceiling(F.col("state"), ACTIVE_PREFILL_S)
     foot = F.col("history") * kv_bytes / (BANDWIDTH_GBS * 1e9)
-    out = sessions.withColumn("one", F.lit(1)).withColumn("true_cost_s", F.round(true, 4)).withColumn("footprint_s", F.round(foot, 4))
+    out = sessions.withColumn("one", F.lit(1)).withColumn("true_cost_s", F.round(true, digits)).withColumn("footprint_s", F.round(foot, digits))
     out = out.withColumn("served_by_truth", F.round(budget_s / true, 1)).withColumn("served_by_footprint", F.round(budget_s / foot, 1))
     out = ranked_by_cost(out, "true_cost_s", "ordinal", ["one"]).withColumnRenamed("rank", "rank_by_truth")
     return ranked_by_cost(out, "footprint_s", "ordinal", ["one"]).withColumnRenamed("rank", "rank_by_footprint").drop("one")
