@@ -39,6 +39,10 @@ WORDS, K, BITS = 5, 320, 2
 MISSED, DEVIATIONS = 1e-5, 5
 #: Hub waves before the block comparison, and rows of one block.
 WAVES, BLOCK = 3, 1024
+#: Sides of a cell in which other components meet a bucket's largest one.
+MAIN, PROBE = -1, -2
+#: Ids that are sent to all tasks at most.
+SENT = 2_000_000
 #: Word hashes that a worker remembers.
 REMEMBERED = 300_000
 
@@ -166,7 +170,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFra
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id", "left_semi")
+    # The ids go to the texts while they are counted to be few; beyond that the texts are exchanged.
+    near = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).join(near, "doc_id", "left_semi")
     return rows.select("t").mapInArrow(run, "node binary, items binary")
 
 
@@ -211,17 +217,29 @@ def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _across(least: float):
-    """Pairs (a, b) of different components in one block whose estimates suffice; blocks come sorted."""
+    """Pairs (a, b) of different components in one block whose estimates suffice; blocks come sorted.
 
-    def pairs_of(block: tuple) -> set[tuple[bytes, bytes]]:
-        sig, comp, node, main = block
+    A pair that several bands share is reported by the first of them only: that bucket holds both
+    components too, so it is open as well, or it had just the two and met whole in the first wave.
+    """
+
+    def pairs_of(block: tuple, key: tuple) -> set[tuple[bytes, bytes]]:
+        sig, comp, node, side, bands = block
+        bk, i, j = key
         out: set[tuple[bytes, bytes]] = set()
-        left = np.flatnonzero(~main)
+        band = int(np.argmax(bands[0] == bk))
+        # A cell of one block compares all of it, any other cell its two sides.
+        one = i if j >= 0 else PROBE
+        left = np.flatnonzero(side == one)
+        right = left if i == j else np.flatnonzero(side != one)
         for at in range(0, len(left), 256):
             own = left[at : at + 256]
-            near = (estimates(sig[own], sig) >= least) & (comp[own][:, None] != comp[None]).any(axis=2)
-            for r, c in zip(*np.nonzero(near)):
-                x, y = node[own[r]], node[c]
+            near = (estimates(sig[own], sig[right]) >= least) & (comp[own][:, None] != comp[right][None]).any(axis=2)
+            r, c = np.nonzero(near)
+            r, c = own[r], right[c]
+            first = np.concatenate([~(bands[r[k : k + 4096], :band] == bands[c[k : k + 4096], :band]).any(axis=1) for k in range(0, len(r), 4096)]) if len(r) else np.zeros(0, dtype=bool)
+            for x, y in zip(r[first].tolist(), c[first].tolist()):
+                x, y = node[x], node[y]
                 out.add((x, y) if x < y else (y, x))
         return out
 
@@ -236,7 +254,7 @@ def _across(least: float):
 
         def close() -> None:
             if held:
-                found.update(pairs_of(held[0] if len(held) == 1 else tuple([x for h in held for x in h[2]] if k == 2 else np.concatenate([h[k] for h in held]) for k in range(4))))
+                found.update(pairs_of(held[0] if len(held) == 1 else tuple([x for h in held for x in h[2]] if k == 2 else np.concatenate([h[k] for h in held]) for k in range(5)), now))
                 held.clear()
 
         for batch in batches:
@@ -245,15 +263,16 @@ def _across(least: float):
                 continue
             key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bk", "i", "j")], axis=1)
             sig = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             node = batch.column("node").to_pylist()
             comp = np.frombuffer(b"".join(batch.column("comp").to_pylist()), dtype=np.uint64).reshape(n, 2)
-            main = batch.column("main").to_numpy(zero_copy_only=False).astype(bool)
+            side = batch.column("side").to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), n]
             for lo, hi in zip(cuts, cuts[1:]):
                 if now != (first := tuple(key[lo].tolist())):
                     close()
                     now = first
-                held.append((sig[lo:hi], comp[lo:hi], node[lo:hi], main[lo:hi]))
+                held.append((sig[lo:hi], comp[lo:hi], node[lo:hi], side[lo:hi], bands[lo:hi]))
                 if len(found) > 20_000:
                     yield emit()
         close()
@@ -273,8 +292,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
     rows = nodes.select("node", F.explode("bands").alias("bk"))
     shared = rows.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = scratch.keep(rows.join(shared.withColumnRenamed("n", "members"), "bk"), "buckets")
-    sigs = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "sig"), "sigs")
-    sets = scratch.keep(_sets(docs, sigs.select("doc_id").distinct(), text, doc_id), "sets")
+    sigs = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "sig", "bands"), "sigs")
+    sets = scratch.keep(_sets(docs, scratch.keep(sigs.select("doc_id").distinct(), "wanted"), text, doc_id), "sets")
     labels = scratch.keep(sigs.select("node", F.col("node").alias("comp")), "labels")
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -310,12 +329,12 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
     by = at.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bk").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     by = scratch.keep(by.select("bk", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others")), "by")
     if not by.isEmpty():
-        at = at.join(by, "bk").join(sigs.select("node", "sig"), "node")
-        main = at.where("comp = top").select("bk", F.pmod(F.hash("node"), F.col("mains")).alias("i"), F.lit(-1).alias("j"), F.lit(True).alias("main"), "node", "comp", "sig")
+        at = at.join(by, "bk").join(sigs.select("node", "sig", "bands"), "node")
+        main = at.where("comp = top").select("bk", F.pmod(F.hash("node"), F.col("mains")).alias("i"), F.lit(-1).alias("j"), F.lit(MAIN).alias("side"), "node", "comp", "sig", "bands")
         other = at.where("comp <> top").withColumn("own", F.pmod(F.hash("node"), F.col("others")))
-        probe = other.select("bk", F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("main"), "node", "comp", "sig")
-        paired = other.select("bk", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("x"), "node", "comp", "sig")
-        paired = paired.select("bk", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.lit(False).alias("main"), "node", "comp", "sig")
+        probe = other.select("bk", F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(PROBE).alias("side"), "node", "comp", "sig", "bands")
+        paired = other.select("bk", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("x"), "node", "comp", "sig", "bands")
+        paired = paired.select("bk", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.col("own").alias("side"), "node", "comp", "sig", "bands")
         cells = main.unionByName(probe).unionByName(paired)
         # Comparing costs more than the bytes of a block tell: the number of tasks is set, not derived.
         cells = cells.repartition(shuffle_partitions(docs.sparkSession), "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
