@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, free_name
+from .common import Scratch, free_name
 
 LEADING, MIN_TOKENS, MIN_DOCS = 3, 5, 10
 #: Rows of two or four numbers that are sent to all tasks at most; more are joined by exchange.
@@ -30,20 +30,21 @@ SENT = 1_000_000
 CONSTANT, SIMILAR = 0.5, 0.6
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens joined by one blank, tokens with a digit as <*>.
+def _masked(text: Column) -> Column:
+    """The text with each line's tokens joined by one blank and tokens with a digit as <*>.
 
-    The patterns cannot backtrack, and lines that they would leave as they are are not rebuilt.
+    Whole texts are masked before they are cut into lines, so that no later step evaluates the
+    patterns again; these cannot backtrack, and texts that they would leave alone are not rebuilt.
     """
-    flat = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, SPACE, " ")).otherwise(line))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(flat)
+    flat = F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+", "<*>")).otherwise(flat)
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """A row per line that can belong to a template: row identity, place, leaf and key, and the masked line `m`."""
     c = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.xxhash64(c).alias("h"), F.posexplode(F.split(c, "\n")).alias("pos", "line"))
-    rows = rows.withColumn("m", _masked(F.col("line")))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.xxhash64(c).alias("h"), F.posexplode(F.split(_masked(c), "\n")).alias("pos", "line"))
+    rows = rows.withColumn("m", F.trim("line"))
     rows = rows.withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
     lead = F.xxhash64(F.substring_index("m", " ", LEADING))
     return rows.select("i", "h", "pos", "n", lead.alias("lead"), F.xxhash64("m").alias("a"), F.xxhash64("m", F.lit(10)).alias("b"), "m")
@@ -63,8 +64,11 @@ def recurring(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_d
     once = lines.select(*leaf, *key, F.coalesce("i", F.lit(-1)).alias("doc")).distinct()
     counted = scratch.keep(once.groupBy(*leaf, *key).agg(F.count(F.lit(1)).alias("docs")), "counted")
     busy = scratch.keep(counted.groupBy(*leaf).agg(F.sum("docs").alias("weight")).where(F.col("weight") >= min_docs), "busy")
-    # The words of the lines in busy leaves, one row a distinct line.
-    words = _lines(docs, text, doc_id).join(_small(busy), leaf).groupBy(*leaf, *key, "weight").agg(F.first("m").alias("m"))
+    # The words of the lines in busy leaves, one row a distinct line, each read from one document that has it.
+    holders = lines.join(_small(busy.select(*leaf)), leaf).groupBy(*leaf, *key).agg(F.min(F.struct("i", "h")).alias("d")).select(F.xxhash64("d.i", "d.h").alias("d")).distinct()
+    ident, d = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))), free_name(docs, "_d")
+    held_by = docs.join(_small(scratch.keep(holders.withColumnRenamed("d", d), "holders")), ident == F.col(d), "left_semi")
+    words = _lines(held_by, text, doc_id).join(_small(busy), leaf).groupBy(*leaf, *key, "weight").agg(F.first("m").alias("m"))
     words = scratch.keep(words.join(counted.select(*leaf, *key, "docs").hint("merge"), [*leaf, *key]), "words")
     spots = words.select(*leaf, *key, "docs", "weight", F.posexplode(F.split("m", " ")).alias("at", "token"))
     held = spots.groupBy(*leaf, "at", "token").agg(F.sum("docs").alias("has"), F.max("weight").alias("weight")).where((F.col("has") >= CONSTANT * F.col("weight")) & (F.col("token") != "<*>"))
