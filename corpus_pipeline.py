@@ -8,7 +8,6 @@ Rows without doc_id pass every stage: near dedup links nothing to them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, content_sort, langid, minhash, mixing
 from sessionloom.llm.common import Scratch, table
@@ -39,9 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and the digest of what they decode to."""
-    coded = bpe.encode_documents(docs, keep=("doc_id", "lang", "source"))
-    back = bpe.decode_ids(coded, keep=("doc_id", "lang", "source", "ids", "n_tokens"))
-    return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), decoded=True)
 
 
 STAGES = [

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,13 +216,22 @@ def default_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
+def _codes(ids: pa.Array) -> list[bytes]:
+    """Each row of a list column as little-endian bytes; null rows are empty."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))
+    return [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ids) else []
+
+
+def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
     """The kept columns, then ids (array of int) and n_tokens, a row for each row of docs.
 
+    With `decoded`, also decoded_sha256, the digest of what the ids decode to, in the same pass.
     The file of ranks is a parameter and must be at that path on every executor.
     """
     if path is None:
         path, pattern = default_ranks()
+    names = [*(f"k{i}" for i in range(len(keep))), "ids", "n_tokens", *["decoded_sha256"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path, pattern)
@@ -231,11 +241,12 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id
                 found = own.encode([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
                 offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(np.diff(offsets).astype(np.int64))], names=[*(f"k{i}" for i in range(part.num_columns - 1)), "ids", "n_tokens"])
+                back = [pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(found)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(np.diff(offsets).astype(np.int64)), *back], names=names)
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
-    types = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(run, types).toDF(*keep, "ids", "n_tokens")
+    types = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded_sha256", T.StringType())] * decoded])
+    return rows.mapInArrow(run, types).toDF(*keep, *names[len(keep) :])
 
 
 def decode_ids(encoded: DataFrame, ids: str = "ids", keep: tuple = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -246,8 +257,10 @@ def decode_ids(encoded: DataFrame, ids: str = "ids", keep: tuple = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path, pattern)
         for b in batches:
-            out = own.decode([np.array(x or (), dtype="<u4").tobytes() for x in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*(f"k{i}" for i in range(b.num_columns - 1)), "decoded"])
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                out = own.decode(_codes(part.column(part.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*(f"k{i}" for i in range(part.num_columns - 1)), "decoded"])
 
     rows = encoded.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(ids).alias("ids"))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])).toDF(*keep, "decoded")
