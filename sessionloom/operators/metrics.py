@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,6 +131,61 @@ def bootstrap(groups: DataFrame, key: list[str], value: str = "delta", resamples
     return groups.select(*key, value, F.col("_o") if "_o" in groups.columns else F.lit(0).alias("_o")).groupBy(*key).applyInPandas(run, schema)
 
 
+#: Distinct values of a group that one task draws from.
+CHUNK = 50_000
+
+
+def bootstrap_counts(groups: DataFrame, key: list[str], value: str = "delta", resamples: int = 20_000, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """What `bootstrap` gives, over groups of any size: the same distribution from another generator.
+
+    A resample is a multinomial draw of how often each distinct value is taken. It is split exactly:
+    first how many of the n draws fall to each chunk of distinct values, which every task of a group
+    draws alike, then the draws within the chunk. Sums over chunks are added per resample.
+    """
+    x, near = F.col("_v"), lambda d: [F.col(k).eqNullSafe(d[f"_{i}"]) for i, k in enumerate(key)]
+    counts = groups.select(*key, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).groupBy(*key, "_v").agg(F.count("_v").alias("_c"))
+    named = [F.col(k).alias(f"_{i}") for i, k in enumerate(key)]
+    facts = counts.groupBy(*key).agg(F.sum("_c").alias("n"), F.sum(x * F.col("_c")).alias("s"), F.sum(F.when(x > 0, F.col("_c")).otherwise(0)).alias("wins"), F.sum(F.when(x < 0, F.col("_c")).otherwise(0)).alias("losses"), F.count("_v").alias("d"))
+    kinds = facts.select(*named, "d")
+    cut = counts.where("_v is not null").join(F.broadcast(kinds), near(kinds)).withColumn("_at", F.pmod(F.xxhash64("_v"), F.ceil(F.col("d") / chunk).cast("long")))
+    parts = cut.groupBy(*key, "_at").agg(F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_x"), F.sum("_c").alias("_n"))
+    shares = cut.groupBy(*named, "_at").agg(F.sum("_c").alias("_n")).groupBy(*[f"_{i}" for i in range(len(key))]).agg(F.sort_array(F.collect_list(F.struct("_at", "_n"))).alias("_all"))
+    ready = parts.join(F.broadcast(shares), near(shares)).select(*key, "_at", F.xxhash64(*key).alias("_k"), F.col("_x._v").alias("_v"), F.col("_x._c").alias("_c"), F.col("_all._at").alias("_ats"), F.col("_all._n").alias("_ns"))
+    # Rows are dealt apart again: the drawing takes the time, not the rows' size.
+    ready = ready.repartition(F.xxhash64(*key, "_at"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                r = pdf.iloc[i]
+                sums = chunk_sums(np.array(r["_v"]), np.array(r["_c"]), np.array(r["_ns"]), list(r["_ats"]).index(r["_at"]), resamples, [seed, int(r["_k"]) % 2**64])
+                yield pd.DataFrame([[*r[key], sums]], columns=[*key, "sums"])
+
+    fields = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    sums = ready.mapInPandas(run, ", ".join([*(f"{k} {fields[k]}" for k in key), "sums array<double>"]))
+    means = sums.select(*key, F.posexplode("sums").alias("_r", "_s")).groupBy(*key, "_r").agg(F.sum("_s").alias("_s"))
+    drawn = means.groupBy(*named).agg(F.sort_array(F.collect_list("_s")).alias("_m"))
+    at = lambda i: F.element_at("_m", F.lit(i + 1)) / F.col("n")
+    out = facts.join(F.broadcast(drawn), near(drawn), "left")
+    return out.select(*key, "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"), at(int(0.025 * resamples)).alias("lo"), at(int(0.975 * resamples) - 1).alias("hi"), "wins", "losses")
+
+
+def chunk_sums(values: np.ndarray, counts: np.ndarray, chunks: np.ndarray, own: int, resamples: int, seed: list[int]) -> np.ndarray:
+    """Of each resample, the sum of its draws that fall to one chunk; `chunks` has the rows of all of them."""
+    n, total = int(chunks.sum()), int(counts.sum())
+    took = np.random.default_rng(seed).multinomial(n, chunks / n, size=resamples)[:, own]
+    rng, out = np.random.default_rng([*seed, own + 1]), np.empty(resamples)
+    if total > 4 * len(values):
+        step = max(1, 2_000_000 // len(values))
+        for at in range(0, resamples, step):
+            out[at : at + step] = rng.multinomial(took[at : at + step], counts / total) @ values
+        return out
+    rows = np.repeat(values, counts)
+    for i, m in enumerate(took):
+        out[i] = rows[rng.integers(0, total, m)].sum()
+    return out
+
+
 def ranked_by_cost(rows: DataFrame, cost: str, ordinal: str, by: list[str]) -> DataFrame:
     """rows with `rank` from 0, ties in input order."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(cost, ordinal)) - 1)

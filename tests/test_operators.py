@@ -179,6 +179,29 @@ def test_bootstrap_and_paired(spark):
     assert [tuple(r) for r in M.paired(a, a.where("instance_id = 'x'")).collect()] == [("x", 0.4, 0.4, 0.0)]
 
 
+def test_bootstrap_counts_equals_brute_force(spark):
+    rows = [("a", 0.01 * (i % 7 - 2), i) for i in range(60)] + [("b", 0.37 * i % 1 - 0.4, i) for i in range(40)] + [(None, 1.0, 0), ("c", None, 0), ("b", None, 99)]
+    df = spark.createDataFrame(rows, "k string, delta double, _o int")
+    want = {r["k"]: r for r in M.bootstrap(df, ["k"]).collect()}
+    for chunk in (1000, 3):  # whole groups, and draws split over many tasks
+        got = {r["k"]: r for r in M.bootstrap_counts(df, ["k"], chunk=chunk).collect()}
+        assert set(got) == set(want) == {"a", "b", "c", None} and got["c"]["n"] == 0 and got["c"]["lo"] is None
+        for k in ("a", "b", None):
+            g, w = got[k], want[k]
+            assert (g["n"], g["wins"], g["losses"], g["mean"]) == (w["n"], w["wins"], w["losses"], pytest.approx(w["mean"]))
+            spread = max(w["hi"] - w["lo"], 1e-9)
+            assert abs(g["lo"] - w["lo"]) < 0.05 * spread and abs(g["hi"] - w["hi"]) < 0.05 * spread
+
+
+def test_bootstrap_query_reads_every_row(spark, tmp_path):
+    from sessionloom.plans import cost_queries
+
+    rows = [(o, line, "R", 0.1 if line > 1 else 0.0) for o in (1, 2999, 3000, 900_000) for line in (1, 2, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    r = cost_queries.bootstrap_ci(spark, str(tmp_path)).first()
+    assert (r["n"], r["wins"], r["losses"]) == (12, 8, 4)
+
+
 def test_receipt_joins(spark):
     k = "position int, h int, v double"
     a, b = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.6)], k), spark.createDataFrame([(0, 1, 0.4), (1, 3, 0.2)], k)
