@@ -4,8 +4,10 @@ The tree has a fixed depth. A line goes by its token count, then by its first LE
 leaf. Tokens with a digit are variable from the start (`<*>`). In a leaf that enough documents
 reach, each position keeps its most frequent token if at least half of the leaf's (document, line)
 weight has it, and is variable otherwise; a line belongs to the leaf's template if it has the
-constant token at 3 in 5 or more of all positions. A template that MIN_DOCS documents share is
-recurring, and its lines are dropped everywhere. Lines that are equal after masking are counted
+constant token at 3 in 5 or more of all positions. A leaf may hold further templates: each masked
+line that MIN_DOCS documents hold is one by itself, whatever else shares the leaf, if 3 in 5 or more
+of its own positions are constant. A template that MIN_DOCS documents share is recurring, and its
+lines are dropped everywhere. Lines that are equal after masking are counted
 once with their number of documents before anything is exploded by position, so a line that a
 third of all documents holds is one row.
 
@@ -77,7 +79,11 @@ def recurring(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_d
     match = spots.join(held.hint("merge"), [*leaf, "at", "token"]).groupBy(*leaf, *key, "docs").agg(F.count(F.lit(1)).alias("same"))
     member = scratch.keep(match.where(F.col("same") >= SIMILAR * F.col("n")).drop("same"), "member")
     kept = member.groupBy(*leaf).agg(F.sum("docs").alias("template_docs")).where(F.col("template_docs") >= min_docs)
-    return scratch.keep(member.join(kept, leaf), "recurring")
+    fixed = F.size(F.filter(F.split("m", " "), lambda t: t != "<*>"))
+    alone = words.where((F.col("docs") >= min_docs) & (fixed >= SIMILAR * F.col("n"))).select(*leaf, *key, "docs", F.col("docs").alias("template_docs"))
+    # A line of both counts with the larger template.
+    both = member.join(kept, leaf).select(*alone.columns).unionByName(alone)
+    return scratch.keep(both.groupBy(*leaf, *key, "docs").agg(F.max("template_docs").alias("template_docs")), "recurring")
 
 
 def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, dropped: str = "lines_dropped") -> DataFrame:

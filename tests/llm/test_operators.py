@@ -417,3 +417,12 @@ def test_templates_drop_recurring_lines(spark, odd, empty):
     out = templates.drop_templates(odd)
     assert out.columns == [*odd.columns, "lines_dropped"] and out.count() == odd.count()
     assert templates.drop_templates(empty).count() == 0
+
+
+def test_templates_of_one_leaf_are_all_dropped(spark):
+    types = ["2024 12:00 INFO cache was flushed now", "2024 12:00 INFO user has gone away", "2024 12:00 INFO disk looks quite full"]
+    rows = [(i, f"{types[i % 3]}\n2024 12:00 INFO {' '.join('abcdefghij'[int(c)] * 3 for c in f'{i:04d}')}") for i in range(60)]
+    rows += [(100 + i, f"{i} {i} {i} {i} {i} {i}") for i in range(20)]  # no token in common
+    got = {r["doc_id"]: r for r in templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["text"] == rows[i][1].split("\n")[1] and got[i]["lines_dropped"] == 1 for i in range(60))
+    assert all(got[100 + i]["lines_dropped"] == 0 for i in range(20))
