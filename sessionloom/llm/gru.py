@@ -7,7 +7,11 @@ the recurrent state. A token's share of its unit is (c + 0.5) / (n + 0.5 (v + 1)
 count, n and v the unit's tokens and distinct tokens, counted over the whole training corpus; what
 was never seen counts as one token type of its unit. So the model is a distribution over all
 tokens, and whatever it knows of words comes from every training document. The network's weights
-are learned by truncated backpropagation on whole documents of a bounded sample (SAMPLE_TOKENS).
+are learned by truncated backpropagation: they start from whole documents of a bounded sample
+(SAMPLE_TOKENS), which also gives the order of the units in classes, and then every training
+document is learned from once. It falls to one of ROUNDS rounds by a hash of its row; in a round each
+partition goes on from the same weights over its documents, and the results are averaged by tokens.
+A corpus that the sample holds whole is learned from there alone.
 
 Documents are scored whole: the state is carried from window to window and reset where a document
 begins. A task packs documents end to end into parallel lanes, longest first, so lanes stay full.
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,8 @@ OWN, BUCKETS, CLASSES, HIDDEN, WINDOW = 448, 64, 16, 24, 64
 UNITS = OWN + BUCKETS
 #: Counts that every task holds; tokens of the learning sample; passes over it.
 WARM, SAMPLE_TOKENS, EPOCHS = 50_000, 400_000, 2
+#: Rounds over all training documents; lanes and first rate of a partition's steps, tokens it holds at once; tasks that add weights.
+ROUNDS, WIDE, RATE, HELD, ADDERS = 4, 256, 2e-3, 1_000_000, 16
 #: Tokens that a task packs into lanes at once, lanes at most, and texts of one step.
 PACK, LANES, TEXTS = 5_000_000, 384, 500
 #: Distinct tokens that a counting task holds before it hands them on.
@@ -79,6 +86,10 @@ class Gru:
         self.p["bu"][:] = c - c.max(1, keepdims=True)
         top = np.log(np.exp(c - c.max()).sum(1)) + c.max()
         self.p["bc"][:] = top - top.max()
+        self.learn(docs, epochs, lanes, rate)
+
+    def learn(self, docs: list[np.ndarray], epochs: int, lanes: int, rate: float) -> None:
+        """Passes over the documents from the weights there are."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, total = 0, max(1, epochs * sum(map(len, docs)) // (lanes * 32))
@@ -206,7 +217,7 @@ class Gru:
         flow = np.zeros_like(states)
         _, flow[live] = self._log_probs(states[live], said[live], g)
         n_live = max(1, int(live.sum()))
-        d = np.zeros_like(h)
+        d, gates = np.zeros_like(h), np.empty((*read.shape, 3 * k), h.dtype)
         for t in range(len(read) - 1, -1, -1):
             was, z, r, un, n = tape[t]
             d = d + flow[t]
@@ -215,13 +226,29 @@ class Gru:
             dr = dn * un * r * (1 - r)
             gate = np.concatenate([dz, dr, dn], axis=1)
             back = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(g["x"], np.where(live[t], read[t], UNITS), gate)
+            gates[t] = gate
             g["b"] += gate.sum(0)
             g["bn"] += (dn * r).sum(0)
             g["u"] += was.T @ back
             d = (d * z + back @ p["u"].T) * (read[t] != UNITS)[:, None] * live[t][:, None]
+        at = np.where(live, read, UNITS).ravel()
+        order = np.argsort(at, kind="stable")
+        which, first = np.unique(at[order], return_index=True)
+        g["x"][which] = np.add.reduceat(gates.reshape(-1, 3 * k)[order], first)
         return {name: v / n_live for name, v in g.items()}, states[-1]
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def with_weights(self, w: np.ndarray) -> Gru:
+        """A network of the same classes with these weights."""
+        out, at = Gru(), 0
+        out.place = self.place
+        for k, v in out.p.items():
+            out.p[k] = w[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        return out
+
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each document's units."""
         out = np.zeros(len(docs))
@@ -263,6 +290,51 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def units_of(texts: list, known: dict) -> list[list[int]]:
+    """Places in the count vector: of the known tokens, then of the buckets."""
+    cut = [tokens(t) for t in texts]
+    own = {w: known[w] if w in known else len(known) + bucket(w) - OWN for w in set().union(*cut)}
+    return [list(map(own.__getitem__, x)) for x in cut]
+
+
+def learned(docs: DataFrame, net: Gru, index: dict, unit: np.ndarray, rate: float) -> Gru:
+    """One round: each partition learns from all its texts of docs(t); the mean of the weights by tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast((net, index, unit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, known, unit_ = sent.value
+        own, held, size, seen = start.with_weights(start.weights()), [], 0, 0
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                held += [unit_[x].astype(np.int64) for x in units_of(b.slice(at, TEXTS).column("t").to_pylist(), known)]
+                size = sum(map(len, held))
+                if size > HELD:
+                    own.learn(held, 1, WIDE, rate)
+                    held, size, seen = [], 0, seen + size
+        if held:
+            own.learn(held, 1, WIDE, rate)
+            seen += size
+        if seen:
+            yield _row(TaskContext.get().partitionId(), seen, own.weights().astype(np.float64) * seen)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total, first = 0, 0.0, 0
+        for b in batches:
+            for pid, c, w in zip(*(b.column(x).to_pylist() for x in ("pid", "seen", "w"))):
+                first, seen, total = pid, seen + c, total + np.frombuffer(w)
+        if seen:
+            yield _row(first, seen, total)
+
+    kind = "pid int, seen long, w binary"
+    sums = docs.mapInArrow(run, kind).repartition(ADDERS, "pid").sortWithinPartitions("pid").mapInArrow(add, kind).collect()  # ADDERS rows
+    seen = sum(r["seen"] for r in sums)
+    return net.with_weights(sum(np.frombuffer(r["w"]) for r in sorted(sums, key=lambda r: r["pid"])) / seen) if seen else net
+
+
+def _row(pid: int, seen: int, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["pid", "seen", "w"])
+
+
 _OUT = [("k1", pa.int64()), ("k2", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("unit", pa.int32()), ("tf", pa.int64())]
 
 
@@ -292,30 +364,29 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         unit_n[r["unit"]], unit_v[r["unit"]] = r["n"], r["v"]
     share = np.where(np.arange(UNITS) < OWN, 1.0, unit_n + 0.5 * (unit_v + 1))
 
-    # A bounded sample of whole training documents, by a hash of the row.
+    # The start: a bounded sample of whole training documents, by a hash of the row.
     per = n / max(1, train.count())
     wanted = SAMPLE_TOKENS / max(1.0, per)
     docs_n = max(1.0, n / max(1.0, per))
-    sample = train.where(F.pmod(F.xxhash64("id", "t", F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, wanted / docs_n) * (1 << 30))).select("t")
-
-    def units_of(texts: list, known: dict) -> list[list[int]]:
-        cut = [tokens(t) for t in texts]
-        own = {w: known[w] if w in known else len(warm) + bucket(w) - OWN for w in set().union(*cut)}
-        return [list(map(own.__getitem__, x)) for x in cut]
+    sample = train.where(F.pmod(F.xxhash64("id", "t", F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, wanted / docs_n) * (1 << 30))).select("t", F.xxhash64("id", "t", F.lit(6)).alias("h"))
 
     def to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 got = units_of(b.slice(at, TEXTS).column("t").to_pylist(), index)
-                yield pa.RecordBatch.from_arrays([pa.array([unit[x].astype(np.int16).tobytes() for x in got], pa.binary())], names=["u"])
+                yield pa.RecordBatch.from_arrays([b.slice(at, TEXTS).column("h"), pa.array([unit[x].astype(np.int16).tobytes() for x in got], pa.binary())], names=["h", "u"])
 
     got, size = [], 0
-    for r in sorted(bytes(r["u"]) for r in sample.mapInArrow(to_units, "u binary").collect()):
+    for _, r in sorted((r["h"], bytes(r["u"])) for r in sample.mapInArrow(to_units, "h long, u binary").collect()):
         if size < 1.2 * SAMPLE_TOKENS:
             got.append(np.frombuffer(r, dtype=np.int16).astype(np.int64))
             size += len(got[-1])
     net = Gru()
     net.fit(got, unit_n)
+    if size < n:
+        for k in range(ROUNDS):
+            part = train.where(F.pmod(F.xxhash64("id", "t", F.lit(7)), F.lit(ROUNDS)) == k).select("t")
+            net = learned(part, net, index, unit, RATE * (1 - k / ROUNDS))
     c = np.array([x for _, x in warm] + [0] * BUCKETS, dtype=np.float64)
     rare = np.arange(len(c)) >= len(warm)
     base_of = np.where(rare, 0.0, np.log10((c + 0.5) / (n + 0.5 * (v + 1))))

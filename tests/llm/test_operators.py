@@ -247,6 +247,26 @@ def test_gru_scores_against_brute_force(spark, odd, empty):
     assert gru.score_documents(empty).count() == 0
 
 
+def test_gru_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(gru, "SAMPLE_TOKENS", 300)  # far fewer tokens than there are
+    monkeypatch.setattr(gru, "WIDE", 4)
+    seen, learned = [], gru.learned
+
+    def counting(docs, *rest):
+        seen.extend(r["t"] for r in docs.collect())
+        return learned(docs, *rest)
+
+    monkeypatch.setattr(gru, "learned", counting)
+    rows = [(i, " ".join(random.Random(i).choice(("the cat sat", "le chat dort")) for _ in range(12))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    total = lambda: sum(r["score"] for r in gru.score_documents(df).collect() if r["held_out"])
+    after = total()
+    assert Counter(seen) == Counter(t for i, t in rows if crc_bucket(i, 5) != 1)
+    monkeypatch.setattr(gru, "learned", lambda docs, net, *rest: net)
+    assert after > total()  # better than the sample alone
+
+
+
 # 6 near duplicates
 
 
