@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a local master; on a cluster that is an error,
+    as executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = own.get() if own.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sessionloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(sc: SparkContext, path: str) -> None:
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor loses none of them.
 
-    `keep` writes a frame and reads it back. `drop` removes tables that no later plan reads.
+    `keep` writes a frame and reads it back. `drop` removes tables that no later plan reads. What an
+    operator's result still reads goes with `clear_scratch`, at the latest when the driver ends.
     """
 
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.roots.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -46,9 +71,32 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := getattr(df, "_scratch_path", None):
-                jvm = self.spark.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(self.spark.sparkContext, path)
+
+
+def clear_scratch() -> None:
+    """Removes all scratch tables of this driver; results that have not been written yet are lost."""
+    sc = SparkContext._active_spark_context
+    while Scratch.roots:
+        root = Scratch.roots.pop()
+        if sc is not None and sc._jsc is not None:
+            _delete(sc, root)
+        else:  # the session has ended: what the driver reaches as a file still goes
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+atexit.register(clear_scratch)
+
+
+def steps(batch: pa.RecordBatch, column: str, most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, but for a single row, bytes of the column's texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, side="right"))
+        end = min(max(end, at + 1), at + most_rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
