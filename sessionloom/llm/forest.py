@@ -8,7 +8,10 @@ the sample needed for TARGET recall; the vectors of those leaves are reranked by
 products in double precision.
 
 Leaves are gathered into blocks (subtrees of about BLOCK vectors), and a query meets a block once,
-with the list of its leaves. A block reports a candidate only if it reaches the query's floor, the
+with the list of its leaves. Trees are no deeper than the sample can fit, so a block grows with the
+vectors beyond some hundred thousand, and every block's queries grow with the queries: both sides are
+dealt by hashes into parts of about MOST vectors and QUERIES queries, known from two counts, and
+every two parts of a block meet in a task. No task holds more, whatever the table. A block reports a candidate only if it reaches the query's floor, the
 (K + 1)-th best inner product among the sample vectors of the leaves that the query visits: these
 are found in any case, so nothing below can be among the nearest found. Equal vectors are one
 entry that carries its K + 1 smallest ids, enough for any top K without the query's own id.
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 K, TREES, LEAF, BLOCK = 20, 4, 256, 4096
+#: Vectors and queries of one part of a block, about.
+MOST, QUERIES = 8192, 20_000
 #: Vectors and floats of the fitting sample, at most; sample queries that set the search breadth.
 SAMPLE, SAMPLE_FLOATS, TRIALS = 16_384, 4_000_000, 300
 TARGET = 0.95
@@ -169,8 +174,13 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K, vec_id: str = "v
                 c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.int32()), *[pa.array(z, pa.int64()) for z in c[4:7]], pa.array(c[7], pa.list_(pa.float64())), pa.array(c[8], pa.float64())], names=[z.split()[0] for z in cells.split(", ")])
 
+    wanted = rows.where(F.col("id") % every == 0)
+    vector_parts, query_parts = max(1, math.ceil(n / ((1 << (depth - up)) * MOST))), max(1, math.ceil(wanted.count() / QUERIES))
+    each_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     index = entries.select(F.lit(None).cast("long").alias("id"), F.col("key.a").alias("a"), F.col("key.b").alias("b"), "v").mapInArrow(route, cells)
-    asked = rows.where(F.col("id") % every == 0).select("id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "v").mapInArrow(route, cells)
+    index = index.withColumn("vp", F.pmod(F.hash("a", "b"), F.lit(vector_parts))).withColumn("qp", each_of(query_parts))
+    asked = wanted.select("id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "v").mapInArrow(route, cells)
+    asked = asked.withColumn("qp", F.pmod(F.hash("id"), F.lit(query_parts))).withColumn("vp", each_of(vector_parts))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Exact products of one block's queries with the vectors of the leaves that each visits."""
@@ -196,7 +206,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K, vec_id: str = "v
         cols = [np.concatenate(z) for z in zip(*got)] if got else [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "a", "b", "score"), cols)))
 
-    met = index.groupBy("t", "block").cogroup(asked.groupBy("t", "block")).applyInPandas(rerank, "query_id long, a long, b long, score double")
+    part = ["t", "block", "vp", "qp"]
+    met = index.groupBy(*part).cogroup(asked.groupBy(*part)).applyInPandas(rerank, "query_id long, a long, b long, score double")
     met = met.groupBy("query_id", "a", "b").agg(F.max("score").alias("score"))
     names = entries.select(F.col("key.a").alias("a"), F.col("key.b").alias("b"), F.col("ids"))
     each = met.join(names, ["a", "b"]).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
