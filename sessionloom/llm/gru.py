@@ -27,6 +27,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_rows
+from .common import Scratch, fold_rows, steps
 
 #: Units and classes of the network, hidden size, and steps of one window.
 OWN, BUCKETS, CLASSES, HIDDEN, WINDOW = 448, 64, 16, 24, 64
@@ -46,8 +47,10 @@ UNITS = OWN + BUCKETS
 WARM, SAMPLE_TOKENS, EPOCHS = 50_000, 400_000, 2
 #: Rounds over all training documents; lanes and first rate of a partition's steps, tokens it holds at once; tasks that add weights.
 ROUNDS, WIDE, RATE, HELD, ADDERS = 4, 256, 2e-3, 1_000_000, 16
-#: Tokens that a task packs into lanes at once, lanes at most, and texts of one step.
-PACK, LANES, TEXTS = 5_000_000, 384, 500
+#: Tokens that a task packs into lanes at once, lanes at most, and texts and bytes of text of one step.
+PACK, LANES, TEXTS, STEP_BYTES = 5_000_000, 384, 500, 8 << 20
+#: Counts below this have a class each in the histogram of counts, larger ones 64 for each doubling.
+EXACT_COUNTS = 1024
 #: Distinct tokens that a counting task holds before it hands them on.
 COUNTED = 300_000
 #: The end token; no word is empty.
@@ -290,6 +293,26 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, c) of the `most` most frequent words, most frequent first; only they come to the driver.
+
+    A histogram of the counts, of some thousand classes at most, tells the class in which the list
+    ends; of that class, words are taken by a hash.
+    """
+    log = F.floor((F.log2(F.col("c")) - math.log2(EXACT_COUNTS)) * 64).cast("long") + EXACT_COUNTS
+    kind = F.when(F.col("c") < EXACT_COUNTS, F.col("c")).otherwise(log)
+    sizes = sorted(((r["kind"], r["words"]) for r in counts.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    left, taken = most, F.lit(False)
+    for k, words in sizes:
+        if words > left:
+            share = F.pmod(F.xxhash64("word", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * left / words)
+            taken |= (kind == k) & share
+            break
+        taken, left = kind >= k, left - words
+    got = counts.where(taken).select("word", "c").collect()  # about `most` rows
+    return sorted(((bytes(r["word"]), r["c"]) for r in got), key=lambda x: (-x[1], x[0]))[:most]
+
+
 def units_of(texts: list, known: dict) -> list[list[int]]:
     """Places in the count vector: of the known tokens, then of the buckets."""
     cut = [tokens(t) for t in texts]
@@ -305,9 +328,9 @@ def learned(docs: DataFrame, net: Gru, index: dict, unit: np.ndarray, rate: floa
         start, known, unit_ = sent.value
         own, held, size, seen = start.with_weights(start.weights()), [], 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                held += [unit_[x].astype(np.int64) for x in units_of(b.slice(at, TEXTS).column("t").to_pylist(), known)]
-                size = sum(map(len, held))
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
+                got = [unit_[x].astype(np.int64) for x in units_of(part.column("t").to_pylist(), known)]
+                held, size = held + got, size + sum(map(len, got))
                 if size > HELD:
                     own.learn(held, 1, WIDE, rate)
                     held, size, seen = [], 0, seen + size
@@ -346,7 +369,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     train = rows.where(~F.col("held_out"))
     counts = scratch.keep(token_counts(train), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    warm = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(WARM).collect()]  # WARM rows
+    warm = frequent(counts, WARM)
     index = {w: i for i, (w, _) in enumerate(warm)}
     unit = np.array([i if i < OWN else bucket(w) for i, (w, _) in enumerate(warm)] + list(range(OWN, UNITS)), dtype=np.int64)
 
@@ -372,9 +395,9 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                got = units_of(b.slice(at, TEXTS).column("t").to_pylist(), index)
-                yield pa.RecordBatch.from_arrays([b.slice(at, TEXTS).column("h"), pa.array([unit[x].astype(np.int16).tobytes() for x in got], pa.binary())], names=["h", "u"])
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
+                got = units_of(part.column("t").to_pylist(), index)
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array([unit[x].astype(np.int16).tobytes() for x in got], pa.binary())], names=["h", "u"])
 
     got, size = [], 0
     for _, r in sorted((r["h"], bytes(r["u"])) for r in sample.mapInArrow(to_units, "h long, u binary").collect()):
@@ -410,8 +433,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             return b
 
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
                 texts = part.column("t").to_pylist()
                 k1, k2, held_out = (part.column(x).to_pylist() for x in ("k1", "k2", "held_out"))
                 rare_rows: list[tuple] = []
