@@ -84,18 +84,21 @@ def visit_parts(parts: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, parts: str = "parts") -> DataFrame:
-    """turns(conv_id, turn, role, parts) with `formatted`, `content_at`, `content_chars`, `attachments`, `expanded_tokens`."""
-    seen = visit_parts(F.col(parts))
-    role = escape_role(F.coalesce(F.col("role"), F.lit("")))
-    head = F.concat(F.lit(START), role, F.lit("\n"))
-    out = turns.withColumn("_seen", seen)
-    return out.select(
-        *[F.col(f"`{c}`") for c in turns.columns],
-        F.concat(head, F.col("_seen.content"), F.lit(END + "\n")).alias("formatted"),
+    """conv_id, turn and role of turns, `formatted`, `content_at`, `content_chars`, `attachments`, `expanded_tokens`.
+
+    Other columns are not carried, so none can clash with these.
+    """
+    rows = turns.select("conv_id", "turn", "role", visit_parts(F.col(f"`{parts}`")).alias("seen"))
+    head = F.concat(F.lit(START), escape_role(F.coalesce(F.col("role"), F.lit(""))), F.lit("\n"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.concat(head, F.col("seen.content"), F.lit(END + "\n")).alias("formatted"),
         F.length(head).cast("long").alias("content_at"),
-        F.length("_seen.content").cast("long").alias("content_chars"),
-        F.col("_seen.attachments").alias("attachments"),
-        F.aggregate(F.col("_seen.attachments"), F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
+        F.length("seen.content").cast("long").alias("content_chars"),
+        F.col("seen.attachments").alias("attachments"),
+        F.aggregate(F.col("seen.attachments"), F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
     )
 
 
