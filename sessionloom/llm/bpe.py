@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import steps
+
 _BIT = [1 << i for i in range(256)]
 #: Entries of one generation of what a worker remembers.
 REMEMBERED = 250_000
-#: Texts of one step, and pre-tokens that share one queue.
-TEXTS, PIECES = 500, 2_000
+#: Texts and bytes of text of one step, and pre-tokens that share one queue.
+TEXTS, STEP_BYTES, PIECES = 500, 4 << 20, 2_000
 #: Blanks that certainly begin a pre-token, and texts in which other blanks exist.
 STRETCH, DOUBLE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|\A |\s\Z")
 #: Pre-tokens longer than this are not remembered.
@@ -59,6 +61,8 @@ class ByteBpe:
                 if x is not None and y is not None:
                     self.to_right[x][y] = self.to_left[y][x] = r
         self.pattern = regex.compile(pattern)
+        # Only of this pattern is it known that a blank between two characters begins a pre-token.
+        self.cuts_at_blanks = pattern == default_ranks()[1]
         # Two generations each of remembered pre-tokens, and of stretches that follow a blank.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -170,8 +174,12 @@ class ByteBpe:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
         A blank between two characters that are not white space always begins a pre-token, so the
-        text is cut there first: the stretches between such blanks are encoded once and recur.
+        text is cut there first: the stretches between such blanks are encoded once and recur. With
+        another pattern, texts are not cut first.
         """
+        if not self.cuts_at_blanks:
+            whole = self.pieces(list(set(texts)))
+            return [whole[t] for t in texts]
         cut = []
         for t in texts:
             x = STRETCH.split(t) if DOUBLE.search(t) else t.split(" ")
@@ -194,7 +202,22 @@ class ByteBpe:
         return out
 
     def decode(self, codes: list[bytes]) -> list[bytes]:
-        """The bytes that each text's ids stand for."""
+        """The bytes that each text's ids stand for; at most STEP_BYTES of ids are spelt at a time."""
+        out: list[bytes] = []
+        held: list[bytes] = []
+        size = 0
+        for code in codes:
+            if size + len(code) > STEP_BYTES:
+                out += self._spell(held)
+                held, size = [], 0
+            if len(code) > STEP_BYTES:
+                out.append(b"".join(self._spell([code[at : at + STEP_BYTES] for at in range(0, len(code), STEP_BYTES)])))
+            else:
+                held.append(code)
+                size += len(code)
+        return out + self._spell(held)
+
+    def _spell(self, codes: list[bytes]) -> list[bytes]:
         ids = np.frombuffer(b"".join(codes), dtype="<u4")
         size = self.length[ids]
         ends = np.cumsum(size)
@@ -204,6 +227,7 @@ class ByteBpe:
         cuts = np.r_[0, ends][np.cumsum([0, *(len(c) // 4 for c in codes)])].tolist()
         return [flat[a:z] for a, z in zip(cuts, cuts[1:])]
 
+
 @lru_cache(maxsize=2)
 def bpe(path: str, pattern: str) -> ByteBpe:
     """One encoder a worker process."""
@@ -236,9 +260,8 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                found = own.encode([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
+                found = own.encode([x or "" for x in part.column("t").to_pylist()])
                 offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
                 back = [pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(found)], pa.string())] if decoded else []
@@ -258,7 +281,7 @@ def decode_ids(encoded: DataFrame, ids: str = "ids", keep: tuple = ("doc_id",),
         own = bpe(path, pattern)
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
+                part = b.slice(at, TEXTS)  # ids are spelt in steps of bounded size
                 out = own.decode(_codes(part.column(part.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*(f"k{i}" for i in range(part.num_columns - 1)), "decoded"])
 
@@ -276,8 +299,7 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path
         own = bpe(path, pattern)
         digest = hashlib.sha256
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
                 codes = own.encode([x or "" for x in part.column("t").to_pylist()])
                 n = pa.array([len(x) // 4 for x in codes], pa.int64())
                 a = pa.array([digest(x).hexdigest() for x in codes], pa.string())
