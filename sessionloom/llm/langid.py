@@ -6,13 +6,15 @@ against the rest, picks the family (none is needed for one family); within a fam
 SVM for each pair of its languages votes, margins breaking ties. Profiles are hashed byte bigrams
 and trigrams of the whole text, with ASCII letters lower-cased and other ASCII bytes as blanks.
 
-The learner sees a bounded sample: PER_LANG rows of each of at most LANGS languages (the most
-frequent), chosen by a hash of the id; the profiles are taken from whole texts on the executors.
+The learner sees a bounded sample: PER_LANG rows of each language, fewer where that would be more
+than SAMPLE rows in all, chosen by a hash of the row; the profiles are taken from whole texts on the
+executors. Every language that the training rows name is learned; more than LANGS is an error.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, also where nothing
 could be learned; with one learned language every other text gets it, with score 1. A null id
-belongs to fold crc32('') and is neither held out nor different from others. Repeated rows, ties
-and clashing columns need no care: prediction is row by row.
+belongs to fold crc32('') and is neither held out nor different from others. Where docs has a
+column of the name meant for the prediction or score, underscores are added to it. Repeated rows
+and ties need no care: prediction is row by row.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold_rows
+from .common import fold_rows, free_name, steps
 
-#: Buckets of the hashed profile; training rows a language, and languages, at most.
-DIM, PER_LANG, LANGS = 4096, 300, 200
-#: Bytes that one step of profiling works on.
-STEP_BYTES = 1 << 20
+#: Buckets of the hashed profile; training rows a language, training rows, and languages, at most.
+DIM, PER_LANG, SAMPLE, LANGS = 4096, 300, 12_000, 300
+#: Bytes of one text that profiling works on at once; texts and bytes of text of one step.
+STEP_BYTES, TEXTS, TEXT_BYTES = 1 << 20, 512, 8 << 20
 
 _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[:128] = 32
@@ -147,46 +150,47 @@ class LanguageModel:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train=None) -> LanguageModel:
     """Learns from the labelled rows that `train` admits (default: crc32 of the id mod 4 is not 2)."""
     train = (fold_rows(doc_id, 4) != 2) if train is None else train
-    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(8)), F.lit(1 << 20)).alias("h"))
-    counts = docs.where(train & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGS).collect()
+    named = docs.where(train & F.col(lang).isNotNull())
+    counts = named.groupBy(F.col(lang).cast("string").alias("l")).count().orderBy("l").limit(LANGS + 1).collect()
     if not counts:
         return LanguageModel(np.zeros((0, DIM), np.float32), [])
-    picked = None
-    for r in counts:
-        admit = (F.col("l") == r["l"]) & (F.col("h") < int(min(1.0, 1.3 * PER_LANG / r["count"]) * (1 << 20)) + 1)
-        picked = admit if picked is None else picked | admit
+    if len(counts) > LANGS:
+        raise ValueError(f"the training rows name more than {LANGS} languages")
+    rows = named.where(F.col(text).rlike(r"\p{L}")).select(
+        F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(8)), F.lit(1 << 30)).alias("h")
+    )
+    per = max(2, min(PER_LANG, SAMPLE // len(counts)))
+    admitted = [(r["l"], int(min(1.0, 1.3 * per / r["count"]) * (1 << 30)) + 1) for r in counts]
+    admitted = docs.sparkSession.createDataFrame(admitted, "l string, below long")  # a row a language
+    picked = rows.join(F.broadcast(admitted), "l").where(F.col("h") < F.col("below")).select("t", "l", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in steps(b, "t", TEXTS // 2, TEXT_BYTES):
                 x = profiles(part.column("t").to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("l"), part.column("h"), pa.array([v.tobytes() for v in x], pa.binary())], names=["l", "h", "x"])
 
-    got = rows.where(picked).mapInArrow(run, "l string, h long, x binary").collect()  # a bounded sample
+    got = picked.mapInArrow(run, "l string, h long, x binary").collect()  # a bounded sample, about 1.3 * SAMPLE rows of 8 KB
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["h"], bytes(r["x"]))):
         by.setdefault(r["l"], []).append(bytes(r["x"]))
-    labels = [k for k in sorted(by) for _ in by[k][:PER_LANG]]
-    x = np.stack([np.frombuffer(v, dtype=np.float16) for k in sorted(by) for v in by[k][:PER_LANG]]).astype(np.float32) if labels else np.zeros((0, DIM), np.float32)
+    labels = [k for k in sorted(by) for _ in by[k][:per]]
+    x = np.stack([np.frombuffer(v, dtype=np.float16) for k in sorted(by) for v in by[k][:per]]).astype(np.float32) if labels else np.zeros((0, DIM), np.float32)
     return LanguageModel(x, labels)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with a prediction and a score between 0 and 1 for each row; only the text is read."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGS squared rows of DIM weights
+    """docs with two more columns, a prediction and a score between 0 and 1; only the text is read."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a row of DIM weights a family and a pair within one
     names = docs.columns
-    at = names.index(text)
-    if {prediction, score} & set(names):
-        raise ValueError("the columns for the prediction are taken")
+    prediction, score = free_name(docs, prediction), free_name(docs, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
-            for start in range(0, b.num_rows, 512):
-                part = b.slice(start, 512)
+            for part in steps(b, f"k{names.index(text)}", TEXTS, TEXT_BYTES):
                 lettered = part.column(part.num_columns - 1).to_pylist()
-                texts = part.column(at).to_pylist()
+                texts = part.column(names.index(text)).to_pylist()
                 if own.langs:
                     said, sure = own.predict(profiles(texts))
                 else:
@@ -195,8 +199,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", predicti
                 sure = [float(v) if ok else 0.0 for v, ok in zip(sure, lettered)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=[*(f"k{i}" for i in range(len(names))), "p", "s"])
 
-    from pyspark.sql import types as T
-
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("p", T.StringType()), T.StructField("s", T.DoubleType())])
     return rows.mapInArrow(run, schema).toDF(*names, prediction, score)
@@ -211,8 +213,6 @@ def label_documents(docs: DataFrame, text: str = "text", lang: str = "lang", doc
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: float = 0.0) -> DataFrame:
     """The rows whose language is not `und` and whose score is at least `least`, with docs' columns."""
-    model = fit(docs, text, lang, doc_id)
-    from .common import free_name
-
-    p, s = free_name(docs, "_lang_pred"), free_name(docs, "_score")
-    return identify(docs, model, text, p, s).where((F.col(p) != "und") & (F.col(s) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    said = identify(docs, fit(docs, text, lang, doc_id), text, "_lang_pred", "_score")
+    p, s = said.columns[-2:]
+    return said.where((F.col(p) != "und") & (F.col(s) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
