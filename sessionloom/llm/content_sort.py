@@ -2,9 +2,9 @@
 
 Sampled splitters range-partition the normalised text, an external sort inside each range puts
 equal texts next to each other, and every row is compared in full with its neighbour. The sort
-order is (first 64 characters, 64-bit hash, whole text, id), so splitters stay short whatever the
-texts, and a group of any size is cut into ranges at its ids. Runs that touch the edge of a range
-are joined by their whole text: at most two rows a range.
+order is (first 64 characters, two 64-bit hashes, whole text, id), so splitters stay short whatever
+the texts, and a group of any size is cut into ranges at its ids. Runs that touch the edge of a
+range are joined by their whole text: at most two rows a range.
 
 Defined cases: a null text counts as empty, and empty texts equal each other; a null id sorts
 after all others and is the keeper only where no row of the group has an id; of repeated rows that
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +31,20 @@ SPLITTER_CHARS = 64
 ROWS_OUT = 20_000
 
 
-def normalised(text):
+def normalised(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _sorted(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Rows (doc_id, norm, and all columns as `row` where carried) in content order."""
-    n = shuffle_partitions(docs.sparkSession)
-    keys = [F.substring("norm", 1, SPLITTER_CHARS), F.xxhash64("norm"), F.col("id").asc_nulls_last()]
-    order = [*keys[:2], F.col("norm"), keys[2]]
-    return docs.repartitionByRange(n, *keys).sortWithinPartitions(*order)
+def _keys(norm: Column) -> list[Column]:
+    """What stands before the text in the order: ranges are cut by these and the id."""
+    return [F.substring(norm, 1, SPLITTER_CHARS), F.xxhash64(norm), F.xxhash64(norm, F.lit(7))]
+
+
+def _sorted(docs: DataFrame) -> DataFrame:
+    """Rows (id, norm) in content order."""
+    keys, last = _keys(F.col("norm")), F.col("id").asc_nulls_last()
+    return docs.repartitionByRange(shuffle_partitions(docs.sparkSession), *keys, last).sortWithinPartitions(*keys, "norm", last)
 
 
 def _emit(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -95,7 +98,7 @@ def content_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), normalised(F.col(text)).alias("norm"))
     types = T.StructType([T.StructField("id", T.LongType()), T.StructField("run", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("head", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("edge", T.BooleanType()), T.StructField("text", T.StringType())])
-    runs = scratch.keep(_sorted(rows, text, doc_id).mapInArrow(_members, types), "runs")
+    runs = scratch.keep(_sorted(rows).mapInArrow(_members, types), "runs")
     join = F.broadcast(_stitched(runs))  # at most two rows a range
     out = runs.where("not edge").drop("text").join(join, "run", "left")
     across = F.col("keeper_run").isNotNull()
@@ -118,10 +121,9 @@ def content_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     heads_type = T.StructType([T.StructField("run", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("edge", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("row", rows.schema["row"].dataType, True)])
     n_range = shuffle_partitions(docs.sparkSession)
     # The normalised text decides the order but is not shipped: a task derives it from the row again.
-    norm = normalised(F.col(f"row.`{text}`"))
-    keys = [F.substring(norm, 1, SPLITTER_CHARS), F.xxhash64(norm), F.col("id").asc_nulls_last()]
-    dealt = rows.select("id", "row").repartitionByRange(n_range, *keys).withColumn("norm", norm)
-    ordered = dealt.sortWithinPartitions(F.substring("norm", 1, SPLITTER_CHARS), F.xxhash64("norm"), "norm", keys[2])
+    norm, last = normalised(F.col(f"row.`{text}`")), F.col("id").asc_nulls_last()
+    dealt = rows.select("id", "row").repartitionByRange(n_range, *_keys(norm), last).withColumn("norm", norm)
+    ordered = dealt.sortWithinPartitions(*_keys(F.col("norm")), "norm", last)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, cur, first_id, size, first_done = TaskContext.get().partitionId() << 36, -1, None, None, 0, False
