@@ -9,6 +9,7 @@ these meet in a reduction tree. The words a source gives therefore differ from i
 than one document.
 
 The random choices are hashes of the rows and the seed: reruns agree, whatever the partitioning.
+Rows are told apart by two 64-bit hashes of (doc_id, source, size) and an ordinal among equal ones.
 
 Defined cases: a null text has size 0; a document of size 0 is taken 0 words (its copies: the whole
 part of the expectation); a null source is a source of its own, last in order; rows that are
@@ -23,13 +24,15 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, free_name
 
 #: Documents that meet in one block, residuals that meet in one node of the tree.
 BLOCK, FANOUT = 20_000, 64
+#: Parts that rows of one (doc_id, source, size) are numbered in.
+PARTS = 64
 #: A probability within this of a whole number is whole.
 EPS = 1e-12
 
@@ -100,7 +103,7 @@ def _node(seed: int, level: int):
     """The steps of one block or node; `held` rows are still fractional."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "size", "key", "ordinal"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["source", "size", "key", "key2", "ordinal"], kind="stable", na_position="last").reset_index(drop=True)
         outcome, p, held = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=bool)
         label = pdf["source_no"].to_numpy()
         cuts = np.flatnonzero(np.r_[True, label[1:] != label[:-1], True]) if len(pdf) else np.array([0])
@@ -110,66 +113,86 @@ def _node(seed: int, level: int):
             outcome[a:b] = got
             if at is not None:
                 held[a + at], p[a + at] = True, rest
-        return pdf.assign(extra=outcome, p=p, held=held)[["key", "ordinal", "source", "source_no", "size", "p", "node", "extra", "held"]]
+        return pdf.assign(extra=outcome, p=p, held=held)[_NODE_NAMES]
 
     return run
 
 
-_NODE = "key long, ordinal long, source string, source_no long, size long, p double, node long, extra long, held boolean"
+_NODE = "key long, key2 long, ordinal long, source string, source_no long, size long, p double, node long, extra long, held boolean"
+_NODE_NAMES = [x.split()[0] for x in _NODE.split(", ")]
+
+
+def _sizes(docs: DataFrame, text: str, source: str, doc_id: str) -> list[Column]:
+    words = F.regexp_count(F.col(f"`{text}`"), F.lit(WORD))
+    return [F.col(f"`{doc_id}`").cast("long"), F.col(f"`{source}`").cast("string"), F.coalesce(words, F.lit(0)).cast("long")]
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cycle: tuple = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: int = 20) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row of docs."""
+    """doc_id, source, size, source_size, target, copies, taken, times and ordinal for every row of docs.
+
+    `times` is how many rows have the same doc_id, source and size, `ordinal` (from 1) which of them this is.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(*[c.alias(n) for c, n in zip(_sizes(docs, text, source, doc_id), ("doc_id", "source", "size"))])
     # Rows that are equal in id, source and size are interchangeable: they are counted once and told apart by an ordinal.
     rows = scratch.keep(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
-    per = {r["source"]: (r["words"], r["rows"]) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("words"), F.sum("times").alias("rows")).collect()}  # a row a source
-    sizes = {s: w for s, (w, _) in per.items()}
-    targets = shared_targets(sizes, cycled_weights(list(sizes)), share * sum(sizes.values()), cap) if sizes else {}
-    n_rows = sum(n for _, n in per.values())
+    per = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("words"), F.sum("times").alias("rows")).collect()  # a row a source
+    sizes, n_rows = {r["source"]: r["words"] for r in per}, sum(r["rows"] for r in per)
+    targets = shared_targets(sizes, cycled_weights(list(sizes), cycle), share * sum(sizes.values()), cap) if sizes else {}
     numbered = {s: i for i, s in enumerate(cycled_weights(list(sizes)))}
-    plan = spark.createDataFrame([(s, numbered[s], int(sizes[s]), float(targets[s]), min(float(cap), targets[s] / sizes[s]) if sizes[s] else 0.0) for s in sizes], "of string, source_no long, source_size long, target double, expected double")
-    rows = rows.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
+    plan = [(s, numbered[s], int(sizes[s]), float(targets[s]), min(float(cap), targets[s] / sizes[s]) if sizes[s] else 0.0) for s in sizes]
+    plan = spark.createDataFrame(plan, "of string, source_no long, source_size long, target double, expected double")
+    rows = rows.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("times"))))
     rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")  # a row a source
     whole = F.floor(F.col("expected") + EPS)
-    rows = rows.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("expected") - whole)).withColumn("key", F.xxhash64("doc_id", "source", "size"))
+    rows = rows.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("expected") - whole))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "source", "size")).withColumn("key2", F.xxhash64("size", "source", "doc_id", F.lit(seed)))
     blocks = max(1, math.ceil(n_rows / BLOCK))
     open_ = rows.where((F.col("p") > EPS) & (F.col("size") > 0))
-    dealt = open_.select("key", "ordinal", "source", "source_no", "size", "p", F.pmod(F.xxhash64("key", "ordinal", F.lit(seed)), F.lit(blocks)).alias("node"))
+    of_row, carried = ["key", "key2", "ordinal"], ["source", "source_no", "size", "p"]
+    dealt = open_.select(*of_row, *carried, F.pmod(F.xxhash64(*of_row, F.lit(seed)), F.lit(blocks)).alias("node"))
     done, level, nodes = [], 0, blocks
     while True:
         step = scratch.keep(dealt.groupBy("node").applyInPandas(_node(seed, level), _NODE), f"level{level}")
-        done.append(step.where("not held").select("key", "ordinal", "extra"))
+        done.append(step.where("not held").select(*of_row, "extra"))
         if nodes == 1:
             # One fractional document a source is left: an independent draw ends it.
-            last = F.when((F.pmod(F.xxhash64("key", "ordinal", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)) < F.col("p"), 1).otherwise(0)
-            done.append(step.where("held").select("key", "ordinal", last.cast("long").alias("extra")))
+            drawn = F.pmod(F.xxhash64(*of_row, F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+            done.append(step.where("held").select(*of_row, F.when(drawn < F.col("p"), 1).otherwise(0).cast("long").alias("extra")))
             break
         nodes, level = math.ceil(nodes / FANOUT), level + 1
-        dealt = step.where("held").select("key", "ordinal", "source", "source_no", "size", "p", F.pmod(F.col("node"), F.lit(nodes)).alias("node"))
+        dealt = step.where("held").select(*of_row, *carried, F.pmod(F.col("node"), F.lit(nodes)).alias("node"))
     drawn = done[0]
     for more in done[1:]:
         drawn = drawn.unionByName(more)
-    out = rows.join(drawn, ["key", "ordinal"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = rows.join(drawn, of_row, "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", taken, "times", "ordinal")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, each as often as the mix takes it; documents that it does not take go."""
     text, source, doc_id = (options.get(k, k) for k in ("text", "source", "doc_id"))
-    picked = mix(docs, **options).select("doc_id", "source", "size", "copies")
-    # Equal (doc_id, source, size) rows share their copies evenly by position.
-    shared = picked.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    names = {k: free_name(docs, k) for k in ("_i", "_s", "_w", "_n", "_c")}
-    own = docs.withColumns({names["_i"]: F.col(doc_id).cast("long"), names["_s"]: F.col(source).cast("string"), names["_w"]: F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")})
-    names |= {k: free_name(docs, k) for k in ("_ji", "_js", "_jw")}
-    shared = shared.select(*[F.col(a).alias(names[b]) for a, b in (("doc_id", "_ji"), ("source", "_js"), ("size", "_jw"), ("copies", "_c"))])
-    joined = own.join(shared, F.col(names["_i"]).eqNullSafe(F.col(names["_ji"])) & F.col(names["_s"]).eqNullSafe(F.col(names["_js"])) & (F.col(names["_w"]) == F.col(names["_jw"])))
-    several = F.size(names["_c"]) > 1
-    once = joined.where(~several).withColumn(names["_n"], F.lit(1))
-    many = joined.where(several).withColumn(names["_n"], F.row_number().over(Window.partitionBy(names["_i"], names["_s"], names["_w"]).orderBy(F.col(text))))
-    both = once.unionByName(many)
-    repeats = F.element_at(names["_c"], F.col(names["_n"]))
-    return both.withColumn(names["_c"], F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats))).where(F.col(names["_c"]).isNotNull()).withColumn(names["_c"], F.explode(names["_c"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession)
+    picked = scratch.keep(mix(docs, **options).select("doc_id", "source", "size", "copies", "times", "ordinal"), "picked")
+    names = [free_name(docs, k) for k in ("_i", "_s", "_w", "_ji", "_js", "_jw", "_c", "_o", "_p", "_r")]
+    i, s, w, ji, js, jw, c, o, p, r = names
+    own = docs.withColumns(dict(zip((i, s, w), _sizes(docs, text, source, doc_id))))
+    renamed = {"doc_id": ji, "source": js, "size": jw, "copies": c}
+    same = F.col(i).eqNullSafe(F.col(ji)) & F.col(s).eqNullSafe(F.col(js)) & (F.col(w) == F.col(jw))
+    both = own.join(picked.where("times = 1").drop("times", "ordinal").withColumnsRenamed(renamed), same)
+    groups = picked.where("times > 1 and ordinal = 1").select("doc_id", "source", "size").withColumnsRenamed(renamed)
+    if not groups.isEmpty():
+        # Rows of one (doc_id, source, size) are numbered in parts, so that no group is one task's.
+        whole_row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+        several = scratch.keep(own.join(groups, same, "left_semi").withColumn(p, F.pmod(whole_row, F.lit(PARTS))), "several")
+        within = F.row_number().over(Window.partitionBy(i, s, w, p).orderBy(whole_row, F.col(f"`{text}`")))
+        before = F.coalesce(F.sum(o).over(Window.partitionBy(i, s, w).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = several.groupBy(i, s, w, p).agg(F.count(F.lit(1)).alias(o)).withColumn(o, before)  # PARTS rows a group
+        starts = starts.select(F.col(i).alias(ji), F.col(s).alias(js), F.col(w).alias(jw), F.col(p).alias(c), o)
+        at = several.withColumn(r, within).join(starts, same & (F.col(p) == F.col(c))).withColumn(o, F.col(o) + F.col(r)).drop(ji, js, jw, c, r, p)
+        copies = picked.where("times > 1").drop("times").withColumnsRenamed(renamed | {"ordinal": p})
+        both = both.unionByName(at.join(copies, same & (F.col(o) == F.col(p))).drop(o, p))
+    taken = both.where(F.col(c) > 0).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c))))
+    return taken.select(*[F.col(f"`{x}`") for x in docs.columns])
