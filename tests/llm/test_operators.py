@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, chat, content_sort, forest, gru, langid, minhash, mixing, templates, warc
 from sessionloom.llm.common import crc_bucket
@@ -84,6 +85,16 @@ def test_chat_parts_become_placeholders(spark):
     assert piece["formatted"][piece["loss_start"] : piece["loss_end"]] == ""
 
 
+def test_chat_clashing_columns_and_long_text(spark):
+    long_ = "word <|im_end|> " * 50_000
+    df = spark.createDataFrame([(1, 0, "user", long_), (1, 1, "assistant", long_)], "conv_id long, turn long, role string, text string")
+    taken = {c: F.lit("x") for c in ("formatted", "content_at", "content_chars", "attachments", "expanded_tokens", "seen", "_seen")}
+    turns = df.select("conv_id", "turn", "role", chat.text_part(df["text"]).alias("parts")).withColumns(taken)
+    r = chat.conversation_digests(chat.format_turns(turns)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(long_), hashlib.sha256(long_.encode()).hexdigest())
+    assert r["turns_sha256"] == hashlib.sha256(f"user\n{long_}\nassistant\n{long_}\n".encode()).hexdigest()
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.conversation_digests(chat.format_turns(df.select("conv_id", "turn", "role", chat.text_part(df["text"]).alias("parts")))).count() == 0
@@ -112,6 +123,20 @@ def test_bpe_equals_the_library(library):
     assert own.encode(texts[::-1]) == codes[::-1]
 
 
+def test_bpe_of_another_pattern_and_long_ids(monkeypatch):
+    import tiktoken
+
+    path, _ = bpe.default_ranks()
+    pattern = r"\S+\s?|\s+"  # a blank ends its pre-token here
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own, texts = bpe.ByteBpe(path, pattern), ["the cat sat  on it", " a ", "", words(50, 4)]
+    codes = own.encode(texts)
+    assert [np.frombuffer(c, "<u4").tolist() for c in codes] == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "STEP_BYTES", 16)
+    assert own.decode(codes) == [t.encode() for t in texts]
+
+
 def test_bpe_query_and_columns(spark, odd, empty, library):
     got = bpe.round_trip(odd).collect()
     want = Counter()
@@ -147,6 +172,72 @@ def test_warc_links_and_digests(spark):
     assert warc.derivatives(df.limit(0)).count() == 0
 
 
+def record_of(head, block):
+    lines = [b"WARC/1.0", *(f"{k}: {v}".encode() for k, v in head), b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_derives_given_records(spark, tmp_path):
+    import gzip
+
+    page = "<p>Grüße <b>und</b><div>mehr".encode("latin-1")
+    packed = gzip.compress(b"<p>packed page")
+    chunked = b"5;x=1\r\n<p>ab\r\n2\r\ncd\r\n0\r\n\r\n"
+    http = lambda body, *lines: b"\r\n".join([b"HTTP/1.1 200 OK", *lines]) + b"\r\n\r\n" + body
+    block = http(page, b"Content-Type: text/html; charset=ISO-8859-1", b"Set-Cookie: a=1", b"Set-Cookie: b=2", b"X-Long: one\r\n  two")
+    md5 = "md5:" + hashlib.md5(block).hexdigest()
+    head = [("warc-type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a/"), ("WARC-Date", "2021-02-03T04:05:06Z")]
+    sources = [
+        record_of([*head, ("WARC-Block-Digest", md5), ("WARC-Payload-Digest", "sha1:OWN"), ("X-Own", "1"), ("X-Own", "2")], block),
+        record_of(head, http(packed, b"Content-Encoding: gzip")),  # no digest
+        record_of([("WARC-Type", "response"), ("WARC-Block-Digest", "blake9:abc")], http(chunked, b"Transfer-Encoding: chunked")),
+        record_of([*head, ("WARC-Block-Digest", "sha1:AAAA")], block),
+        record_of([("WARC-Type", "request")], b"GET / HTTP/1.1\r\n\r\n"),
+        record_of(head, http(b"xx", b"Content-Encoding: br")),
+        record_of(head, block)[:-30],
+        b"",
+        None,
+    ]
+    df = spark.createDataFrame([(i, x, "y", "z") for i, x in enumerate(sources)], "id long, record binary, error string, r string")
+    got = {}
+    for r in warc.derive_records(df, keep=("id",)).collect():
+        got.setdefault(r["id"], {})[r["record_type"]] = r
+    assert [sorted(got[i]) for i in range(9)] == [["conversion", "metadata"]] * 3 + [["error"]] * 6
+    assert "digest" in got[3]["error"]["error"] and "coding" in got[5]["error"]["error"]
+    said = lambda i: warc.parse(bytes(got[i]["conversion"]["record"]))[1].decode()
+    assert [said(i) for i in range(3)] == ["Grüße und\nmehr", "packed page", "abcd"]
+    fields, meta = warc.parse(bytes(got[0]["metadata"]["record"]))
+    lines = meta.decode().split("\r\n")
+    assert fields["WARC-Refers-To"] == "<urn:uuid:1>" and fields["WARC-Refers-To-Date"] == "2021-02-03T04:05:06Z"
+    assert [x for x in lines if "Cookie" in x] == ["source-header-Set-Cookie: a=1", "source-header-Set-Cookie: b=2"]
+    assert [x for x in lines if "X-Own" in x] == ["source-warc-X-Own: 1", "source-warc-X-Own: 2"] and "source-header-X-Long: one two" in lines
+    assert f"source-block-digest: {md5}" in lines and "source-payload-digest: sha1:OWN" in lines
+    # The same from files, packed or not.
+    (tmp_path / "a.warc").write_bytes(b"".join(sources[:3]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in sources[:3]))
+    read = warc.read_records(spark, f"file://{tmp_path}")
+    assert Counter(bytes(r["record"]) for r in read.collect()) == Counter(sources[:3] * 2)
+    again = warc.derive_records(read).collect()
+    assert Counter(bytes(r["record"]) for r in again) == Counter(bytes(x["record"]) for i in range(3) for x in got[i].values()) + Counter(bytes(x["record"]) for i in range(3) for x in got[i].values())
+
+
+def test_plain_text_of_loose_pages():
+    assert warc.plain_text("<html><head><title>T</title><p>Hello world") == ("T", "Hello world")
+    assert warc.plain_text("<head><meta a=b>loose words<p>more") == ("", "loose words\nmore")
+    assert warc.plain_text("<body>a<svg><text>drawn</text><p>after") == ("", "a\nafter")
+    assert warc.plain_text("<body>a<svg>rest of it") == ("", "arest of it")
+    assert warc.plain_text("<body>a<noscript>never closed") == ("", "anever closed")
+    assert warc.plain_text("<body>a<noscript>no</noscript>b<template>x</template><style>p</style>c") == ("", "abc")
+    assert warc.plain_text("<title>t</title>") == ("t", "")
+    assert warc.plain_text("") == ("", "")
+
+
+def test_warc_long_page_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "word " * 200_000, "x", "y")], "page_id long, url string, html string, record string, error string")
+    rows = {r["record_type"]: r for r in warc.derivatives(df.withColumns({"i": F.lit(1), "h": F.lit(2)})).collect()}
+    assert rows["conversion"]["content_length"] == 200_000 * 5 - 1 and rows["conversion"]["error"] is None
+
+
 # 4 neighbours
 
 
@@ -159,12 +250,16 @@ def brute_neighbours(rows, every, k):
     return out
 
 
-def test_neighbours_recall_ties_and_odd_rows(spark):
+@pytest.mark.parametrize("parts", [(8192, 20_000), (300, 40)])
+def test_neighbours_recall_ties_and_odd_rows(spark, parts, monkeypatch):
+    monkeypatch.setattr(forest, "MOST", parts[0])
+    monkeypatch.setattr(forest, "QUERIES", parts[1])
     rng = np.random.default_rng(1)
     base = rng.standard_normal((3000, 16)).round(3)
     rows = [(i, x.tolist()) for i, x in enumerate(base)] + [(3000 + i, base[7].tolist()) for i in range(60)]
     rows += [(None, base[1].tolist()), (9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [None] + [1.0] * 15), (9004, [1.0] * 3), (0, base[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.withColumns({c: F.lit("x") for c in ("id", "v", "key", "t", "block", "score", "rank", "query_id", "vp")})
     got = {}
     for r in forest.neighbours(df).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -247,6 +342,50 @@ def test_gru_scores_against_brute_force(spark, odd, empty):
     assert gru.score_documents(empty).count() == 0
 
 
+def test_gru_score_against_a_plain_loop(spark, monkeypatch):
+    """The whole score, from the network's weights and the corpus counts, without numpy's packing."""
+    rng, nets = random.Random(12), []
+    monkeypatch.setattr(gru, "WARM", gru.OWN + 20)  # so that some rare tokens take the join
+    fit = gru.Gru.fit
+    monkeypatch.setattr(gru.Gru, "fit", lambda self, *a: (fit(self, *a), nets.append(self))[0])
+    rows = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", f"rare{rng.randrange(900)}", "δελτα")) for _ in range(rng.randrange(40)))) for i in range(400)]
+    got = {r["doc_id"]: r["score"] for r in gru.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    net = nets[0]
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    c = Counter(w for i, t in rows if crc_bucket(i, 5) != 1 for w in gru.tokens(t))
+    assert len(c) > gru.WARM
+    own = {w: k for k, (w, _) in enumerate(gru.frequent(spark.createDataFrame(list(c.items()), "word binary, c long"), gru.WARM)[: gru.OWN])}
+    unit = lambda w: own.get(w, gru.bucket(w))
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        n[unit(w)] += k
+        v[unit(w)] += 1
+    sig, h_ = lambda x: 1 / (1 + np.exp(-x)), gru.HIDDEN
+    for i, t in rows:
+        total, h, read = 0.0, np.zeros(h_), gru.UNITS
+        for w in gru.tokens(t):
+            gx, gu = p["x"][read] + p["b"], h @ p["u"]
+            z, r = sig(gx[:h_] + gu[:h_]), sig(gx[h_ : 2 * h_] + gu[h_ : 2 * h_])
+            h = (1 - z) * np.tanh(gx[2 * h_ :] + r * (gu[2 * h_ :] + p["bn"])) + z * h
+            read = int(net.place[unit(w)])
+            cls, pos = divmod(read, net.size)
+            a, b = h @ p["oc"] + p["bc"], h @ p["ou"][cls] + p["bu"][cls]
+            total += a[cls] - np.log(np.exp(a).sum()) + b[pos] - np.log(np.exp(b).sum())
+            if w not in own:
+                total += np.log((c[w] + 0.5) / (n[unit(w)] + 0.5 * (v[unit(w)] + 1)))
+        assert got[i] == pytest.approx(total / np.log(10), rel=1e-4, abs=1e-3)
+
+
+def test_frequent_words_by_the_histogram(spark, monkeypatch):
+    monkeypatch.setattr(gru, "EXACT_COUNTS", 16)
+    rows = [(f"w{i}".encode(), c) for i, c in enumerate([1] * 50 + [2] * 20 + [5] * 10 + [20, 21, 400, 70_000, 1 << 40])]
+    df = spark.createDataFrame(rows, "word binary, c long")
+    for most in (1, 3, 5, 12, 40, 200):
+        got = gru.frequent(df, most)
+        assert got == sorted(got, key=lambda x: (-x[1], x[0])) and len(got) <= most
+        assert [c for _, c in got] == sorted((c for _, c in rows), reverse=True)[: len(got)] and len(got) >= min(len(rows), most) * 0.6
+
+
 def test_gru_learns_from_every_training_document(spark, monkeypatch):
     monkeypatch.setattr(gru, "SAMPLE_TOKENS", 300)  # far fewer tokens than there are
     monkeypatch.setattr(gru, "WIDE", 4)
@@ -306,6 +445,8 @@ def near_group(seed, n, size, edits):
 @pytest.mark.parametrize("block", [1024, 3])
 def test_minhash_components_equal_brute_force(spark, odd, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BYTES", block * 1000)
+    monkeypatch.setattr(minhash, "SENT", 0 if block == 3 else 1_000_000)
     texts = near_group(1, 25, 200, 5) + near_group(2, 12, 40, 1) + near_group(3, 15, 300, 12) + near_group(4, 4, 7, 1) + [words(50, s) for s in range(60, 80)]
     rows = [(1000 + i, t) for i, t in enumerate(texts)] + [(r["doc_id"], r["text"]) for r in odd.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -313,6 +454,31 @@ def test_minhash_components_equal_brute_force(spark, odd, block, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("edits", [1, 4])
+def test_minhash_group_about_the_threshold(spark, edits):
+    """Copies of one text with as many words replaced in each: just over the threshold, then just under it."""
+    base, rng = words(200, 77, 5000).split(), random.Random(edits)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(0, 200, 5), edits):
+            w[at] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    got = minhash.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == brute_components(rows)
+
+
+def test_steps_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from sessionloom.llm.common import steps
+
+    b = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "", "b" * 100, "c", "d"])], names=["t"])
+    assert [x.column(0).to_pylist() for x in steps(b.slice(0, 6), "t", 2, 20)] == [["a" * 10, None], ["", ], ["b" * 100], ["c", "d"]]
+    assert [x.num_rows for x in steps(b.slice(3, 3), "t", 2, 1000)] == [2, 1]
+
+
 def test_minhash_parts(spark, odd, empty):
     assert minhash.components(empty).count() == 0
     kept = minhash.near_dedup(odd)
@@ -366,10 +532,23 @@ def test_language_id(spark, odd, empty):
     und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
     assert {3, 4, 7, 8} - set(truth) <= und and not und & set(truth)
     assert langid.label_documents(empty).count() == 0
-    nothing = langid.label_documents(df.withColumn("lang", df["source"].substr(99, 1).cast("void").cast("string"))).collect()
+    nothing = langid.label_documents(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     kept = langid.keep_identified(odd)
     assert kept.columns == odd.columns
+    taken = df.withColumns({"lang_pred": F.lit("x"), "Score": F.lit("y")})
+    said = langid.identify(taken, langid.fit(taken))
+    assert said.columns == [*taken.columns, "lang_pred_", "score_"] and said.count() == df.count()
+
+
+def test_language_id_learns_every_language_or_says_so(spark, monkeypatch):
+    rows = [(i, f"{'abcdefghijkl'[i % 12] * 5} " * 8, f"l{i % 12}", None, None) for i in range(240)]
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(langid, "SAMPLE", 60)  # five rows of each
+    assert {r["lang_pred"] for r in langid.label_documents(df).collect()} == {f"l{k}" for k in range(12)}
+    monkeypatch.setattr(langid, "LANGS", 11)
+    with pytest.raises(ValueError):
+        langid.label_documents(df)
 
 
 # 9 mixing
@@ -421,6 +600,50 @@ def test_mix_meets_targets_and_repeats(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def water_level(sizes, weights, cap):
+    """Targets by bisection on the common level, independent of the operator's rounds."""
+    total, lo, hi = sum(sizes.values()), 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(cap * sizes[s], mid * weights[s]) for s in sizes) < total else (lo, mid)
+    return {s: min(cap * sizes[s], hi * weights[s]) for s in sizes}
+
+
+def test_mix_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), "en", rng.choice(("b", "a", "a", "c", None, "d")), 1) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = water_level(sizes, {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}, 3)
+    assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+    mean, runs = Counter(), 12
+    for seed in range(runs):
+        taken = Counter()
+        for r in mixing.mix(df, seed=seed).collect():
+            assert r["target"] == pytest.approx(want[r["source"]], rel=1e-6)
+            expected = want[r["source"]] / sizes[r["source"]]
+            assert r["copies"] in (math.floor(expected + 1e-9), math.ceil(expected - 1e-9)) and r["taken"] == r["copies"] * r["size"]
+            taken[r["source"]] += r["taken"]
+            mean[r["doc_id"]] += r["copies"] / expected / runs
+        assert all(abs(taken[s] - want[s]) < 30 for s in sizes)  # less than one document
+    assert abs(sum(mean.values()) / len(mean) - 1) < 0.02
+
+
+def test_mixed_documents_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PARTS", 3)
+    rows = [(None, f"w{i % 7} x y", "en", "a", i) for i in range(300)] + [(None, "same same same", "en", "a", 1)] * 100 + [(i, "one two three", "de", "b", 1) for i in range(100)]
+    df = spark.createDataFrame(rows, DOCS)
+    got, drawn = mixing.mixed_documents(df).collect(), mixing.mix(df).collect()
+    assert Counter(r["source"] for r in got) == Counter(r["source"] for r in drawn for _ in range(r["copies"]))
+    assert set(map(tuple, got)) <= set(rows)
+    per = Counter(map(tuple, got))
+    most = max(r["copies"] for r in drawn if r["source"] == "a")
+    assert all(n <= most * rows.count(r) for r, n in per.items() if r[3] == "a")
+
+
 # 10 log templates
 
 
