@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from sessionloom.llm import bpe, content_sort, langid, minhash, mixing
 from sessionloom.llm.common import Scratch, table
 
-#: Documents whose language is this uncertain are rejected with those that have no letter.
-LEAST_SCORE = 0.2
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no clear language."""
-    return langid.keep_identified(docs, least=LEAST_SCORE)
+    """Drops the documents that are `und`: those without a letter.
+
+    The score is no calibrated probability, so none is cut by it: with many languages, short texts
+    with a right label score low.
+    """
+    return langid.keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
