@@ -13,10 +13,13 @@ ERROR = r"Traceback \(most recent call last\)|^[A-Za-z_.]*(?:Error|Exception)\b|
 CODE = r"^\s*(?:def |class |import |from |return |if |for |while |try:|except |elif |else:|elif\b|@|\}|\{|\)|#)|^[=;{}()\[\]]\s*$|^\s*[+-]\s|^\s{4,}\S"
 NUMBER_OR_ID = r"\b\d[\d_.]*\b|[0-9a-f]{8}-[0-9a-f]{3,}"
 COMMAND = r"(?:^|\s)(pytest|python -m pytest|python|npm|make|cargo|go test|git (?:diff|status|log)|ls|cat|grep)\b[^\n]*"
+SEARCH_BLOCK = r"(?m)^<{5,} SEARCH"
 DIFF_FILE = r"diff --git a/(\S+?)\s+b/(\S+)"
 EDITOR_FILE = r"\*\*\* (?:Update|Add|Delete) File: (\S+)"
 MODIFIED_FILE = r"Modified File\*{0,2}:?\*{0,2}\s*`?([^\s`'\"]+)"
 ARG_PATH = r'"(?:path|file_path|filename)"\s*:\s*"([^"]+)"'
+#: White space of any script, as the inside of a character class of Java and RE2 patterns.
+BLANK = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def terms(text: Column) -> Column:
@@ -31,7 +34,7 @@ def token_estimate(text: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """White-space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
 
 
 def fingerprint(text: Column) -> Column:
@@ -87,10 +90,10 @@ def signature(text: Column) -> Column:
 
 
 def classify(text: Column) -> Column:
-    """file_event, command_result or loose."""
-    changed = text.rlike(r"(?m)^diff --git a/(\S+) b/(\S+)") | text.rlike(r"(?m)^\*\*\* (?:Update|Add|Delete) File: (\S+)")
-    dumped = dump_lines(text).isNotNull() & path_of(text).isNotNull()
-    return F.when(changed | dumped, "file_event").when(signature(text).isNotNull(), "command_result").otherwise("loose")
+    """file_event (one path is named, and a dump, an edit block or a diff stands there), command_result or loose."""
+    diff = F.regexp_replace(text, f"^[{BLANK}]+", "").startswith("diff --git") | F.contains(text, F.lit("@@ "))
+    event = path_of(text).isNotNull() & (dump_lines(text).isNotNull() | text.rlike(SEARCH_BLOCK) | diff)
+    return F.when(event, "file_event").when(signature(text).isNotNull(), "command_result").otherwise("loose")
 
 
 def normalise_path(path: Column) -> Column:

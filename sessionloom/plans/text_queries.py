@@ -88,7 +88,7 @@ def near_dup_pairs(spark, d):
 
 def score_action(spark, d):
     """Recorded against generated actions, with null apart from false."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", *[F.expr(e) for e in _ACTIONS])
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", *[F.expr(e) for e in _ACTIONS])
     return A.score_actions(rows)
 
 
@@ -134,10 +134,11 @@ _SAME = "(m = r OR ends_with(m, '/' || r) OR ends_with(r, '/' || m) OR (string_s
 _SAME_ACTION = _SAME.replace("(m ", "(g_target ").replace("m,", "g_target,").replace("|| m)", "|| g_target)").replace("= r ", "= r_target ").replace("|| r)", "|| r_target)").replace("with(r,", "with(r_target,").replace("split(r,", "split(r_target,").replace("split(m,", "split(g_target,")
 
 SQL = {
-    "doc_fingerprint_dups": r"SELECT md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "doc_fingerprint_dups": rf"SELECT md5(trim(regexp_replace(text, '[{X.BLANK}]+', ' ', 'g'))) AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "content_fingerprints": _T + r" SELECT p_partkey, md5(array_to_string(list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^\s*\d+\t', ''), '^\s*\d+\s{2,}', ''), '\s+', ' ', 'g'))), ' ')) AS content, md5(" + _FLAT + ") AS plain FROM t",
     "path_of": _T + " SELECT p_partkey, CASE WHEN len(ps) = 1 THEN ps[1] END AS path, array_to_string(list_transform(list_filter(regexp_extract_all(text, '" + _RX + "'), lambda p, i: true), lambda p: p), ' ') AS paths FROM t",
-    "classify_spans": _T + rf" SELECT p_partkey, CASE WHEN regexp_matches(text, '(?m)^diff --git a/(\S+) b/(\S+)') OR regexp_matches(text, '(?m)^\*\*\* (?:Update|Add|Delete) File: (\S+)') OR ({_DUMPED} AND len(ps) = 1) THEN 'file_event' WHEN {_SIG} IS NOT NULL THEN 'command_result' ELSE 'loose' END AS kind, {_SIG} AS signature FROM t",
+    "classify_spans": _T + rf""" SELECT p_partkey, CASE WHEN len(ps) = 1 AND ({_DUMPED} OR regexp_matches(text, '(?m)^<{{5,}} SEARCH') OR starts_with(ltrim(text, chr(9) || chr(10) || ' '), 'diff --git') OR contains(text, '@@ '))
+        THEN 'file_event' WHEN {_SIG} IS NOT NULL THEN 'command_result' ELSE 'loose' END AS kind, {_SIG} AS signature FROM t""",
     "verbatim_lines": _T + f", l AS (SELECT p_partkey, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM t) SELECT p_partkey, line_no, trim(line) <> '' AND ({_KEEP}) AS verbatim FROM l",
     "patch_files": _T + f" SELECT p_partkey, array_to_string({_FILES}, ' ') AS files, array_to_string({_MENTIONED}, ' ') AS mentioned FROM t",
     "session_patch_files": _T + f", f AS (SELECT DISTINCT session, unnest({_FILES}) AS file FROM t) SELECT session, string_agg(file, ' ' ORDER BY file) AS files FROM f GROUP BY session",
@@ -151,7 +152,7 @@ SQL = {
       p AS (SELECT * FROM l WHERE line <> ''), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
       i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM p a JOIN p b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY 1, 2)
       SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.7 AND least(x.n, y.n) >= 0.7 * greatest(x.n, y.n)""",
-    "score_action": f"""WITH a AS (SELECT l_orderkey, l_linenumber, {', '.join(_ACTIONS).replace('STRING', 'VARCHAR')} FROM lineitem WHERE l_linenumber <= 3),
+    "score_action": f"""WITH a AS (SELECT l_orderkey, l_linenumber, {', '.join(_ACTIONS).replace('STRING', 'VARCHAR')} FROM lineitem),
       s AS (SELECT *, g_tool IS NOT NULL AS parseable, CASE WHEN g_tool IS NULL THEN NULL ELSE g_tool = r_tool END AS tool,
         CASE WHEN g_tool IS NULL OR g_target IS NULL OR r_target IS NULL THEN NULL ELSE {_SAME_ACTION} END AS target FROM a)
       SELECT l_orderkey, l_linenumber, parseable, tool, target, CASE WHEN NOT parseable THEN NULL ELSE tool AND target IS DISTINCT FROM FALSE AND (r_verb IS NULL OR g_verb IS NOT DISTINCT FROM r_verb) END AS exact FROM s""",
