@@ -24,6 +24,18 @@ def asof_query(rows: DataFrame) -> DataFrame:
     return rows.withColumn("query", F.nullif(F.trim(last), F.lit("")))
 
 
+def spans_before(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(session, q_turn, before): how many spans a query's turn has before it, whether or not it is a span's turn.
+
+    Spans are numbered from 0 in order, so the newest number tells; one window over both tables finds it.
+    """
+    marks = queries.select("session", F.col("q_turn").alias("turn"), F.lit(None).cast("int").alias("span_id")).distinct()
+    both = rows.select("session", "turn", F.col("span_id").cast("int").alias("span_id")).unionByName(marks)
+    earlier = Window.partitionBy("session").orderBy("turn", F.col("span_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumn("before", F.coalesce(F.max("span_id").over(earlier) + 1, F.lit(0)).cast("long"))
+    return counted.where("span_id IS NULL").select("session", F.col("turn").alias("q_turn"), "before")
+
+
 def span_terms(rows: DataFrame) -> DataFrame:
     """A row per (session, span, distinct term)."""
     return rows.select("session", "turn", "span_id", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders
 from ..functions import text as X
+from ..operators import examples as E
 from ..operators import lookup as L
 from ..operators import metrics as M
 from ..operators import pack as P
@@ -116,14 +117,62 @@ def bucket_medians(spark, d):
     return M.bucket_medians(rows, "tokens", ladders.lower_bucket(F.col("history") * 100, ladders.KILLER), 5)
 
 
-def action_window_order(spark, d):
-    """Newest first of all, then assistant turns, then the rest, newest first."""
-    from pyspark.sql import Window
+#: Options of the composed view: two newest spans, half a budget a span, three identifiers, copies once.
+VIEW = {"k": K, "recent": 2, "recent_share": 0.4, "span_share": 0.5, "provenance": 3, "dedup": True}
 
-    w = Window.partitionBy("session")
-    rows = _spans(spark, d).withColumn("newest", F.col("turn") == F.max("turn").over(w))
-    order = w.orderBy(F.desc("newest"), F.desc((F.col("role") == "assistant").cast("int")), F.desc("turn"))
-    return rows.select("session", "turn", F.row_number().over(order).alias("place"))
+
+def compile_view(spark, d):
+    rows = _spans(spark, d)
+    seen = P.view(rows, _queries(rows), BUDGET, **VIEW)
+    return seen.select("session", "q_turn", "place", "span_id", "take", "cut", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def recency_view(spark, d):
+    """The newest spans that fit, skipping what does not, the newest one included."""
+    rows = _spans(spark, d)
+    got = P.skipping(rows, _queries(rows), BUDGET // 4, first_always=False)
+    return got.select("session", "q_turn", "used", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
+def _example_summary(spark, d, mode, **options):
+    got = E.build_examples(_spans(spark, d), mode, BUDGET, least_spans=MIN_PRIOR, view=options.pop("view", {"k": K}), **options)
+    return got.select("session", "q_turn", "history", "turns", "active_tokens", "summary_tokens", F.md5(F.col("active").cast("binary")).alias("active_md5"), F.md5(F.col("target").cast("binary")).alias("target_md5"))
+
+
+def examples_view(spark, d):
+    return _example_summary(spark, d, "view")
+
+
+def examples_recency(spark, d):
+    return _example_summary(spark, d, "recency")
+
+
+def examples_compact(spark, d):
+    return _example_summary(spark, d, "compact")
+
+
+def examples_consolidate(spark, d):
+    return _example_summary(spark, d, "consolidate")
+
+
+def examples_materialize(spark, d):
+    return _example_summary(spark, d, "materialize")
+
+
+def examples_state_first(spark, d):
+    return _example_summary(spark, d, "state_first")
+
+
+def examples_tail_state(spark, d):
+    return _example_summary(spark, d, "tail_state")
+
+
+def examples_action_window(spark, d):
+    return _example_summary(spark, d, "action_window", compiler="raw")
+
+
+def examples_tail_query(spark, d):
+    return _example_summary(spark, d, "tail_query", compiler="materialize")
 
 
 _CTE = """
@@ -166,6 +215,44 @@ def _lower(bounds: tuple, value: str = "history * 100") -> str:
 _UPPER = "CASE " + " ".join(f"WHEN history * 100 <= {b} THEN '{i}'" for i, b in enumerate(ladders.STRUCTURAL)) + f" ELSE '{len(ladders.STRUCTURAL)}' END"
 _SUMMARY = ", ".join(f"round(quantile_cont({m}, 0.5), 6) AS {m}_p50, round(quantile_cont({m}, 0.95), 6) AS {m}_p95" for m in ("query_terms", "postings_visited", "candidate_spans"))
 
+_BY = "PARTITION BY session, q_turn"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_VIEW_SQL = (
+    _CTE
+    + f""", tx AS (SELECT session, span_id, md5(trim(regexp_replace(text, '[{X.BLANK}]+', ' ', 'g'))) AS f FROM s),
+t1 AS (SELECT top.*, tx.f, min(rank) OVER (PARTITION BY top.session, q_turn, f) AS br FROM top JOIN tx ON tx.session = top.session AND tx.span_id = top.span_id),
+t2 AS (SELECT * EXCLUDE (rank), row_number() OVER ({_BY} ORDER BY br, turn DESC, span_id DESC) AS rank FROM t1),
+l1 AS (SELECT *, least(tokens, 80) AS need FROM prior WHERE rank <= 2),
+l2 AS (SELECT *, least(need, 64 - coalesce(sum(need) OVER ({_BY} ORDER BY rank {_BEFORE}), 0)) AS take FROM l1),
+late AS (SELECT l2.*, tx.f, row_number() OVER (PARTITION BY l2.session, q_turn, f ORDER BY rank) AS i FROM l2 JOIN tx ON tx.session = l2.session AND tx.span_id = l2.span_id WHERE take > 0),
+o AS (SELECT session, q_turn, term FROM qt WHERE length(term) > 3 UNION SELECT t2.session, t2.q_turn, st.term FROM t2 JOIN st ON st.session = t2.session AND st.span_id = t2.span_id WHERE t2.rank <= 3 AND length(st.term) > 3 AND (contains(st.term, '/') OR contains(st.term, '.'))),
+o2 AS (SELECT *, row_number() OVER ({_BY} ORDER BY term) AS n FROM o),
+pv AS (SELECT o2.session, o2.q_turn, o2.term, st.span_id, st.turn, row_number() OVER (PARTITION BY o2.session, o2.q_turn, o2.term ORDER BY st.span_id) AS p FROM o2 JOIN st ON st.session = o2.session AND st.term = o2.term AND st.turn < o2.q_turn WHERE o2.n <= 3),
+ex AS (SELECT session, q_turn, span_id, turn, row_number() OVER ({_BY} ORDER BY term, span_id) AS rank FROM pv WHERE p <= 8
+  AND NOT EXISTS (SELECT 1 FROM t2 WHERE t2.session = pv.session AND t2.q_turn = pv.q_turn AND t2.span_id = pv.span_id)
+  AND NOT EXISTS (SELECT 1 FROM late WHERE late.session = pv.session AND late.q_turn = pv.q_turn AND late.span_id = pv.span_id)),
+fa AS (SELECT session, q_turn, span_id, turn, rank, 1 AS channel FROM t2 UNION ALL SELECT session, q_turn, span_id, turn, rank, 2 FROM ex WHERE rank <= 3),
+fb AS (SELECT fa.*, tx.f, s.tokens FROM fa JOIN tx ON tx.session = fa.session AND tx.span_id = fa.span_id JOIN s ON s.session = fa.session AND s.span_id = fa.span_id
+  WHERE NOT EXISTS (SELECT 1 FROM late WHERE late.session = fa.session AND late.q_turn = fa.q_turn AND (late.span_id = fa.span_id OR late.f = tx.f))),
+fc AS (SELECT *, row_number() OVER (PARTITION BY session, q_turn, f ORDER BY channel, rank) AS i, least(tokens, 80) AS need FROM fb),
+sp AS (SELECT session, q_turn, sum(take) AS spent FROM late WHERE i = 1 GROUP BY ALL),
+fd AS (SELECT fc.*, least(need, {BUDGET} - coalesce(spent, 0) - coalesce(sum(need) OVER (PARTITION BY fc.session, fc.q_turn ORDER BY channel, rank {_BEFORE}), 0)) AS take FROM fc LEFT JOIN sp ON sp.session = fc.session AND sp.q_turn = fc.q_turn WHERE i = 1),
+z AS (SELECT session, q_turn, span_id, turn, tokens, rank, channel, take FROM fd WHERE take > 0 UNION ALL SELECT session, q_turn, span_id, turn, tokens, rank, 0, take FROM late WHERE i = 1)
+"""
+)
+_EXAMPLES_SQL = (
+    (_CTE.replace("{", "{{").replace("}", "}}"))
+    + f""", pa AS (SELECT *, least(tokens, {BUDGET}) AS need FROM top), pb AS (SELECT *, least(need, {BUDGET} - coalesce(sum(need) OVER ({_BY} ORDER BY rank {_BEFORE}), 0)) AS take FROM pa),
+p AS (SELECT session, q_turn, span_id, take FROM pb WHERE take > 0),
+ya AS (SELECT session, q_turn, list({{{{'k': [span_id], 't': tokens}}}} ORDER BY turn DESC) FILTER (tokens <= {BUDGET}) AS a FROM prior GROUP BY session, q_turn),
+yb AS (SELECT session, q_turn, unnest(list_reduce(a, lambda x, y: CASE WHEN x.t + y.t <= {BUDGET} THEN {{{{'k': list_concat(x.k, y.k), 't': x.t + y.t}}}} ELSE x END).k) AS span_id FROM ya WHERE a IS NOT NULL),
+y AS (SELECT yb.session, yb.q_turn, yb.span_id, s.tokens AS take FROM yb JOIN s ON s.session = yb.session AND s.span_id = yb.span_id),
+g AS (SELECT v.session, v.q_turn, sum(take) AS t, string_agg('<' || role || '>' || chr(10) || CASE WHEN take < tokens THEN left(text, CAST(greatest(1, floor(length(text) * (take / CAST(tokens AS DOUBLE)))) AS BIGINT)) ELSE text END || chr(10), '' ORDER BY turn) AS active
+  FROM {{active}} v JOIN s ON s.session = v.session AND s.span_id = v.span_id GROUP BY ALL)
+SELECT a.session, a.turn AS q_turn, a.history, a.span_id AS turns, CAST(coalesce(g.t, 0) AS BIGINT) AS active_tokens, CAST(0 AS BIGINT) AS summary_tokens, md5(coalesce(g.active, '')) AS active_md5, md5(a.text) AS target_md5
+FROM q JOIN a ON a.session = q.session AND a.turn = q.q_turn LEFT JOIN g ON g.session = q.session AND g.q_turn = q.q_turn"""
+)
+
 SQL = {
     "span_terms": _CTE + "SELECT session, turn, role, len(terms) AS n_terms, len(list_distinct(terms)) AS n_distinct, tokens FROM s",
     "postings_df": _CTE + ", z AS (SELECT session, count(*) AS n FROM s GROUP BY session), f AS (SELECT session, term, count(*) AS df FROM st GROUP BY ALL) SELECT session, term, df, df <= greatest(2, floor(n * 0.1)) AS rare FROM f JOIN z USING (session)",
@@ -176,7 +263,7 @@ SQL = {
     "lookup_stats": _CTE + "SELECT * FROM stats",
     "view_pack": _pack_sql("top", BUDGET // 2, BUDGET, "session, q_turn, span_id, turn"),
     "view_recency": _pack_sql("(SELECT * FROM prior WHERE rank <= 4)", BUDGET // 2, BUDGET // 2, "session, q_turn, span_id"),
-    "view_dedup": _CTE + r", x AS (SELECT top.*, md5(trim(regexp_replace(s.text, '\s+', ' ', 'g'))) AS f FROM top JOIN s ON s.session = top.session AND s.span_id = top.span_id) SELECT session, q_turn, min(rank) AS rank, arg_max(span_id, turn * 1000000 + span_id) AS span_id, count(*) AS copies FROM x GROUP BY session, q_turn, f",
+    "view_dedup": _CTE + r", x AS (SELECT top.*, md5(trim(regexp_replace(s.text, '[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS f FROM top JOIN s ON s.session = top.session AND s.span_id = top.span_id) SELECT session, q_turn, min(rank) AS rank, arg_max(span_id, turn * 1000000 + span_id) AS span_id, count(*) AS copies FROM x GROUP BY session, q_turn, f",
     "tail_pack_skip": _CTE + f""", l AS (SELECT session, q_turn, list({{'u': CAST(0 AS BIGINT), 'k': [span_id], 't': tokens}} ORDER BY turn DESC) AS a FROM prior GROUP BY session, q_turn),
       f AS (SELECT session, q_turn, list_reduce(a, lambda x, y: CASE WHEN (x.t + y.t) <= {BUDGET} THEN {{'u': CAST(0 AS BIGINT), 'k': list_concat(x.k, y.k), 't': x.t + y.t}} ELSE x END) AS z FROM l)
       SELECT session, q_turn, z.t AS used, len(z.k) AS kept, list_reduce(list_sort(z.k), lambda x, y: x * 31 + y, CAST(0 AS BIGINT)) AS kept_key FROM f""",
@@ -191,6 +278,20 @@ SQL = {
     "evidence_mass": _CTE + ", z AS (SELECT session, q_turn, count(*) AS n FROM prior GROUP BY ALL), e AS (SELECT m.session, m.q_turn, m.span_id, count(*) AS shared FROM m JOIN z ON z.session = m.session AND z.q_turn = m.q_turn WHERE m.df <= greatest(2, floor(z.n * 0.1)) GROUP BY ALL) SELECT e.session, e.q_turn, CAST(sum(tokens) AS BIGINT) AS mass1, CAST(coalesce(sum(tokens) FILTER (shared >= 2), 0) AS BIGINT) AS mass2, coalesce(max(tokens) FILTER (shared >= 2), 0) AS largest2 FROM e JOIN s ON s.session = e.session AND s.span_id = e.span_id GROUP BY ALL",
     "spread_sample": _CTE + ", c AS (SELECT *, count(*) OVER (PARTITION BY session) AS m FROM s) SELECT session, turn, tokens FROM c WHERE m <= 3 OR span_id IN (0, CAST(round_even((m - 1) / 2.0, 0) AS BIGINT), m - 1)",
     "bucket_medians": _CTE + f", b AS (SELECT {_lower(ladders.KILLER)} AS bucket, tokens FROM h) SELECT CAST(i.range AS INTEGER) AS bucket, count(b.tokens) AS n, CAST(floor(quantile_cont(b.tokens, 0.5)) AS BIGINT) AS median FROM range(5) i LEFT JOIN b ON b.bucket = i.range GROUP BY 1",
-    "action_window_order": _CTE + "SELECT session, turn, row_number() OVER (PARTITION BY session ORDER BY (turn = (SELECT max(turn) FROM s z WHERE z.session = s.session)) DESC, (role = 'assistant') DESC, turn DESC) AS place FROM s",
+    "compile_view": _VIEW_SQL
+    + """SELECT session, q_turn, row_number() OVER (PARTITION BY session, q_turn ORDER BY turn, span_id, channel, rank) AS place, span_id, CAST(take AS BIGINT) AS take, take < tokens AS cut, length(said) AS chars, md5(said) AS text_md5
+      FROM (SELECT z.*, CASE WHEN take < z.tokens THEN left(s.text, CAST(greatest(1, floor(length(s.text) * (take / CAST(z.tokens AS DOUBLE)))) AS BIGINT)) ELSE s.text END AS said FROM z JOIN s ON s.session = z.session AND s.span_id = z.span_id)""",
+    "recency_view": _CTE + f""", l AS (SELECT session, q_turn, list({{'k': [span_id], 't': tokens}} ORDER BY turn DESC) FILTER (tokens <= {BUDGET // 4}) AS a, count(*) AS n FROM prior GROUP BY session, q_turn),
+      f AS (SELECT session, q_turn, CASE WHEN a IS NULL THEN {{'k': CAST([] AS BIGINT[]), 't': 0}} ELSE list_reduce(a, lambda x, y: CASE WHEN x.t + y.t <= {BUDGET // 4} THEN {{'k': list_concat(x.k, y.k), 't': x.t + y.t}} ELSE x END) END AS z FROM l)
+      SELECT session, q_turn, CAST(z.t AS BIGINT) AS used, array_to_string(list_sort(z.k), ',') AS kept FROM f""",
+    "examples_view": _EXAMPLES_SQL.format(active="p"),
+    "examples_recency": _EXAMPLES_SQL.format(active="y"),
 }
-QUERIES = {f.__name__: f for f in (span_terms, postings_df, running_history, asof_query, lookup_score, lookup_topk, lookup_stats, view_pack, view_recency, view_dedup, tail_pack_skip, provenance_expand, structural_summary, dead_state, evidence_mass, spread_sample, bucket_medians, action_window_order)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        span_terms, postings_df, running_history, asof_query, lookup_score, lookup_topk, lookup_stats, view_pack, view_recency, view_dedup, tail_pack_skip,
+        provenance_expand, structural_summary, dead_state, evidence_mass, spread_sample, bucket_medians, compile_view, recency_view, examples_view, examples_recency,
+        examples_compact, examples_consolidate, examples_materialize, examples_state_first, examples_tail_state, examples_action_window, examples_tail_query,
+    )
+}
