@@ -8,17 +8,22 @@ depend on order (classification, paths, fingerprints) is computed before, as Col
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 _COMPILED = {name: re.compile(getattr(X, name)) for name in ("PATH", "DUMP", "ERROR", "CODE", "NUMBER_OR_ID", "COMMAND", "TERM")}
 _HUNK = re.compile(r"@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@")
+# What stands in compiled texts for lines left out, and above states and results.
 _GAP, _TAIL = "... [compiled: unrelated lines omitted] ...", "... [compiled: {} trailing lines omitted] ..."
+_CUT, ELIDED = "... [truncated] ...", "[... earlier lines elided ...]\n"
+FILE_HEAD, RESULT_HEAD = "# {} (current state)", "# latest `{}` result"
 
 
 def count_tokens(text: str) -> int:
@@ -26,6 +31,11 @@ def count_tokens(text: str) -> int:
     return max(1, len(_COMPILED["TERM"].findall(text)))
 
 
+def terms_of(text: str) -> list[str]:
+    """Lower-cased terms in order, repeats kept."""
+    return [x.lower() for x in _COMPILED["TERM"].findall(text)]
+
+
 def clean_line(line: str) -> str:
     return re.sub(r"^\s*\d+\s{2,}", "", re.sub(r"^\s*\d+\t", "", line)).rstrip()
 
@@ -56,6 +66,20 @@ def command_key(text: str) -> str | None:
 _COMMAND_SEARCH = _COMPILED["COMMAND"].search
 
 
+def is_dump(text: str) -> bool:
+    """Whether at least three, and half, of the lines are numbered."""
+    lines = text.splitlines()
+    return sum(1 for x in lines if re.match(r"\s*\d+\t", x)) >= max(3, len(lines) // 2)
+
+
+def kind_of(text: str) -> str:
+    """classify for one text: file_event, command_result or loose."""
+    changes = is_dump(text) or re.search(r"^<{5,} SEARCH", text, re.M) or text.lstrip().startswith("diff --git") or "@@ " in text
+    if changes and one_path(text):
+        return "file_event"
+    return "loose" if command_key(text) is None else "command_result"
+
+
 def executable(line: str) -> bool:
     """Whether the line must stay as it is."""
     return bool(line.strip()) and any(_COMPILED[k].search(line) for k in ("DUMP", "ERROR", "CODE", "PATH", "NUMBER_OR_ID"))
@@ -231,6 +255,15 @@ class State:
         self.results: dict[str, Unit] = {}
         self.loose: dict[str, Unit] = {}
 
+    def dump(self) -> str:
+        """The state as JSON, for a stream's checkpoint."""
+        return json.dumps([self.files, {k: asdict(u) for k, u in self.results.items()}, {k: asdict(u) for k, u in self.loose.items()}])
+
+    def load(self, said: str) -> None:
+        files, results, loose = json.loads(said)
+        self.files = files
+        self.results, self.loose = ({k: Unit(**u) for k, u in part.items()} for part in (results, loose))
+
     def event(self, turn: int, text: str, tokens: int) -> None:
         if self._file_event(turn, text):
             return
@@ -268,27 +301,35 @@ class State:
         """Files (asked for, recent, newest), then results and other texts, newest first."""
         newest = max([f["turns"][-1] for f in self.files.values()] + [max(u.turns) for u in (*self.results.values(), *self.loose.values())], default=0)
         rank = lambda x: (not any(q and q in x[0] for q in query), x[1]["turns"][-1] < newest - recent, -x[1]["turns"][-1])
-        files = [Unit(f"# {p} (current state)\n" + "\n".join(f["lines"]), max(1, f["events"]), f["turns"], "state", f["superseded"]) for p, f in sorted(self.files.items(), key=rank)]
-        results = [Unit(f"# latest `{k}` result\n{u.text}", max(1, len(u.text.split())), u.turns, "result", u.superseded) for k, u in sorted(self.results.items(), key=lambda x: -max(x[1].turns))]
+        files = [Unit(FILE_HEAD.format(p) + "\n" + "\n".join(f["lines"]), max(1, f["events"]), f["turns"], "state", f["superseded"]) for p, f in sorted(self.files.items(), key=rank)]
+        results = [Unit(f"{RESULT_HEAD.format(k)}\n{u.text}", max(1, len(u.text.split())), u.turns, "result", u.superseded) for k, u in sorted(self.results.items(), key=lambda x: -max(x[1].turns))]
         return files + results + sorted(self.loose.values(), key=lambda u: -max(u.turns))
 
 
 def state_first(spans: list[tuple], query: str, budget: int, loose: int = 12, recent: int = 4) -> list[Unit]:
-    """File states and results of the whole log, then the texts that overlap the query or are newest."""
+    """File states and results of the whole log, then the texts that overlap the query or are newest.
+
+    Only spans that classify as loose are loose texts: a file event that changes nothing is none.
+    """
     terms = frozenset(x.lower() for x in _COMPILED["TERM"].findall(query))
     state, rest = State(), []
     for turn, _, text, tokens in sorted(spans):
-        if state._file_event(turn, text) or command_key(text) is not None:
-            if command_key(text) is not None and not (one_path(text) and turn in state.files.get(one_path(text), {"turns": []})["turns"]):
-                state.event(turn, text, tokens)
-        else:
+        if kind_of(text) == "loose":
             rest.append(Unit(text, tokens, [turn]))
+        else:
+            state.event(turn, text, tokens)
+    asked = [t for t in terms if "." in t]
+    words = lambda text: max(1, len(text.split()))
+    order = sorted(state.files.items(), key=lambda x: (not any(q in x[0] for q in asked), -x[1]["turns"][-1]))
+    files = [Unit(f"{FILE_HEAD.format(p)}\n{body}", words(body), f["turns"], "state", f["superseded"]) for p, f in order for body in ["\n".join(f["lines"])]]
+    results = [Unit(f"{RESULT_HEAD.format(k)}\n{u.text}", words(u.text), u.turns, "result", u.superseded) for k, u in sorted(state.results.items(), key=lambda x: -max(x[1].turns))]
     share = lambda u: len(terms & {x.lower() for x in _COMPILED["TERM"].findall(u.text)}) / max(1, len(terms))
     near = sorted(rest, key=lambda u: (-share(u), -u.turns[0]))[:loose]
-    late = [u for u in sorted(rest, key=lambda u: -u.turns[0])[:recent] if u not in near]
+    shown = {u.turns[0] for u in near}
+    late = [u for u in sorted(rest, key=lambda u: -u.turns[0])[:recent] if u.turns[0] not in shown]
     for u in late:
         u.kind = "recent"
-    return fit(state.units(frozenset(t for t in terms if "." in t)) + near + late, budget)
+    return fit(files + results + near + late, budget)
 
 
 def _grouped(rows: DataFrame, make) -> DataFrame:
@@ -326,7 +367,7 @@ def snippet(text: str, share: float, query: frozenset, context: int = 2) -> str:
     A line scores its part of the query's terms and a quarter of its relative position; the best
     lines and their neighbours are put out in order until the characters are spent.
     """
-    mark, lines = "... [truncated] ...", text.splitlines()
+    mark, lines = _CUT, text.splitlines()
     n = len(lines)
     keep = max(1, int(n * max(0.02, min(1.0, share))))
     if n <= 3 or keep >= n:
@@ -357,13 +398,32 @@ def suffix_within(text: str, budget: int, count=count_tokens, marker: str = "")
     return marker + text[lo:]
 
 
+def provenance_line(turns: list[int], superseded: list[int]) -> str:
+    """Which turns a unit stands for, and which of them it replaces."""
+    said = lambda x: ",".join(map(str, sorted(set(x))))
+    return (f"[turns {said(turns)}]" + (f" [superseded: {said(superseded)}]" if superseded else "")) if turns else ""
+
+
+def render_units(units: list[Unit], with_provenance: bool = True) -> str:
+    """Each unit's text, followed by where it came from."""
+    return "\n".join(x for u in units for x in (u.text, *([provenance_line(u.turns, u.superseded)] if with_provenance and u.turns else [])))
+
+
+def render_span(role: str, text: str) -> str:
+    return f"<{role}>\n{text}\n"
+
+
 def compose(rows: list[dict], buckets: dict[str, int], per_bucket: int = 12, slack: float = 1.3) -> list[tuple]:
     """(bucket, index, session ids, total, same_repo): sessions joined up to a target size, none reused.
 
     rows: session_id, repo, total_tokens. First within a repository, then across, in id order; a
-    composition that overshoots `slack` times its target is dropped and its sessions stay free.
+    composition that overshoots `slack` times its target is dropped and its sessions stay free. The
+    pass across repositories ends when a single session is left to start from.
     """
-    rows = sorted((r for r in rows if r["total_tokens"] > 0), key=lambda r: r["session_id"])
+    rows = sorted((r for r in rows if (r["total_tokens"] or 0) > 0), key=lambda r: r["session_id"])
+    by_repo: dict[str, list[dict]] = {}
+    for r in rows:
+        by_repo.setdefault(r["repo"], []).append(r)
     used: set = set()
     out: list[tuple] = []
     for bucket, target in buckets.items():
@@ -377,20 +437,60 @@ def compose(rows: list[dict], buckets: dict[str, int], per_bucket: int = 12, sla
             used.update(p["session_id"] for p in parts)
             return True
 
-        def fill(source) -> list[dict]:
+        def fill(source: list[dict], at: int) -> tuple[list[dict], int]:
+            """Unused sessions from a place on until the target is reached, and the place after them."""
             parts, total = [], 0
-            for r in source:
+            while at < len(source) and total < target:
+                r, at = source[at], at + 1
                 if r["session_id"] not in used:
                     parts.append(r)
                     total += r["total_tokens"]
-                    if total >= target:
-                        break
-            return parts
+            return parts, at
 
-        for repo in sorted({r["repo"] for r in rows}):
+        for repo in sorted(by_repo):
             if made < per_bucket:
-                made += take(fill(r for r in rows if r["repo"] == repo))
-        pool = iter([r for r in rows if r["session_id"] not in used])
-        while made < per_bucket and (parts := fill(pool)):
+                made += take(fill(by_repo[repo], 0)[0])
+        pool, at = [r for r in rows if r["session_id"] not in used], 0
+        while made < per_bucket and at + 1 < len(pool):
+            parts, at = fill(pool, at)
             made += take(parts)
     return out
+
+
+def composed_sessions(sessions: DataFrame, buckets: dict[str, int], per_bucket: int = 12, slack: float = 1.3) -> DataFrame:
+    """composed_id, bucket, place, session_id, total, same_repo: the members of each composition, in order.
+
+    One set of used sessions runs through all buckets, so the choice is sequential. It reads three
+    narrow columns, a row a session, in one task; transcripts are joined to what is chosen.
+    """
+    out = "bucket string, idx int, sessions array<string>, total long, same_repo boolean"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(compose(pdf.to_dict("records"), buckets, per_bucket, slack), columns=[x.split()[0] for x in out.split(", ")])
+
+    rows = sessions.select(F.col("session_id").cast("string").alias("session_id"), F.coalesce("repo", F.lit("unknown")).alias("repo"), "total_tokens")
+    chosen = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, out)
+    members = chosen.select("bucket", "idx", "total", "same_repo", F.posexplode("sessions").alias("place", "session_id"))
+    named = members.join(rows.select("session_id", "repo"), "session_id")
+    first = F.min("repo").over(Window.partitionBy("bucket", "idx"))
+    composed_id = F.concat_ws("::", F.lit("composed"), "bucket", first, F.col("idx").cast("string"))
+    return named.select(composed_id.alias("composed_id"), "bucket", "place", "session_id", "total", "same_repo")
+
+
+def composed_transcripts(members: DataFrame, messages: DataFrame) -> DataFrame:
+    """The composed sessions' messages: composed_id, turn (through all parts), session_id, source_turn, role, text."""
+    joined = members.join(messages.withColumn("session_id", F.col("session_id").cast("string")), "session_id")
+    order = Window.partitionBy("composed_id").orderBy("place", F.col("turn"))
+    return joined.select("composed_id", "session_id", F.col("turn").alias("source_turn"), (F.row_number().over(order) - 1).alias("turn"), "role", "text")
+
+
+def composed_rows(members: DataFrame, messages: DataFrame) -> DataFrame:
+    """A row a composition: its parts in order, totals, and the files that the last part's messages say were changed."""
+    last = members.withColumn("_last", F.max("place").over(Window.partitionBy("composed_id"))).where("place = _last").select("composed_id", "session_id")
+    said = messages.withColumn("session_id", F.col("session_id").cast("string")).select("session_id", F.explode(X.patch_files(F.col("text"))).alias("file"))
+    files = last.join(said, "session_id").groupBy("composed_id").agg(F.sort_array(F.collect_set("file")).alias("target_files"))
+    parts = members.groupBy("composed_id", "bucket", "total", "same_repo").agg(F.sort_array(F.collect_list(F.struct("place", "session_id")))["session_id"].alias("composed_from"))
+    turns = members.join(messages.withColumn("session_id", F.col("session_id").cast("string")), "session_id").groupBy("composed_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    none = F.array().cast("array<string>")
+    out = parts.join(files, "composed_id", "left").join(turns, "composed_id", "left")
+    return out.select("composed_id", "bucket", "total", "same_repo", "composed_from", F.coalesce("target_files", none).alias("target_files"), F.coalesce("n_turns", F.lit(0)).alias("n_turns"))

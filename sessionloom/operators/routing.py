@@ -20,6 +20,7 @@ from ..functions.ladders import AGE
 from .cost import ACTIVE_PREFILL_S, BANDWIDTH_GBS, FULL_PREFILL_S, KV_BYTES, LOOKUP_S
 
 POLICIES = ("strict_sticky", "sticky_saturated", "full_kv_move", "full_reprefill", "ephemeral")
+# Latency objective, service of a turn, and the queue that a saturated worker may have.
 SLO_S, SERVICE_S, ESCAPE_S = 5.0, 0.6, 2.0
 
 
@@ -111,7 +112,9 @@ def replay(turns: list[tuple], policy: str, workers: int = 4, warm: int = 4, tie
         total, i = best
         was_cold = session not in fleet[i][1]
         fleet[i][0] = arrival + total
-        if not (compat and stay and policy == "sticky_saturated"):
+        if compat and stay and policy == "sticky_saturated":
+            was_cold = None  # a turn that stays is no placement there: it counts in no cold rate
+        else:
             fleet[i][1].touch(session)
             shared.touch(session)
         out.append((session, arrival, history, arrival + total, was_cold))

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import actions as A
 from ..operators import replay as R
 from .text_queries import transcript
 
@@ -54,25 +53,17 @@ def snippets(spark, d):
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, snippet string")
 
 
-def compose_sessions(spark, d):
-    """Greedy composition keeps one set of used sessions over all buckets, so it is one group.
-
-    Its rows are session totals, not transcripts.
-    """
-    rows = _rows(spark, d).groupBy("session").agg(F.sum("tokens").alias("total_tokens")).select(F.col("session").cast("string").alias("session_id"), F.concat(F.lit("r"), (F.col("session") % 5).cast("string")).alias("repo"), "total_tokens", F.lit(1).alias("g"))
-    out = "bucket string, idx int, sessions array<string>, total long, same_repo boolean"
-
-    def run(pdf):
-        return pd.DataFrame(R.compose(pdf.to_dict("records"), {"s": 600, "m": 1500, "l": 4000}), columns=[x.split()[0] for x in out.split(", ")])
+def _composed(spark, d):
+    rows = _rows(spark, d).groupBy("session").agg(F.sum("tokens").alias("total_tokens"))
+    rows = rows.select(F.col("session").alias("session_id"), F.concat(F.lit("r"), (F.col("session") % 5).cast("string")).alias("repo"), "total_tokens")
+    return R.composed_sessions(rows, {"s": 600, "m": 1500, "l": 4000})
 
-    return rows.groupBy("g").applyInPandas(run, out)
 
-
-def parsed_actions(spark, d):
-    rows = transcript(spark, d).where("role = 'assistant' or p_partkey % 6 = 2")
-    a = A.command_action(F.coalesce(A.fenced_command(F.col("text")), F.col("text")))
-    return rows.select("p_partkey", a.alias("a")).select("p_partkey", "a.tool", "a.verb", "a.target")
+def compose_sessions(spark, d):
+    said = _rows(spark, d).select(F.col("session").alias("session_id"), "turn", "text")
+    out = R.composed_rows(_composed(spark, d), said)
+    return out.withColumn("composed_from", F.array_join("composed_from", ",")).withColumn("target_files", F.array_join("target_files", ","))
 
 
-QUERIES = {f.__name__: f for f in (consolidate_units, compiled_units, replay_state, executable_state, state_first_view, select_verbatim, snippets, compose_sessions, parsed_actions)}
+QUERIES = {f.__name__: f for f in (consolidate_units, compiled_units, replay_state, executable_state, state_first_view, select_verbatim, snippets, compose_sessions)}
 SQL: dict = {}
