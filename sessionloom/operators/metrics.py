@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ladders
 from .spans import span_terms
 
 
@@ -49,31 +48,58 @@ def evidence_mass(rows: DataFrame, queries: DataFrame, share: float = 0.10, leas
     return per.groupBy("session", "q_turn").agg(F.sum("tokens").alias("mass1"), F.coalesce(F.sum(two), F.lit(0)).alias("mass2"), F.coalesce(F.max(two), F.lit(0)).alias("largest2"))
 
 
-def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.7, representatives: bool = False) -> DataFrame:
     """(a, b) with Jaccard of normalised non-blank line sets at least the threshold, by line postings.
 
     Lines are distinct per document and hashed; pairs meet only on lines that both hold, and only
     where the set sizes allow the threshold. A set of n lines needs only its n - ceil(t n) + 1
-    rarest lines to meet every partner, so lines that many documents share form no pairs alone.
+    rarest lines to meet every partner, so lines that many documents share form no pairs alone. With
+    `representatives`, pairs are between the smallest ids of equal sets; `equal_line_sets` has the rest.
     """
     from ..functions import text as X
 
     lines = F.array_distinct(F.filter(F.transform(X.lines_of(F.col("text")), lambda x: F.trim(X.normalise_line(x))), lambda x: x != ""))
-    sets = docs.where(F.col("text").isNotNull()).select("doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
-    post = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("line"))
+    each = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.sort_array(F.transform(lines, lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
+    # Documents of equal sets are one node: copies meet nothing again, they are listed at the end.
+    each = each.withColumn("node", F.struct(F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit(7)).alias("g"), F.size("s").alias("n")))
+    sets = each.groupBy("node").agg(F.first("s").alias("s"))
+    post = sets.select("node", F.explode("s").alias("line"))
     freq = post.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = post.join(freq, "line")
-    order = Window.partitionBy("doc_id").orderBy("df", "line")
-    # Lines that no other document holds are rarest, so they fill the prefix first.
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    prefix = known.withColumn("r", F.row_number().over(order) + alone).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    a = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "line")
-    b = prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "line")
-    pairs = a.join(b, "line").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    known, n = post.join(freq, "line"), F.col("node.n")
+    # Lines that no other set holds are rarest, so they fill the prefix first.
+    alone = n - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "line")) + alone
+    prefix = known.withColumn("r", rank).where(F.col("r") <= n - F.ceil(n * threshold - 1e-9) + 1)
+    a = prefix.select(F.col("node").alias("a"), F.col("r").alias("ra"), "line")
+    b = prefix.select(F.col("node").alias("b"), F.col("r").alias("rb"), "line")
+    na, nb = F.col("a.n"), F.col("b.n")
+    # Of the first line that two sets share, no more than the shorter rest can follow.
+    room = 1 + F.least(na - F.col("ra"), nb - F.col("rb"))
+    near = (F.least(na, nb) >= threshold * F.greatest(na, nb)) & (room >= threshold / (1 + threshold) * (na + nb) - 1e-9)
+    pairs = a.join(b, "line").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
-    return both.where(inter / union >= threshold).select("a", "b", F.round(inter / union, 6).alias("jaccard"))
+    links = both.where(inter / union >= threshold).select("a", "b", F.round(inter / union, 6).alias("jaccard"))
+    same = each.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("jaccard"))
+    if representatives:
+        names = each.groupBy("node").agg(F.min("id").alias("doc"))
+        return links.join(names.select(F.col("node").alias("a"), F.col("doc").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("doc").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    member = lambda end, name: each.select(F.col("node").alias(end), F.col("id").alias(name))
+    whole = links.unionByName(same).join(member("a", "x"), "a").join(member("b", "y"), "b")
+    own = F.col("a") != F.col("b")
+    return whole.where(own | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def equal_line_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, same_as): of the documents with the same set of normalised non-blank lines, the smallest id."""
+    from ..functions import text as X
+
+    lines = F.array_distinct(F.filter(F.transform(X.lines_of(F.col("text")), lambda x: F.trim(X.normalise_line(x))), lambda x: x != ""))
+    each = docs.where(F.col("text").isNotNull()).select("doc_id", F.sort_array(F.transform(lines, lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
+    each = each.select("doc_id", F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit(7)).alias("g"), F.size("s").alias("n"))
+    least = each.groupBy("h", "g", "n").agg(F.min("doc_id").alias("same_as"))
+    return each.join(least, ["h", "g", "n"]).select("doc_id", "same_as")
 
 
 def bucket_medians(rows: DataFrame, value: str, bucket: Column, buckets: int) -> DataFrame:
@@ -191,7 +217,38 @@ def ranked_by_cost(rows: DataFrame, cost: str, ordinal: str, by: list[str]) -> D
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(cost, ordinal)) - 1)
 
 
+def exact_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[float, int]], accuracy: int = 10_000) -> DataFrame:
+    """by, n, and for each name with (q, d) the value at rank floor(q n) + d (from 1, inside 1 to n); nulls are no values.
+
+    Approximate quantiles bound each rank's value from both sides; only the values between the
+    bounds, a few times n / accuracy, are counted and summed in order. Where n is small all are.
+    So no group is one array, and none is sorted whole.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    held = rows.where(F.col(value).isNotNull()).select(*[F.col(k).alias(a) for k, a in zip(by, keys)], F.col(value).alias("_v"))
+    eps, qs = 2.0 / accuracy, [q for q, _ in ranks.values()]
+    near = F.array(*[F.lit(min(1.0, max(0.0, q + s))) for q in qs for s in (-eps, eps)])
+    sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", near, accuracy).alias("_q"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    few, bounds = F.col("n") <= 10 * accuracy, []
+    for i, (name, (q, d)) in enumerate(ranks.items()):
+        at = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(F.col("n") * q) + d)).cast("long")
+        lo, hi = F.when(few, F.col("_lo")).otherwise(F.get("_q", 2 * i)), F.when(few, F.col("_hi")).otherwise(F.get("_q", 2 * i + 1))
+        bounds.append(F.struct(F.lit(name).alias("name"), at.alias("at"), lo.alias("lo"), hi.alias("hi")))
+    wanted = sizes.select(*keys, F.explode(F.array(*bounds)).alias("w")).select(*[F.col(k).alias(f"{k}_") for k in keys], "w.*")
+    met = held.join(wanted, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]) if keys else held.crossJoin(F.broadcast(wanted))
+    # One pass: how many lie below the bounds, and how often each value between them occurs.
+    spot = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
+    counted = met.where(F.col("_v") <= F.col("hi")).groupBy(*keys, "name", "at", spot.alias("_v")).agg(F.count(F.lit(1)).alias("c"))
+    running = F.sum("c").over(Window.partitionBy(*keys, "name").orderBy(F.col("_v").asc_nulls_first()))
+    found = counted.withColumn("_to", running).where(F.col("_v").isNotNull() & (F.col("_to") >= F.col("at")))
+    wide = found.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    out = sizes.select(*keys, "n").join(wide.select(*[F.col(k).alias(f"{k}_") for k in keys], *ranks), [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]) if keys else sizes.select("n").crossJoin(wide)
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n", *ranks)
+
+
 def latency_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Nearest-rank 50th, 95th and 99th percentiles, the truncated-rank 95th, and the least, by group."""
-    v = F.collect_list(value)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[ladders.nearest_rank(v, q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)], ladders.truncated_rank(v, 0.95).alias("p95_truncated"), F.min(value).alias("least"))
+    """Nearest-rank 50th, 95th and 99th percentiles, the truncated-rank 95th, and the least, by group; n counts all rows."""
+    ranks = {f"p{int(q * 100)}": (q, 1) for q in (0.5, 0.95, 0.99)} | {"p95_truncated": (0.95, 0)}
+    got = exact_ranks(rows, by, value, ranks).drop("n").withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)})
+    every = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"))
+    return every.join(got, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], "left").select(*by, "n", *ranks, "least")
