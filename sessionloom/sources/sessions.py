@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..operators.spans import span_terms
 
 _STRING, _LONG = T.StringType(), T.LongType()
 #: The session row; a message column is a JSON string or an array of messages.
@@ -99,9 +100,15 @@ def read_commented_csv(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("comment", "#").option("header", True).csv(path)
 
 
-def save_index(spans: DataFrame, path: str) -> None:
-    """The span table, by session; kinds are not kept."""
+def save_index(spans: DataFrame, path: str, postings: bool = False) -> None:
+    """The span table, by session; kinds are not kept. With postings, these too, beside it."""
     spans.select("session", "turn", "span_id", "role", "text", "tokens").withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(path)
+    if postings:
+        span_terms(spans).select("session", "term", "span_id", "turn").repartition("session").sortWithinPartitions("session", "term").write.mode("overwrite").parquet(f"{path}-postings")
+
+
+def load_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}-postings")
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
