@@ -101,13 +101,14 @@ WITH l AS (
   SELECT doc_id, i, line, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT *, string_split(m, ' ') AS toks FROM l),
-k AS (SELECT m, len(any_value(toks)) AS n, array_to_string((any_value(toks))[1:3], ' ') AS lead, any_value(toks) AS toks, count(DISTINCT doc_id) AS docs FROM t WHERE len(toks) >= 5 GROUP BY m),
+k AS (SELECT m, len(any_value(toks)) AS n, CASE WHEN len(any_value(toks)) < 5 THEN m ELSE array_to_string((any_value(toks))[1:3], ' ') END AS lead, any_value(toks) AS toks,
+  len(list_filter(any_value(toks), lambda x: x <> '<*>')) AS fixed, count(DISTINCT doc_id) AS docs FROM t WHERE m <> '' GROUP BY m),
 busy AS (SELECT n, lead, sum(docs) AS weight FROM k GROUP BY n, lead HAVING sum(docs) >= 10),
-p AS (SELECT k.m, k.n, k.lead, k.docs, b.weight, unnest(k.toks) AS tok, unnest(range(len(k.toks))) AS pos FROM k JOIN busy b USING (n, lead)),
+p AS (SELECT k.m, k.n, k.lead, k.docs, k.fixed, b.weight, unnest(k.toks) AS tok, unnest(range(len(k.toks))) AS pos FROM k JOIN busy b USING (n, lead)),
 h0 AS (SELECT n, lead, pos, tok, sum(docs) AS has FROM p WHERE tok <> '<*>' GROUP BY n, lead, pos, tok HAVING sum(docs) >= 0.5 * max(weight)),
 h AS (SELECT n, lead, pos, tok FROM h0 QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY has DESC, tok) = 1),
-q AS (SELECT p.m, p.n, p.lead, p.docs FROM p JOIN h USING (n, lead, pos, tok) GROUP BY ALL HAVING count(*) >= 0.6 * p.n),
-r AS (SELECT m FROM q JOIN (SELECT n, lead FROM q GROUP BY n, lead HAVING sum(docs) >= 10) USING (n, lead)),
+q AS (SELECT p.m, p.n, p.lead, p.docs, p.fixed FROM p JOIN h USING (n, lead, pos, tok) GROUP BY ALL HAVING count(*) >= 0.6 * p.fixed),
+r AS (SELECT m FROM q JOIN (SELECT n, lead FROM q GROUP BY n, lead HAVING sum(docs) >= 10) USING (n, lead) UNION SELECT m FROM k WHERE fixed > 0 AND docs >= 10),
 g AS (SELECT t.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (r.m IS NULL) AS rest, count(r.m) AS lines_dropped FROM t LEFT JOIN r ON r.m = t.m GROUP BY t.doc_id)
 SELECT d.doc_id, coalesce(g.lines_dropped, 0) AS lines_dropped, length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.rest, '') END) AS chars_left,
   sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.rest, '') END) AS text_sha256

@@ -392,7 +392,7 @@ def test_gru_learns_from_every_training_document(spark, monkeypatch):
     seen, learned = [], gru.learned
 
     def counting(docs, *rest):
-        seen.extend(r["t"] for r in docs.collect())
+        seen.extend(np.frombuffer(r["u"], dtype=np.int16).tolist() for r in docs.collect())
         return learned(docs, *rest)
 
     monkeypatch.setattr(gru, "learned", counting)
@@ -400,7 +400,9 @@ def test_gru_learns_from_every_training_document(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     total = lambda: sum(r["score"] for r in gru.score_documents(df).collect() if r["held_out"])
     after = total()
-    assert Counter(seen) == Counter(t for i, t in rows if crc_bucket(i, 5) != 1)
+    c = Counter(w for i, t in rows if crc_bucket(i, 5) != 1 for w in gru.tokens(t))
+    own = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0])))}
+    assert Counter(map(tuple, seen)) == Counter(tuple(own[w] for w in gru.tokens(t)) for i, t in rows if crc_bucket(i, 5) != 1)
     monkeypatch.setattr(gru, "learned", lambda docs, net, *rest: net)
     assert after > total()  # better than the sample alone
 
@@ -647,24 +649,71 @@ def test_mixed_documents_of_repeated_rows(spark, monkeypatch):
 # 10 log templates
 
 
+def letters(n, seed):
+    """Words without digits that no two seeds share."""
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(n))
+
+
 def test_templates_drop_recurring_lines(spark, odd, empty):
     rows = []
     for i in range(30):
-        rows.append((i, f"own line of document number one {words(8, i)}\nuser {i} logged in from host{i}\nCopyright by the authors of all of this\nshort\nuser only here {words(9, i + 500)}"))
-    rows += [(100, "once a line here alone\nonce a line here alone"), (101, None), (102, ""), (None, "Copyright by the authors of all of this")]
+        rows.append((i, f"own line of document number one {letters(8, i)}\nuser {i} logged in from host{i}\nCopyright by the authors of all of this\nshort\n{i}.{i} {i}:00 10.0.0.{i} GET {i} 512\n\n{i} {i}\nuser only here {letters(9, i + 500)}"))
+    rows += [(100, "once a line here alone\nonce a line here alone\nrare"), (101, None), (102, ""), (None, "Copyright by the authors of all of this")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in templates.drop_templates(df).collect()}
-    assert got[3]["text"].split("\n")[1:] == ["short", rows[3][1].split("\n")[-1]]
-    assert got[3]["lines_dropped"] == 2 and got[100]["lines_dropped"] == 0 and got[None]["text"] == ""
+    own = rows[3][1].split("\n")
+    # Long and short recurring lines go, and those whose fields vary; own lines, blank ones and bare numbers stay.
+    assert got[3]["text"].split("\n") == [own[0], "", "3 3", own[-1]] and got[3]["lines_dropped"] == 4
+    assert got[100]["text"] == rows[30][1] and got[100]["lines_dropped"] == 0 and got[None]["text"] == ""
     assert got[101]["text"] is None and got[102]["text"] == ""
     out = templates.drop_templates(odd)
     assert out.columns == [*odd.columns, "lines_dropped"] and out.count() == odd.count()
     assert templates.drop_templates(empty).count() == 0
 
 
+def test_templates_equal_brute_force(spark):
+    """The rule line by line in plain Python, over lines that share leaves, words and numbers."""
+    rng = random.Random(31)
+    pool = ["alpha beta gamma", "go now", "stop", "a b c d e f", "a b c d e g", "a b c x y z", "7 8 9", "id 7 of 9 x y", "id 1 of 2 x z", "a b c 1 2 3", "q r s t u", ""]
+    rows = [(i, "\n".join([*rng.sample(pool, 4), f"a b c {letters(3, i)}", f"one {letters(2, i + 900)}"])) for i in range(40)]
+    mask = lambda line: " ".join("<*>" if any(c in "0123456789" for c in t) else t for t in line.split())
+    docs = {}
+    for i, t in rows:
+        for m in map(mask, t.split("\n")):
+            if m:
+                docs.setdefault(m, set()).add(i)
+    leaves = {}
+    for m in docs:
+        toks = m.split()
+        leaves.setdefault((len(toks), m if len(toks) < 5 else " ".join(toks[:3])), []).append(m)
+    gone = {m for m in docs if len(docs[m]) >= 10 and set(m.split()) != {"<*>"}}
+    for (n, _), members in leaves.items():
+        weight = sum(len(docs[m]) for m in members)
+        if weight < 10:
+            continue
+        constant = {}
+        for at in range(n):
+            has = Counter()
+            for m in members:
+                if m.split()[at] != "<*>" and set(m.split()) != {"<*>"}:
+                    has[m.split()[at]] += len(docs[m])
+            best = [t for t, c in sorted(has.items(), key=lambda x: (-x[1], x[0])) if c >= 0.5 * weight]
+            if best:
+                constant[at] = best[0]
+        fits = [m for m in members if 0 < (same := sum(m.split()[at] == t for at, t in constant.items())) and same >= 0.6 * sum(t != "<*>" for t in m.split())]
+        if sum(len(docs[m]) for m in fits) >= 10:
+            gone |= set(fits)
+    got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        stay = [x for x in t.split("\n") if mask(x) not in gone]
+        assert got[i] == ("\n".join(stay), len(t.split("\n")) - len(stay))
+    assert gone and len(gone) < len(docs)
+
+
 def test_templates_of_one_leaf_are_all_dropped(spark):
     types = ["2024 12:00 INFO cache was flushed now", "2024 12:00 INFO user has gone away", "2024 12:00 INFO disk looks quite full"]
-    rows = [(i, f"{types[i % 3]}\n2024 12:00 INFO {' '.join('abcdefghij'[int(c)] * 3 for c in f'{i:04d}')}") for i in range(60)]
+    rows = [(i, f"{types[i % 3]}\n2024 12:00 INFO {letters(4, i)}") for i in range(60)]
     rows += [(100 + i, f"{i} {i} {i} {i} {i} {i}") for i in range(20)]  # no token in common
     got = {r["doc_id"]: r for r in templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i]["text"] == rows[i][1].split("\n")[1] and got[i]["lines_dropped"] == 1 for i in range(60))
