@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,24 +34,6 @@ def state_first_view(spark, d):
     return R.state_first_views(_rows(spark, d), "fix pkg/mod_1.py please", 150)
 
 
-def select_verbatim(spark, d):
-    def run(it):
-        for pdf in it:
-            got = [R.select_verbatim(t, 6) for t in pdf["text"]]
-            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "cut": [g[0] for g in got], "verbatim": [g[1] for g in got]})
-
-    return transcript(spark, d).select("p_partkey", "text").mapInPandas(run, "p_partkey long, cut string, verbatim boolean")
-
-
-def snippets(spark, d):
-    def run(it):
-        for pdf in it:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "snippet": [R.snippet(t, 0.25, frozenset({"the", "de"})) for t in pdf["text"]]})
-
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, snippet string")
-
-
 def _composed(spark, d):
     rows = _rows(spark, d).groupBy("session").agg(F.sum("tokens").alias("total_tokens"))
     rows = rows.select(F.col("session").alias("session_id"), F.concat(F.lit("r"), (F.col("session") % 5).cast("string")).alias("repo"), "total_tokens")
@@ -65,5 +46,5 @@ def compose_sessions(spark, d):
     return out.withColumn("composed_from", F.array_join("composed_from", ",")).withColumn("target_files", F.array_join("target_files", ","))
 
 
-QUERIES = {f.__name__: f for f in (consolidate_units, compiled_units, replay_state, executable_state, state_first_view, select_verbatim, snippets, compose_sessions)}
+QUERIES = {f.__name__: f for f in (consolidate_units, compiled_units, replay_state, executable_state, state_first_view, compose_sessions)}
 SQL: dict = {}
