@@ -46,7 +46,7 @@ def resume(value: Column, ladder: tuple = FULL_PREFILL_S) -> Column:
 def capacity(geometries: DataFrame, residents: DataFrame, hbm_gib: float = 20.0) -> DataFrame:
     """Sessions that fit on a worker for each geometry (name, kv) and resident (what, tokens)."""
     size = F.col("tokens") * F.col("kv")
-    return geometries.crossJoin(F.broadcast(residents)).select("name", "what", "tokens", size.alias("bytes"), F.round(F.lit(hbm_gib * 2**30) / size, 1).alias("sessions_per_worker"))
+    return geometries.crossJoin(residents).select("name", "what", "tokens", size.alias("bytes"), F.round(F.lit(hbm_gib * 2**30) / size, 1).alias("sessions_per_worker"))
 
 
 def crossover_tokens(kv_bytes: Column, link_gbs: Column, active: Column, lookup_ms: float = 10.0, prefill: float = PREFILL_TOKENS_S) -> Column:
@@ -86,7 +86,7 @@ def crossover(costs: DataFrame, candidate: str = "recompile_active") -> DataFram
     """The smallest history at which the candidate is cheaper than each other policy, else null."""
     own = costs.where(F.col("policy") == candidate).select("history", F.col("seconds").alias("own"))
     other = costs.where(F.col("policy") != candidate)
-    return other.join(F.broadcast(own), "history").groupBy("policy").agg(F.min(F.when(F.col("own") < F.col("seconds"), F.col("history"))).alias("crossing"))
+    return other.join(own, "history").groupBy("policy").agg(F.min(F.when(F.col("own") < F.col("seconds"), F.col("history"))).alias("crossing"))
 
 
 def growth(rows: DataFrame, values: list[str], by: str = "history") -> DataFrame:
@@ -109,7 +109,7 @@ def placement(sessions: DataFrame, kv_bytes: int = 131_072, budget_s: float = 1.
 def quality_join(phase: DataFrame, points: DataFrame, tolerance_pp: float, slack: float, full_f1: float, retrieval_f1: float) -> DataFrame:
     """Cells and advances by active size, joined to quality points; sizes without one are kept."""
     cells = phase.groupBy("active_tokens").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("decision") == "advance").cast("long")).alias("advance"))
-    out = cells.join(F.broadcast(points), "active_tokens", "left")
+    out = cells.join(points, "active_tokens", "left")
     return out.withColumn("fidelity_ok", F.col("fidelity_pp") >= -tolerance_pp).withColumn("decision_ok", F.col("decision_f1") > full_f1).withColumn("parity_ok", F.col("decision_f1") >= retrieval_f1 - slack)
 
 

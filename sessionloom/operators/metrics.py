@@ -173,10 +173,10 @@ def bootstrap_counts(groups: DataFrame, key: list[str], value: str = "delta", re
     named = [F.col(k).alias(f"_{i}") for i, k in enumerate(key)]
     facts = counts.groupBy(*key).agg(F.sum("_c").alias("n"), F.sum(x * F.col("_c")).alias("s"), F.sum(F.when(x > 0, F.col("_c")).otherwise(0)).alias("wins"), F.sum(F.when(x < 0, F.col("_c")).otherwise(0)).alias("losses"), F.count("_v").alias("d"))
     kinds = facts.select(*named, "d")
-    cut = counts.where("_v is not null").join(F.broadcast(kinds), near(kinds)).withColumn("_at", F.pmod(F.xxhash64("_v"), F.ceil(F.col("d") / chunk).cast("long")))
+    cut = counts.where("_v is not null").join(kinds, near(kinds)).withColumn("_at", F.pmod(F.xxhash64("_v"), F.ceil(F.col("d") / chunk).cast("long")))
     parts = cut.groupBy(*key, "_at").agg(F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_x"), F.sum("_c").alias("_n"))
     shares = cut.groupBy(*named, "_at").agg(F.sum("_c").alias("_n")).groupBy(*[f"_{i}" for i in range(len(key))]).agg(F.sort_array(F.collect_list(F.struct("_at", "_n"))).alias("_all"))
-    ready = parts.join(F.broadcast(shares), near(shares)).select(*key, "_at", F.xxhash64(*key).alias("_k"), F.col("_x._v").alias("_v"), F.col("_x._c").alias("_c"), F.col("_all._at").alias("_ats"), F.col("_all._n").alias("_ns"))
+    ready = parts.join(shares, near(shares)).select(*key, "_at", F.xxhash64(*key).alias("_k"), F.col("_x._v").alias("_v"), F.col("_x._c").alias("_c"), F.col("_all._at").alias("_ats"), F.col("_all._n").alias("_ns"))
     # Rows are dealt apart again: the drawing takes the time, not the rows' size.
     ready = ready.repartition(F.xxhash64(*key, "_at"))
 
@@ -192,7 +192,7 @@ def bootstrap_counts(groups: DataFrame, key: list[str], value: str = "delta", re
     means = sums.select(*key, F.posexplode("sums").alias("_r", "_s")).groupBy(*key, "_r").agg(F.sum("_s").alias("_s"))
     drawn = means.groupBy(*named).agg(F.sort_array(F.collect_list("_s")).alias("_m"))
     at = lambda i: F.element_at("_m", F.lit(i + 1)) / F.col("n")
-    out = facts.join(F.broadcast(drawn), near(drawn), "left")
+    out = facts.join(drawn, near(drawn), "left")
     return out.select(*key, "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"), at(int(0.025 * resamples)).alias("lo"), at(int(0.975 * resamples) - 1).alias("hi"), "wins", "losses")
 
 

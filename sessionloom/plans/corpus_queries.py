@@ -139,17 +139,45 @@ _FILL = _ITEM.format(
 )
 
 SQL = {
-    "decoded_messages": _T + " SELECT p_partkey AS session_id, CAST(0 AS INTEGER) AS turn, 'tool' AS role, md5(text) AS text_md5 FROM t WHERE NOT (p_partkey % 3 = 2 AND p_partkey % 5 = 0)",
+    "decoded_messages": _T + """
+      SELECT p_partkey AS session_id, CAST(0 AS INTEGER) AS turn, 'tool' AS role, md5(text) AS text_md5
+      FROM t
+      WHERE NOT (p_partkey % 3 = 2 AND p_partkey % 5 = 0)""",
     "flattened_content": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a' || CAST(p_size AS VARCHAR) || chr(10) || 'b' || chr(10) || 'c' ELSE p_name END || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '{\"name\": \"x\"}' ELSE '' END AS text FROM part",
     "long_sessions": "SELECT p_partkey AS session_id FROM part WHERE p_partkey % 7 <> 0 AND p_size * 4000 >= 65536",
-    "patched_sessions": _T + f" SELECT p_partkey AS session_id, 'repo' || CAST(p_size % 5 AS VARCHAR) AS repo FROM t WHERE p_partkey % 7 <> 0 AND p_size * 4000 >= 32768 AND p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 AND NOT (p_partkey % 3 = 2 AND p_partkey % 5 = 0) AND len({_FILES}) > 0",
-    "id_sets": "SELECT p_partkey AS session_id, CASE WHEN p_partkey % 10 <> 3 THEN 'left' ELSE 'right' END AS only FROM part WHERE (p_partkey % 10 = 3) <> (p_partkey % 15 = 4)",
+    "patched_sessions": _T + f"""
+      SELECT p_partkey AS session_id, 'repo' || CAST(p_size % 5 AS VARCHAR) AS repo
+      FROM t
+      WHERE p_partkey % 7 <> 0 AND p_size * 4000 >= 32768 AND p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 AND NOT (p_partkey % 3 = 2 AND p_partkey % 5 = 0) AND len({_FILES}) > 0""",
+    "id_sets": """SELECT p_partkey AS session_id, CASE WHEN p_partkey % 10 <> 3 THEN 'left' ELSE 'right' END AS only
+      FROM part
+      WHERE (p_partkey % 10 = 3) <> (p_partkey % 15 = 4)""",
     "paired_by_position": "SELECT o_orderkey AS position, CAST(o_custkey % 10 AS DOUBLE) AS a, CAST(o_custkey % 13 AS DOUBLE) AS b FROM orders",
-    "checked_join": "SELECT o_orderkey AS position, o_custkey AS history, CAST(o_custkey % 10 AS DOUBLE) AS v, CAST(o_custkey % 13 AS DOUBLE) AS w FROM orders WHERE o_orderkey % 2 = 0",
+    "checked_join": """SELECT o_orderkey AS position, o_custkey AS history, CAST(o_custkey % 10 AS DOUBLE) AS v, CAST(o_custkey % 13 AS DOUBLE) AS w
+      FROM orders
+      WHERE o_orderkey % 2 = 0""",
     "citation_problems": """WITH c AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 6 < 3), t AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 4 < 2), p AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 5 > 0)
-      SELECT name, 'absent' AS problem FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT name, 'not cited' FROM (SELECT * FROM t EXCEPT SELECT * FROM c) UNION ALL SELECT name, 'not tracked' FROM (SELECT * FROM c EXCEPT SELECT * FROM t)""",
+      SELECT name, 'absent' AS problem
+        FROM (SELECT *
+        FROM c EXCEPT
+        SELECT *
+        FROM p)
+        UNION ALL
+        SELECT name, 'not cited'
+        FROM (SELECT *
+        FROM t EXCEPT
+        SELECT *
+        FROM c)
+        UNION ALL
+        SELECT name, 'not tracked'
+        FROM (SELECT *
+        FROM c EXCEPT
+        SELECT *
+        FROM t)""",
     "scoreable_rows": "SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 > 0 AND p_partkey % 7 > 0",
-    "resumed_rows": "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END AS v FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 <> 0",
+    "resumed_rows": """SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END AS v
+      FROM part
+      WHERE p_partkey % 3 = 0 OR p_partkey % 5 <> 0""",
     "select_verbatim": _T + f""", l AS (SELECT p_partkey, text, lines, list_transform({_LINES}, lambda v: {_ITEM.format(left='CAST(0 AS BIGINT)', kept='CAST([] AS BIGINT[])', full='false', i='v.i', c=f"CAST(greatest(1, len(regexp_extract_all(v.x, '{X.TERM}'))) AS BIGINT)", must=f"(trim(v.x) <> '' AND ({_KEEP}))", said="trim(v.x) <> ''")}) AS it FROM t),
       a AS (SELECT *, list_reduce(it, lambda a, b: {_SKIP}, {_START}) AS f FROM l),
       b AS (SELECT *, list_sort(list_reduce(it, lambda a, b: {_FILL}, f).kept) AS k0 FROM a),
@@ -161,10 +189,12 @@ SQL = {
       l AS (SELECT *, CASE WHEN text = '' THEN [] ELSE l0 END AS lines FROM d),
       m AS (SELECT *, len(lines) AS n, CAST(greatest(1, floor(len(lines) * CAST(0.25 AS DOUBLE))) AS BIGINT) AS keep FROM l),
       u AS (SELECT doc_id, n, keep, unnest(range(n)) AS i, unnest(lines) AS x FROM m WHERE n > 3 AND keep < n),
-      s AS (SELECT *, len(list_distinct(list_filter(list_transform(regexp_extract_all(x, '[A-Za-z0-9_./:-]+'), lambda q: lower(q)), lambda q: q IN ('the', 'de')))) / CAST(2 AS DOUBLE) + i * CAST(0.25 AS DOUBLE) / (n - 1) AS sc FROM u),
+      s AS (SELECT *, len(list_distinct(list_filter(list_transform(regexp_extract_all(x, '[A-Za-z0-9_./:-]+'), lambda q: lower(q)), lambda q: q IN ('the', 'de')))) / CAST(2 AS DOUBLE) + i * CAST(0.25 AS DOUBLE) / (n - 1) AS sc
+        FROM u),
       b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sc DESC, i DESC) AS r FROM s),
       w AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(greatest(0, i - 2), least(n - 1, i + 2) + 1))))) AS wanted FROM b WHERE r <= keep GROUP BY doc_id),
-      z AS (SELECT m.doc_id, lines, n, list_transform(wanted, lambda i: {'out': CAST([] AS VARCHAR[]), 'room': CAST(0 AS BIGINT), 'last': i, 'stop': false}) AS it, CAST(greatest(1, floor(length(text) * CAST(0.25 AS DOUBLE))) AS BIGINT) AS room FROM m JOIN w ON w.doc_id = m.doc_id),
+      z AS (SELECT m.doc_id, lines, n, list_transform(wanted, lambda i: {'out': CAST([] AS VARCHAR[]), 'room': CAST(0 AS BIGINT), 'last': i, 'stop': false}) AS it, CAST(greatest(1, floor(length(text) * CAST(0.25 AS DOUBLE))) AS BIGINT) AS room
+        FROM m JOIN w ON w.doc_id = m.doc_id),
       f AS (SELECT doc_id, list_reduce(it, lambda a, b: CASE WHEN a.stop THEN a
           WHEN a.last >= 0 AND length(lines[b.last + 1]) + 1 + CASE WHEN b.last <> a.last + 1 THEN 19 ELSE 0 END > a.room
             THEN {'out': CASE WHEN a.last < n - 1 THEN list_append(a.out, '... [truncated] ...') ELSE a.out END, 'room': a.room, 'last': a.last, 'stop': true}

@@ -40,7 +40,14 @@ def route_costs(spark, d):
 
 def prefill_floor(spark, d):
     h = F.col("history")
-    return _histories(spark, d).select("id", F.round(C.floor_scaled(h, C.FULL_PREFILL_S), 9).alias("scaled"), F.round(C.floor_scaled(h, C.FULL_PREFILL_S, "none"), 9).alias("compat"), C.resume(h).isNull().alias("cannot_resume"), C.ceiling(h, C.LOOKUP_S).alias("lookup_s"), C.ceiling(F.col("working"), C.ACTIVE_PREFILL_S).alias("prefill_s"))
+    return _histories(spark, d).select(
+        "id",
+        F.round(C.floor_scaled(h, C.FULL_PREFILL_S), 9).alias("scaled"),
+        F.round(C.floor_scaled(h, C.FULL_PREFILL_S, "none"), 9).alias("compat"),
+        C.resume(h).isNull().alias("cannot_resume"),
+        C.ceiling(h, C.LOOKUP_S).alias("lookup_s"),
+        C.ceiling(F.col("working"), C.ACTIVE_PREFILL_S).alias("prefill_s"),
+    )
 
 
 def accounting_crossover(spark, d):
@@ -130,19 +137,83 @@ _PH = "ph AS (SELECT [2048, 4096, 8192, 16384][o_custkey % 4 + 1] AS active_toke
 _RC = "history * CAST(131072.0 AS DOUBLE) / 25e9 AS full_kv_transfer_s, history / CAST(4000 AS DOUBLE) AS full_reprefill_s, CAST(0.01 AS DOUBLE) + working / CAST(4000 AS DOUBLE) AS ephemeral_s, history * CAST(131072 AS BIGINT) AS full_kv_bytes, working * CAST(131072 AS BIGINT) AS active_bytes"
 
 SQL = {
-    "capacity": "SELECT name, what, tokens, CAST(tokens AS BIGINT) * kv AS bytes, round(CAST(20 AS DOUBLE) * 1073741824 / (CAST(tokens AS BIGINT) * kv), 1) AS sessions_per_worker FROM (VALUES ('small', 12288), ('medium', 131072), ('large', 327680)) g(name, kv), (VALUES ('history', 32768), ('history', 131072), ('history', 1048576), ('state', 4096), ('state', 8192), ('state', 16384)) r(what, tokens)",
-    "phase_grid": "SELECT kv_kib, link_gbs, active, CAST(trunc((CAST(0.01 AS DOUBLE) + active / CAST(4000 AS DOUBLE)) * link_gbs * 1e9 / (kv_kib * 1024)) AS BIGINT) AS crossover_tokens, trunc((CAST(0.01 AS DOUBLE) + active / CAST(4000 AS DOUBLE)) * link_gbs * 1e9 / (kv_kib * 1024)) <= 1000000 AS wins_by_1m FROM (VALUES (32), (64), (128), (256)) a(kv_kib), (VALUES (CAST(12.5 AS DOUBLE)), (25), (50), (100)) b(link_gbs), (VALUES (2048), (4096), (8192)) c(active)",
-    "route_costs": f"WITH {_H}, r AS (SELECT id, {_RC} FROM h) SELECT id, round(full_kv_transfer_s, 9) AS full_kv_transfer_s, round(full_reprefill_s, 9) AS full_reprefill_s, round(ephemeral_s, 9) AS ephemeral_s, full_kv_bytes, active_bytes FROM r",
-    "prefill_floor": f"WITH {_H} SELECT id, round({_FLOOR} ELSE 1.59 * (history / 32768.0) END, 9) AS scaled, round({_FLOOR} END, 9) AS compat, history < 32768 OR history >= 524288 AS cannot_resume, {_step('history', C.LOOKUP_S)} AS lookup_s, {_step('working', C.ACTIVE_PREFILL_S)} AS prefill_s FROM h",
-    "accounting_crossover": f"WITH r AS (SELECT range * 16384 AS history FROM range(1, 65)), c AS (SELECT history, round({_DEC}, 4) AS keep_hbm, round(2 * history * 131072 / 25e9 + {_DEC}, 4) AS keep_dram, round(2 * history * 131072 / 25e9 + {_DEC}, 4) AS keep_nvme, round(history / 4000.0 + {_DEC}, 4) AS recompute_full, round(history / 200000.0 + 2048 / 20000.0 + 2048 / 4000.0 + {_DEC}, 4) AS own FROM r), u AS (UNPIVOT c ON keep_hbm, keep_dram, keep_nvme, recompute_full INTO NAME policy VALUE seconds) SELECT policy, min(CASE WHEN own < seconds THEN history END) AS crossing FROM u GROUP BY policy",
+    "capacity": """SELECT name, what, tokens, CAST(tokens AS BIGINT) * kv AS bytes, round(CAST(20 AS DOUBLE) * 1073741824 / (CAST(tokens AS BIGINT) * kv), 1) AS sessions_per_worker
+      FROM (VALUES ('small', 12288), ('medium', 131072), ('large', 327680)) g(name, kv), (VALUES ('history', 32768), ('history', 131072), ('history', 1048576), ('state', 4096), ('state', 8192), ('state', 16384)) r(what, tokens)""",
+    "phase_grid": """SELECT kv_kib, link_gbs, active, CAST(trunc((CAST(0.01 AS DOUBLE) + active / CAST(4000 AS DOUBLE)) * link_gbs * 1e9 / (kv_kib * 1024)) AS BIGINT) AS crossover_tokens, trunc((CAST(0.01 AS DOUBLE) + active / CAST(4000 AS DOUBLE)) * link_gbs * 1e9 / (kv_kib * 1024)) <= 1000000 AS wins_by_1m
+      FROM (VALUES (32), (64), (128), (256)) a(kv_kib), (VALUES (CAST(12.5 AS DOUBLE)), (25), (50), (100)) b(link_gbs), (VALUES (2048), (4096), (8192)) c(active)""",
+    "route_costs": f"""WITH {_H},
+      r AS (SELECT id, {_RC}
+      FROM h)
+      SELECT id, round(full_kv_transfer_s, 9) AS full_kv_transfer_s, round(full_reprefill_s, 9) AS full_reprefill_s, round(ephemeral_s, 9) AS ephemeral_s, full_kv_bytes, active_bytes
+      FROM r""",
+    "prefill_floor": f"""WITH {_H}
+      SELECT id, round({_FLOOR} ELSE 1.59 * (history / 32768.0) END, 9) AS scaled, round({_FLOOR} END, 9) AS compat, history < 32768 OR history >= 524288 AS cannot_resume, {_step('history', C.LOOKUP_S)} AS lookup_s, {_step('working', C.ACTIVE_PREFILL_S)} AS prefill_s
+      FROM h""",
+    "accounting_crossover": f"""WITH r AS (SELECT range * 16384 AS history
+      FROM range(1, 65)),
+      c AS (SELECT history, round({_DEC}, 4) AS keep_hbm, round(2 * history * 131072 / 25e9 + {_DEC}, 4) AS keep_dram, round(2 * history * 131072 / 25e9 + {_DEC}, 4) AS keep_nvme, round(history / 4000.0 + {_DEC}, 4) AS recompute_full, round(history / 200000.0 + 2048 / 20000.0 + 2048 / 4000.0 + {_DEC}, 4) AS own
+      FROM r),
+      u AS (UNPIVOT c ON keep_hbm, keep_dram, keep_nvme, recompute_full INTO NAME policy VALUE seconds)
+      SELECT policy, min(CASE WHEN own < seconds THEN history END) AS crossing
+      FROM u
+      GROUP BY policy""",
     "cost_growth": f"WITH v AS (SELECT * FROM (VALUES (32768, 4096), (262144, 4096), (1048576, 4096)) t(history, working)), r AS (SELECT history, {_RC} FROM v) SELECT " + ", ".join(f"round(arg_max({c}, history) / CAST(arg_min({c}, history) AS DOUBLE), 6) AS {c}_growth" for c in ("history", "full_kv_transfer_s", "full_reprefill_s", "ephemeral_s", "full_kv_bytes", "active_bytes")) + " FROM r",
-    "placement_inversion": f"WITH s AS (SELECT * FROM (VALUES ('young big', 0, 32768, 16384), ('old small', 1, 1048576, 4096), ('old mid', 2, 1048576, 8192), ('mid', 3, 262144, 8192)) t(session, ordinal, history, state)), c AS (SELECT *, CAST({_step('history', C.LOOKUP_S)} AS DOUBLE) + {_step('state', C.ACTIVE_PREFILL_S)} AS t, history * CAST(131072 AS BIGINT) / (CAST(23.3 AS DOUBLE) * 1e9) AS f FROM s), r AS (SELECT session, ordinal, history, state, round(t, 6) AS true_cost_s, round(f, 6) AS footprint_s, round(1 / t, 1) AS served_by_truth, round(1 / f, 1) AS served_by_footprint FROM c) SELECT *, row_number() OVER (ORDER BY true_cost_s, ordinal) - 1 AS rank_by_truth, row_number() OVER (ORDER BY footprint_s, ordinal) - 1 AS rank_by_footprint FROM r",
-    "quality_join": f"WITH {_PH}, c AS (SELECT active_tokens, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance FROM ph GROUP BY 1), p AS (SELECT * FROM (VALUES (2048, 'a', -3.0, 0.10), (4096, 'a', -0.96, 0.165), (8192, 'b', 0.0, 0.165)) t(active_tokens, arm, fidelity_pp, decision_f1)) SELECT active_tokens, cells, advance, arm, CAST(fidelity_pp AS DOUBLE) AS fidelity_pp, CAST(decision_f1 AS DOUBLE) AS decision_f1, fidelity_pp >= -1.0 AS fidelity_ok, decision_f1 > 0.089 AS decision_ok, decision_f1 >= 0.159 AS parity_ok FROM c LEFT JOIN p USING (active_tokens)",
-    "phase_grouping_sets": f"WITH {_PH} SELECT active_tokens, regime, scale, count(*) FILTER (decision = 'advance') AS advance, count(*) AS cells FROM ph GROUP BY GROUPING SETS ((active_tokens), (regime, active_tokens), (scale))",
-    "paired_delta": "WITH l AS (SELECT l_orderkey AS instance_id, arg_max(l_discount, l_linenumber * CAST(1e7 AS DOUBLE) + l_extendedprice) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), r AS (SELECT l_orderkey AS instance_id, arg_max(l_discount, l_linenumber * CAST(1e7 AS DOUBLE) + l_extendedprice) AS b FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT instance_id, a, b, round(b - a, 6) AS delta FROM l JOIN r USING (instance_id)",
+    "placement_inversion": f"""WITH s AS (SELECT *
+      FROM (VALUES ('young big', 0, 32768, 16384), ('old small', 1, 1048576, 4096), ('old mid', 2, 1048576, 8192), ('mid', 3, 262144, 8192)) t(session, ordinal, history, state)),
+      c AS (SELECT *, CAST({_step('history', C.LOOKUP_S)} AS DOUBLE) + {_step('state', C.ACTIVE_PREFILL_S)} AS t, history * CAST(131072 AS BIGINT) / (CAST(23.3 AS DOUBLE) * 1e9) AS f
+      FROM s),
+      r AS (SELECT session, ordinal, history, state, round(t, 6) AS true_cost_s, round(f, 6) AS footprint_s, round(1 / t, 1) AS served_by_truth, round(1 / f, 1) AS served_by_footprint
+      FROM c)
+      SELECT *, row_number() OVER (ORDER BY true_cost_s, ordinal) - 1 AS rank_by_truth, row_number() OVER (ORDER BY footprint_s, ordinal) - 1 AS rank_by_footprint
+      FROM r""",
+    "quality_join": f"""WITH {_PH},
+      c AS (SELECT active_tokens, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance
+      FROM ph
+      GROUP BY 1),
+      p AS (SELECT *
+      FROM (VALUES (2048, 'a', -3.0, 0.10), (4096, 'a', -0.96, 0.165), (8192, 'b', 0.0, 0.165)) t(active_tokens, arm, fidelity_pp, decision_f1))
+      SELECT active_tokens, cells, advance, arm, CAST(fidelity_pp AS DOUBLE) AS fidelity_pp, CAST(decision_f1 AS DOUBLE) AS decision_f1, fidelity_pp >= -1.0 AS fidelity_ok, decision_f1 > 0.089 AS decision_ok, decision_f1 >= 0.159 AS parity_ok
+      FROM c LEFT JOIN p USING (active_tokens)""",
+    "phase_grouping_sets": f"""WITH {_PH}
+      SELECT active_tokens, regime, scale, count(*) FILTER (decision = 'advance') AS advance, count(*) AS cells
+      FROM ph
+      GROUP BY GROUPING SETS ((active_tokens), (regime, active_tokens), (scale))""",
+    "paired_delta": """WITH l AS (SELECT l_orderkey AS instance_id, arg_max(l_discount, l_linenumber * CAST(1e7 AS DOUBLE) + l_extendedprice) AS a
+      FROM lineitem
+      WHERE l_returnflag = 'R'
+      GROUP BY 1),
+      r AS (SELECT l_orderkey AS instance_id, arg_max(l_discount, l_linenumber * CAST(1e7 AS DOUBLE) + l_extendedprice) AS b
+      FROM lineitem
+      WHERE l_returnflag = 'N'
+      GROUP BY 1)
+      SELECT instance_id, a, b, round(b - a, 6) AS delta
+      FROM l JOIN r USING (instance_id)""",
     "cost_rank": "SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS rank FROM part",
-    "verdict": "WITH b AS (SELECT l_linenumber AS bucket, count(*) AS n, round(avg(l_discount - 0.05), 6) AS delta, round(avg(l_tax), 6) AS fraction FROM lineitem GROUP BY 1 HAVING count(*) >= 8), v AS (SELECT count(*) AS readable, min(delta) AS w, arg_min(fraction, bucket) AS f, arg_max(fraction, bucket) AS l FROM b) SELECT readable, CASE WHEN readable < 2 THEN 'inconclusive' WHEN w >= -0.02 AND l <= f + 1e-9 THEN 'advance' ELSE 'kill' END AS verdict FROM v",
-    "gate": "WITH p AS (SELECT o_orderpriority AS regime, ['ephemeral', 'full_kv_move', 'sticky_saturated', 'strict_sticky'][o_custkey % 4 + 1] AS policy, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS goodput, round(max(o_totalprice), 2) AS p99 FROM orders GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY goodput DESC, policy) AS n FROM p WHERE policy <> 'ephemeral'), j AS (SELECT e.regime, b.policy AS baseline, CASE WHEN b.goodput > 0 THEN e.goodput / b.goodput WHEN e.goodput > 0 THEN CAST('inf' AS DOUBLE) END AS ratio, CASE WHEN b.p99 > 0 THEN 1 - e.p99 / b.p99 END AS cut FROM p e JOIN b ON b.regime = e.regime AND b.n = 1 WHERE e.policy = 'ephemeral') SELECT regime, baseline, round(ratio, 6) AS ratio, round(cut, 6) AS p99_cut, CASE WHEN coalesce(ratio, 0) >= 1.5 OR coalesce(cut, 0) >= 0.3 THEN 'advance' ELSE 'kill' END AS verdict FROM j",
+    "verdict": """WITH b AS (SELECT l_linenumber AS bucket, count(*) AS n, round(avg(l_discount - 0.05), 6) AS delta, round(avg(l_tax), 6) AS fraction
+      FROM lineitem
+      GROUP BY 1
+      HAVING count(*) >= 8),
+      v AS (SELECT count(*) AS readable, min(delta) AS w, arg_min(fraction, bucket) AS f, arg_max(fraction, bucket) AS l
+      FROM b)
+      SELECT readable, CASE WHEN readable < 2 THEN 'inconclusive' WHEN w >= -0.02 AND l <= f + 1e-9 THEN 'advance' ELSE 'kill' END AS verdict
+      FROM v""",
+    "gate": """WITH p AS (SELECT o_orderpriority AS regime, ['ephemeral', 'full_kv_move', 'sticky_saturated', 'strict_sticky'][o_custkey % 4 + 1] AS policy, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS goodput, round(max(o_totalprice), 2) AS p99
+      FROM orders
+      GROUP BY 1, 2),
+      b AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY goodput DESC, policy) AS n
+      FROM p
+      WHERE policy <> 'ephemeral'),
+      j AS (SELECT e.regime, b.policy AS baseline, CASE WHEN b.goodput > 0 THEN e.goodput / b.goodput WHEN e.goodput > 0 THEN CAST('inf' AS DOUBLE) END AS ratio, CASE WHEN b.p99 > 0 THEN 1 - e.p99 / b.p99 END AS cut
+      FROM p e JOIN b ON b.regime = e.regime AND b.n = 1
+      WHERE e.policy = 'ephemeral')
+      SELECT regime, baseline, round(ratio, 6) AS ratio, round(cut, 6) AS p99_cut, CASE WHEN coalesce(ratio, 0) >= 1.5 OR coalesce(cut, 0) >= 0.3 THEN 'advance' ELSE 'kill' END AS verdict
+      FROM j""",
     "nearest_rank_percentiles": "WITH l AS (SELECT event_type, list(value ORDER BY value) FILTER (value IS NOT NULL) AS v, count(*) AS n, min(value) AS least FROM events GROUP BY 1) SELECT event_type, n, " + ", ".join(f"v[least(len(v), CAST(floor(len(v) * {q}) AS BIGINT) + 1)] AS p{int(q * 100)}" for q in (0.5, 0.95, 0.99)) + ", v[greatest(1, CAST(floor(len(v) * 0.95) AS BIGINT))] AS p95_truncated, least FROM l",
 }
-QUERIES = {f.__name__: f for f in (capacity, phase_grid, route_costs, prefill_floor, accounting_crossover, cost_growth, placement_inversion, quality_join, phase_grouping_sets, paired_delta, cost_rank, verdict, gate, nearest_rank_percentiles, routing_replay, routing_replay_compat, routing_gate, bootstrap_ci)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        capacity, phase_grid, route_costs, prefill_floor, accounting_crossover, cost_growth, placement_inversion, quality_join, phase_grouping_sets,
+        paired_delta, cost_rank, verdict, gate, nearest_rank_percentiles, routing_replay, routing_replay_compat, routing_gate, bootstrap_ci,
+    )
+}

@@ -42,7 +42,10 @@ def postings_df(spark, d):
 
 def running_history(spark, d):
     h = F.col("history")
-    return _spans(spark, d).select("session", "turn", "span_id", "history", ladders.upper_bucket(h * 100, ladders.STRUCTURAL).alias("structural"), ladders.lower_bucket(h * 100, ladders.QUALITY).alias("quality"), ladders.lower_bucket(h * 100, ladders.KILLER).alias("killer"), ladders.lower_bucket(h * 100, ladders.AGE).alias("age"))
+    lower = lambda bounds, name: ladders.lower_bucket(h * 100, bounds).alias(name)
+    structural = ladders.upper_bucket(h * 100, ladders.STRUCTURAL).alias("structural")
+    buckets = (lower(ladders.QUALITY, "quality"), lower(ladders.KILLER, "killer"), lower(ladders.AGE, "age"))
+    return _spans(spark, d).select("session", "turn", "span_id", "history", structural, *buckets)
 
 
 def asof_query(spark, d):
@@ -255,34 +258,81 @@ FROM q JOIN a ON a.session = q.session AND a.turn = q.q_turn LEFT JOIN g ON g.se
 
 SQL = {
     "span_terms": _CTE + "SELECT session, turn, role, len(terms) AS n_terms, len(list_distinct(terms)) AS n_distinct, tokens FROM s",
-    "postings_df": _CTE + ", z AS (SELECT session, count(*) AS n FROM s GROUP BY session), f AS (SELECT session, term, count(*) AS df FROM st GROUP BY ALL) SELECT session, term, df, df <= greatest(2, floor(n * 0.1)) AS rare FROM f JOIN z USING (session)",
-    "running_history": _CTE + f"SELECT session, turn, span_id, history, {_UPPER} AS structural, {_lower(ladders.QUALITY)} AS quality, {_lower(ladders.KILLER)} AS killer, {_lower(ladders.AGE)} AS age FROM h",
+    "postings_df": _CTE + """,
+      z AS (SELECT session, count(*) AS n
+      FROM s
+      GROUP BY session),
+      f AS (SELECT session, term, count(*) AS df
+      FROM st
+      GROUP BY ALL)
+      SELECT session, term, df, df <= greatest(2, floor(n * 0.1)) AS rare
+      FROM f JOIN z USING (session)""",
+    "running_history": _CTE + f"""SELECT session, turn, span_id, history, {_UPPER} AS structural, {_lower(ladders.QUALITY)} AS quality, {_lower(ladders.KILLER)} AS killer, {_lower(ladders.AGE)} AS age
+      FROM h""",
     "asof_query": _CTE + "SELECT session, turn, md5(query) AS query_md5 FROM a",
     "lookup_score": _CTE + "SELECT session, q_turn, span_id, round(score, 6) AS score, shared FROM hits",
     "lookup_topk": _CTE + "SELECT session, q_turn, rank, span_id, turn, round(score, 6) AS score FROM top",
     "lookup_stats": _CTE + "SELECT * FROM stats",
     "view_pack": _pack_sql("top", BUDGET // 2, BUDGET, "session, q_turn, span_id, turn"),
     "view_recency": _pack_sql("(SELECT * FROM prior WHERE rank <= 4)", BUDGET // 2, BUDGET // 2, "session, q_turn, span_id"),
-    "view_dedup": _CTE + r", x AS (SELECT top.*, md5(trim(regexp_replace(s.text, '[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS f FROM top JOIN s ON s.session = top.session AND s.span_id = top.span_id) SELECT session, q_turn, min(rank) AS rank, arg_max(span_id, turn * 1000000 + span_id) AS span_id, count(*) AS copies FROM x GROUP BY session, q_turn, f",
+    "view_dedup": _CTE + r""",
+      x AS (SELECT top.*, md5(trim(regexp_replace(s.text, '[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS f
+      FROM top JOIN s ON s.session = top.session AND s.span_id = top.span_id)
+      SELECT session, q_turn, min(rank) AS rank, arg_max(span_id, turn * 1000000 + span_id) AS span_id, count(*) AS copies
+      FROM x
+      GROUP BY session, q_turn, f""",
     "tail_pack_skip": _CTE + f""", l AS (SELECT session, q_turn, list({{'u': CAST(0 AS BIGINT), 'k': [span_id], 't': tokens}} ORDER BY turn DESC) AS a FROM prior GROUP BY session, q_turn),
       f AS (SELECT session, q_turn, list_reduce(a, lambda x, y: CASE WHEN (x.t + y.t) <= {BUDGET} THEN {{'u': CAST(0 AS BIGINT), 'k': list_concat(x.k, y.k), 't': x.t + y.t}} ELSE x END) AS z FROM l)
       SELECT session, q_turn, z.t AS used, len(z.k) AS kept, list_reduce(list_sort(z.k), lambda x, y: x * 31 + y, CAST(0 AS BIGINT)) AS kept_key FROM f""",
     "provenance_expand": _CTE + """, o AS (SELECT session, q_turn, term FROM qt WHERE length(term) > 3 UNION SELECT r.session, r.q_turn, st.term FROM r JOIN st ON st.session = r.session AND st.span_id = r.span_id WHERE r.rank <= 3 AND length(st.term) > 3 AND (contains(st.term, '/') OR contains(st.term, '.'))),
       o2 AS (SELECT *, row_number() OVER (PARTITION BY session, q_turn ORDER BY term) AS n FROM o),
-      p AS (SELECT o2.session, o2.q_turn, o2.term, st.span_id, row_number() OVER (PARTITION BY o2.session, o2.q_turn, o2.term ORDER BY st.span_id) AS p FROM o2 JOIN st ON st.session = o2.session AND st.term = o2.term AND st.turn < o2.q_turn WHERE o2.n <= 6),
-      e AS (SELECT session, q_turn, term, span_id, row_number() OVER (PARTITION BY session, q_turn ORDER BY term, span_id) AS extra FROM p WHERE p <= 8 AND NOT EXISTS (SELECT 1 FROM r WHERE r.rank <= 3 AND r.session = p.session AND r.q_turn = p.q_turn AND r.span_id = p.span_id))
+      p AS (SELECT o2.session, o2.q_turn, o2.term, st.span_id, row_number() OVER (PARTITION BY o2.session, o2.q_turn, o2.term ORDER BY st.span_id) AS p
+        FROM o2 JOIN st ON st.session = o2.session AND st.term = o2.term AND st.turn < o2.q_turn
+        WHERE o2.n <= 6),
+      e AS (SELECT session, q_turn, term, span_id, row_number() OVER (PARTITION BY session, q_turn ORDER BY term, span_id) AS extra
+        FROM p
+        WHERE p <= 8 AND NOT EXISTS (SELECT 1
+        FROM r
+        WHERE r.rank <= 3 AND r.session = p.session AND r.q_turn = p.q_turn AND r.span_id = p.span_id))
       SELECT * FROM e WHERE extra <= 6""",
     "structural_summary": _CTE + f""", g AS (SELECT stats.*, {_UPPER} AS bucket, CAST({_lower((4, 6), 'total_spans')} AS VARCHAR) AS depth FROM stats JOIN h ON h.session = stats.session AND h.turn = stats.q_turn)
       SELECT coalesce(bucket, 'all') AS bucket, coalesce(depth, 'all') AS depth, count(*) AS n, {_SUMMARY} FROM g GROUP BY GROUPING SETS ((), (bucket), (depth))""",
-    "dead_state": _CTE + ", d AS (SELECT session, sum(tokens) AS t, count(*) AS spans, list(tokens ORDER BY tokens DESC) AS l, arg_max(tokens, turn) AS newest FROM s GROUP BY session) SELECT session, CAST(t AS BIGINT) AS history_tokens, spans, round(l[1] / t, 3) AS largest_span, round(list_sum(l[1:2]) / t, 3) AS top2_share, round(list_sum(l[1:5]) / t, 3) AS top5_share, round(newest / t, 3) AS tail_share FROM d",
-    "evidence_mass": _CTE + ", z AS (SELECT session, q_turn, count(*) AS n FROM prior GROUP BY ALL), e AS (SELECT m.session, m.q_turn, m.span_id, count(*) AS shared FROM m JOIN z ON z.session = m.session AND z.q_turn = m.q_turn WHERE m.df <= greatest(2, floor(z.n * 0.1)) GROUP BY ALL) SELECT e.session, e.q_turn, CAST(sum(tokens) AS BIGINT) AS mass1, CAST(coalesce(sum(tokens) FILTER (shared >= 2), 0) AS BIGINT) AS mass2, coalesce(max(tokens) FILTER (shared >= 2), 0) AS largest2 FROM e JOIN s ON s.session = e.session AND s.span_id = e.span_id GROUP BY ALL",
-    "spread_sample": _CTE + ", c AS (SELECT *, count(*) OVER (PARTITION BY session) AS m FROM s) SELECT session, turn, tokens FROM c WHERE m <= 3 OR span_id IN (0, CAST(round_even((m - 1) / 2.0, 0) AS BIGINT), m - 1)",
-    "bucket_medians": _CTE + f", b AS (SELECT {_lower(ladders.KILLER)} AS bucket, tokens FROM h) SELECT CAST(i.range AS INTEGER) AS bucket, count(b.tokens) AS n, CAST(floor(quantile_cont(b.tokens, 0.5)) AS BIGINT) AS median FROM range(5) i LEFT JOIN b ON b.bucket = i.range GROUP BY 1",
+    "dead_state": _CTE + """,
+      d AS (SELECT session, sum(tokens) AS t, count(*) AS spans, list(tokens ORDER BY tokens DESC) AS l, arg_max(tokens, turn) AS newest
+      FROM s
+      GROUP BY session)
+      SELECT session, CAST(t AS BIGINT) AS history_tokens, spans, round(l[1] / t, 3) AS largest_span, round(list_sum(l[1:2]) / t, 3) AS top2_share, round(list_sum(l[1:5]) / t, 3) AS top5_share, round(newest / t, 3) AS tail_share
+      FROM d""",
+    "evidence_mass": _CTE + """,
+      z AS (SELECT session, q_turn, count(*) AS n
+      FROM prior
+      GROUP BY ALL),
+      e AS (SELECT m.session, m.q_turn, m.span_id, count(*) AS shared
+      FROM m JOIN z ON z.session = m.session AND z.q_turn = m.q_turn
+      WHERE m.df <= greatest(2, floor(z.n * 0.1))
+      GROUP BY ALL)
+      SELECT e.session, e.q_turn, CAST(sum(tokens) AS BIGINT) AS mass1, CAST(coalesce(sum(tokens) FILTER (shared >= 2), 0) AS BIGINT) AS mass2, coalesce(max(tokens) FILTER (shared >= 2), 0) AS largest2
+      FROM e JOIN s ON s.session = e.session AND s.span_id = e.span_id
+      GROUP BY ALL""",
+    "spread_sample": _CTE + """,
+      c AS (SELECT *, count(*) OVER (PARTITION BY session) AS m
+      FROM s)
+      SELECT session, turn, tokens
+      FROM c
+      WHERE m <= 3 OR span_id IN (0, CAST(round_even((m - 1) / 2.0, 0) AS BIGINT), m - 1)""",
+    "bucket_medians": _CTE + f""",
+      b AS (SELECT {_lower(ladders.KILLER)} AS bucket, tokens
+      FROM h)
+      SELECT CAST(i.range AS INTEGER) AS bucket, count(b.tokens) AS n, CAST(floor(quantile_cont(b.tokens, 0.5)) AS BIGINT) AS median
+      FROM range(5) i LEFT JOIN b ON b.bucket = i.range
+      GROUP BY 1""",
     "compile_view": _VIEW_SQL
     + """SELECT session, q_turn, row_number() OVER (PARTITION BY session, q_turn ORDER BY turn, span_id, channel, rank) AS place, span_id, CAST(take AS BIGINT) AS take, take < tokens AS cut, length(said) AS chars, md5(said) AS text_md5
-      FROM (SELECT z.*, CASE WHEN take < z.tokens THEN left(s.text, CAST(greatest(1, floor(length(s.text) * (take / CAST(z.tokens AS DOUBLE)))) AS BIGINT)) ELSE s.text END AS said FROM z JOIN s ON s.session = z.session AND s.span_id = z.span_id)""",
+      FROM (SELECT z.*, CASE WHEN take < z.tokens THEN left(s.text, CAST(greatest(1, floor(length(s.text) * (take / CAST(z.tokens AS DOUBLE)))) AS BIGINT)) ELSE s.text END AS said
+        FROM z JOIN s ON s.session = z.session AND s.span_id = z.span_id)""",
     "recency_view": _CTE + f""", l AS (SELECT session, q_turn, list({{'k': [span_id], 't': tokens}} ORDER BY turn DESC) FILTER (tokens <= {BUDGET // 4}) AS a, count(*) AS n FROM prior GROUP BY session, q_turn),
-      f AS (SELECT session, q_turn, CASE WHEN a IS NULL THEN {{'k': CAST([] AS BIGINT[]), 't': 0}} ELSE list_reduce(a, lambda x, y: CASE WHEN x.t + y.t <= {BUDGET // 4} THEN {{'k': list_concat(x.k, y.k), 't': x.t + y.t}} ELSE x END) END AS z FROM l)
+      f AS (SELECT session, q_turn, CASE WHEN a IS NULL THEN {{'k': CAST([] AS BIGINT[]), 't': 0}} ELSE list_reduce(a, lambda x, y: CASE WHEN x.t + y.t <= {BUDGET // 4} THEN {{'k': list_concat(x.k, y.k), 't': x.t + y.t}} ELSE x END) END AS z
+        FROM l)
       SELECT session, q_turn, CAST(z.t AS BIGINT) AS used, array_to_string(list_sort(z.k), ',') AS kept FROM f""",
     "examples_view": _EXAMPLES_SQL.format(active="p"),
     "examples_recency": _EXAMPLES_SQL.format(active="y"),

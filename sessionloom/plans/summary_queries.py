@@ -187,17 +187,30 @@ def _sql() -> dict[str, str]:
         "quality_summary": f"""WITH {_EX}, v AS (SELECT {_lower('history', ladders.QUALITY)} AS bucket, active / CAST(greatest(1, history) AS DOUBLE) AS f, active_nll - full_nll AS n, active_acc - full_acc AS a FROM ex WHERE full_nll IS NOT NULL)
           SELECT bucket, count(*) AS examples, {q('f', 0.5, 'active_fraction_p50')}, {q('f', 0.95, 'active_fraction_p95')}, {q('n', 0.5, 'nll_delta_p50')},
           {q('n', 0.95, 'nll_delta_p95')}, {q('a', 0.5, 'accuracy_delta_p50')}, {q('a', 0.05, 'accuracy_delta_p05')} FROM v GROUP BY bucket""",
-        "localisation_means": f"WITH {_table('l', _LOCAL, 'lineitem')} SELECT grp, count(*) AS examples, round(avg(full_f1), 6) AS full_f1, round(avg(active_f1), 6) AS active_f1, round(avg(active_next_recall), 6) AS active_next_recall FROM l GROUP BY grp",
+        "localisation_means": f"""WITH {_table('l', _LOCAL, 'lineitem')}
+      SELECT grp, count(*) AS examples, round(avg(full_f1), 6) AS full_f1, round(avg(active_f1), 6) AS active_f1, round(avg(active_next_recall), 6) AS active_next_recall
+      FROM l
+      GROUP BY grp""",
         "killer_fidelity": f"WITH {_EX}, {_MEASURED} {_killer('m', _lower('history', ladders.KILLER), 5, _FIDELITY)}",
         "killer_by_turns": f"WITH {_EX}, {_MEASURED} {_killer('m', _lower('turns', ladders.TURNS), 4, _FIDELITY)}",
-        "killer_end_task": f"WITH {_EX}, e AS (SELECT * FROM ex WHERE full_f1 IS NOT NULL AND active_f1 IS NOT NULL) {_killer('e', _lower('history', ladders.KILLER), 5, _MEANS)}",
+        "killer_end_task": f"""WITH {_EX},
+      e AS (SELECT *
+      FROM ex
+      WHERE full_f1 IS NOT NULL AND active_f1 IS NOT NULL) {_killer('e', _lower('history', ladders.KILLER), 5, _MEANS)}""",
         "killer_inversion": f"""WITH {_EX}, s AS (SELECT history, active, {_step('history', C.LOOKUP_S)} AS l, {_step('active', C.ACTIVE_PREFILL_S)} AS p FROM ex)
-          SELECT history, active AS compiled_state, round_even(l, 6) AS lookup_s, round_even(p, 4) AS prefill_s, round_even(history * CAST(12288 AS DOUBLE) / 23300000000, 4) AS move_full_kv_s, CAST(round(CAST(CAST(l + p AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) AS mobility_s FROM s""",
+          SELECT history, active AS compiled_state, round_even(l, 6) AS lookup_s, round_even(p, 4) AS prefill_s, round_even(history * CAST(12288 AS DOUBLE) / 23300000000, 4) AS move_full_kv_s, CAST(round(CAST(CAST(l + p AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) AS mobility_s
+            FROM s""",
         "burst_sensitivity": f"""WITH {_table('cell', _CELL)}, {_BARS} SELECT active_tokens, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance, count(*) FILTER (cut) AS clear_p99, count(*) FILTER (good) AS clear_goodput,
           round(min(p99_reduction), 6) AS p99_min, {q('p99_reduction', 0.5, 'p99_p50')}, round(max(p99_reduction), 6) AS p99_max FROM c GROUP BY active_tokens""",
-        "long_age_cells": f"WITH {_table('cell', _CELL)}, {_BARS} SELECT regime, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance, count(*) FILTER (cut) AS clear_p99 FROM c GROUP BY regime",
+        "long_age_cells": f"""WITH {_table('cell', _CELL)}, {_BARS}
+      SELECT regime, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance, count(*) FILTER (cut) AS clear_p99
+      FROM c
+      GROUP BY regime""",
         "age_flatness": f"""WITH {_table('r', _RATES)}, y AS (SELECT policy, coalesce(cold_0, cold_1, cold_2) AS young, coalesce(cold_2, cold_1, cold_0) AS old FROM r)
-          SELECT policy, {q('young', 0.5, 'youngest_p50')}, {q('old', 0.5, 'oldest_p50')}, round(quantile_cont(old / young, 0.5) FILTER (young <> 0), 6) AS ratio_p50 FROM y WHERE young IS NOT NULL GROUP BY policy""",
+          SELECT policy, {q('young', 0.5, 'youngest_p50')}, {q('old', 0.5, 'oldest_p50')}, round(quantile_cont(old / young, 0.5) FILTER (young <> 0), 6) AS ratio_p50
+            FROM y
+            WHERE young IS NOT NULL
+            GROUP BY policy""",
         "quality_totals": f"""WITH j AS ({cost['quality_join']}) SELECT CAST(sum(advance) AS BIGINT) AS advancing, CAST(coalesce(sum(advance) FILTER (fidelity_ok), 0) AS BIGINT) AS fidelity,
           CAST(coalesce(sum(advance) FILTER (decision_ok), 0) AS BIGINT) AS decision, CAST(coalesce(sum(advance) FILTER (parity_ok), 0) AS BIGINT) AS parity,
           coalesce(string_agg(CAST(active_tokens AS VARCHAR), ',' ORDER BY active_tokens) FILTER (fidelity_pp IS NULL), '') AS sizes_without_points FROM j""",
@@ -209,12 +222,27 @@ def _sql() -> dict[str, str]:
             count(pp) AS pairs, quantile_cont(pp, 0.5) AS p50, min(pp) AS lo, max(pp) AS hi FROM b GROUP BY bucket)
           SELECT bucket, round(f1_mean, 6) AS f1_mean, f1_n, round(state_tokens_p50, 6) AS state_tokens_p50, CASE WHEN moved THEN 0 ELSE pairs END AS pairs, CASE WHEN NOT moved THEN round(p50, 6) END AS pp_p50,
           CASE WHEN NOT moved THEN round(lo, 6) END AS pp_min, CASE WHEN NOT moved THEN round(hi, 6) END AS pp_max FROM o""",
-        "declared_regimes": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'balanced|slow_worker|worker_failure' WHEN 1 THEN 'balanced|burst' ELSE p_brand END AS regimes FROM part",
+        "declared_regimes": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'balanced|slow_worker|worker_failure' WHEN 1 THEN 'balanced|burst' ELSE p_brand END AS regimes
+      FROM part""",
         "load_costs": """SELECT 'bandwidth_gbs' AS ladder, CAST(NULL AS BIGINT) AS tokens, round(quantile_cont(abs(s_acctbal), 0.5), 6) AS seconds FROM supplier
           UNION ALL SELECT 'active_prefill_s', (n_nationkey + 1) * 2048, round(n_nationkey * 0.1, 6) FROM nation WHERE n_nationkey < 4
           UNION ALL SELECT 'full_prefill_s', (n_nationkey + 1) * 32768, CASE WHEN n_nationkey < 3 THEN n_nationkey * 1.5 END FROM nation WHERE n_nationkey < 4
           UNION ALL SELECT * FROM (VALUES ('lookup_s', 8192, 0.000087), ('lookup_s', 32768, 0.00025), ('lookup_s', 131072, 0.0005), ('lookup_s', 1048576, 0.0004)) t(a, b, c)""",
-        "receipts_union": f"WITH {_table('cell', _CELL)}, u AS (SELECT * FROM cell WHERE starts_with(regime, '1') UNION ALL SELECT * FROM cell WHERE starts_with(regime, '2') UNION ALL SELECT * FROM cell WHERE starts_with(regime, '2')) SELECT active_tokens, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance FROM u GROUP BY active_tokens",
+        "receipts_union": f"""WITH {_table('cell', _CELL)},
+      u AS (SELECT *
+      FROM cell
+      WHERE starts_with(regime, '1')
+      UNION ALL
+      SELECT *
+      FROM cell
+      WHERE starts_with(regime, '2')
+      UNION ALL
+      SELECT *
+      FROM cell
+      WHERE starts_with(regime, '2'))
+      SELECT active_tokens, count(*) AS cells, count(*) FILTER (decision = 'advance') AS advance
+      FROM u
+      GROUP BY active_tokens""",
     }
 
 

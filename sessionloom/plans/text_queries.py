@@ -131,31 +131,62 @@ _SIG = f"nullif(trim(regexp_extract(left({_FLAT}, 400), '{X.COMMAND}', 0)), '')"
 _DUMPED = r"len(list_filter(lines, lambda x: regexp_matches(x, '^\s*\d+\t'))) >= greatest(3, floor(len(lines) / 2))"
 _KEEP = " OR ".join("regexp_matches(line, '" + rx.replace("'", "''") + "')" for rx in (X.DUMP, X.ERROR, X.CODE, X.PATH, X.NUMBER_OR_ID))
 _SAME = "(m = r OR ends_with(m, '/' || r) OR ends_with(r, '/' || m) OR (string_split(m, '/')[-1] = string_split(r, '/')[-1] AND length(string_split(m, '/')[-1]) > 3))"
-_SAME_ACTION = _SAME.replace("(m ", "(g_target ").replace("m,", "g_target,").replace("|| m)", "|| g_target)").replace("= r ", "= r_target ").replace("|| r)", "|| r_target)").replace("with(r,", "with(r_target,").replace("split(r,", "split(r_target,").replace("split(m,", "split(g_target,")
+_SAME_ACTION = _SAME
+for _old, _new in (
+    ("(m ", "(g_target "), ("m,", "g_target,"), ("|| m)", "|| g_target)"), ("= r ", "= r_target "), ("|| r)", "|| r_target)"),
+    ("with(r,", "with(r_target,"), ("split(r,", "split(r_target,"), ("split(m,", "split(g_target,"),
+):
+    _SAME_ACTION = _SAME_ACTION.replace(_old, _new)
 
 SQL = {
-    "doc_fingerprint_dups": rf"SELECT md5(trim(regexp_replace(text, '[{X.BLANK}]+', ' ', 'g'))) AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "doc_fingerprint_dups": rf"""SELECT md5(trim(regexp_replace(text, '[{X.BLANK}]+', ' ', 'g'))) AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc
+      FROM documents
+      WHERE text IS NOT NULL
+      GROUP BY 1
+      HAVING count(*) > 1""",
     "content_fingerprints": _T + r" SELECT p_partkey, md5(array_to_string(list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^\s*\d+\t', ''), '^\s*\d+\s{2,}', ''), '\s+', ' ', 'g'))), ' ')) AS content, md5(" + _FLAT + ") AS plain FROM t",
     "path_of": _T + " SELECT p_partkey, CASE WHEN len(ps) = 1 THEN ps[1] END AS path, array_to_string(list_transform(list_filter(regexp_extract_all(text, '" + _RX + "'), lambda p, i: true), lambda p: p), ' ') AS paths FROM t",
     "classify_spans": _T + rf""" SELECT p_partkey, CASE WHEN len(ps) = 1 AND ({_DUMPED} OR regexp_matches(text, '(?m)^<{{5,}} SEARCH') OR starts_with(ltrim(text, chr(9) || chr(10) || ' '), 'diff --git') OR contains(text, '@@ '))
         THEN 'file_event' WHEN {_SIG} IS NOT NULL THEN 'command_result' ELSE 'loose' END AS kind, {_SIG} AS signature FROM t""",
-    "verbatim_lines": _T + f", l AS (SELECT p_partkey, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM t) SELECT p_partkey, line_no, trim(line) <> '' AND ({_KEEP}) AS verbatim FROM l",
+    "verbatim_lines": _T + f""",
+      l AS (SELECT p_partkey, unnest(lines) AS line, unnest(range(len(lines))) AS line_no
+      FROM t)
+      SELECT p_partkey, line_no, trim(line) <> '' AND ({_KEEP}) AS verbatim
+      FROM l""",
     "patch_files": _T + f" SELECT p_partkey, array_to_string({_FILES}, ' ') AS files, array_to_string({_MENTIONED}, ' ') AS mentioned FROM t",
-    "session_patch_files": _T + f", f AS (SELECT DISTINCT session, unnest({_FILES}) AS file FROM t) SELECT session, string_agg(file, ' ' ORDER BY file) AS files FROM f GROUP BY session",
+    "session_patch_files": _T + f""",
+      f AS (SELECT DISTINCT session, unnest({_FILES}) AS file
+      FROM t)
+      SELECT session, string_agg(file, ' ' ORDER BY file) AS files
+      FROM f
+      GROUP BY session""",
     "localization_f1": _T + f""", rec AS (SELECT session, list(DISTINCT file) AS recorded FROM (SELECT session, unnest({_FILES}) AS file FROM t) GROUP BY session),
       g AS (SELECT p_partkey, {_MENTIONED} AS mentioned, recorded FROM t JOIN rec USING (session) WHERE role = 'assistant'),
       x AS (SELECT p_partkey, len(mentioned) AS nm, len(recorded) AS nr, len(list_filter(recorded, lambda r: len(list_filter(mentioned, lambda m: {_SAME})) > 0)) AS hits FROM g),
       y AS (SELECT p_partkey, hits, CASE WHEN nm > 0 THEN hits / nm ELSE 0 END AS p, hits / nr AS r FROM x)
       SELECT p_partkey, hits, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM y""",
-    "latest_per_key": _T + f", k AS (SELECT session, turn, text, {_SIG} AS key, row_number() OVER (PARTITION BY session, {_SIG} ORDER BY turn DESC, p_partkey DESC) AS n, turn AS tt FROM t), z AS (SELECT * FROM k WHERE key IS NOT NULL) SELECT session, key, max(turn) AS turn, md5(any_value(text) FILTER (n = 1)) AS text_md5, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (n > 1), '') AS superseded FROM z GROUP BY session, key",
+    "latest_per_key": _T + f""",
+      k AS (SELECT session, turn, text, {_SIG} AS key, row_number() OVER (PARTITION BY session, {_SIG} ORDER BY turn DESC, p_partkey DESC) AS n, turn AS tt
+      FROM t),
+      z AS (SELECT *
+      FROM k
+      WHERE key IS NOT NULL)
+      SELECT session, key, max(turn) AS turn, md5(any_value(text) FILTER (n = 1)) AS text_md5, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (n > 1), '') AS superseded
+      FROM z
+      GROUP BY session, key""",
     "near_dup_pairs": r"""WITH l AS (SELECT DISTINCT doc_id, trim(regexp_replace(regexp_replace(line, '^\s*\d+\t', ''), '^\s*\d+\s{2,}', '')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
       p AS (SELECT * FROM l WHERE line <> ''), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
       i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM p a JOIN p b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY 1, 2)
-      SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.7 AND least(x.n, y.n) >= 0.7 * greatest(x.n, y.n)""",
+      SELECT a, b, round(i / (x.n + y.n - i), 6) AS jaccard
+        FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+        WHERE i / (x.n + y.n - i) >= 0.7 AND least(x.n, y.n) >= 0.7 * greatest(x.n, y.n)""",
     "score_action": f"""WITH a AS (SELECT l_orderkey, l_linenumber, {', '.join(_ACTIONS).replace('STRING', 'VARCHAR')} FROM lineitem),
       s AS (SELECT *, g_tool IS NOT NULL AS parseable, CASE WHEN g_tool IS NULL THEN NULL ELSE g_tool = r_tool END AS tool,
         CASE WHEN g_tool IS NULL OR g_target IS NULL OR r_target IS NULL THEN NULL ELSE {_SAME_ACTION} END AS target FROM a)
-      SELECT l_orderkey, l_linenumber, parseable, tool, target, CASE WHEN NOT parseable THEN NULL ELSE tool AND target IS DISTINCT FROM FALSE AND (r_verb IS NULL OR g_verb IS NOT DISTINCT FROM r_verb) END AS exact FROM s""",
+      SELECT l_orderkey, l_linenumber, parseable, tool, target, CASE WHEN NOT parseable THEN NULL ELSE tool AND target IS DISTINCT
+        FROM FALSE AND (r_verb IS NULL OR g_verb IS NOT DISTINCT
+        FROM r_verb) END AS exact
+        FROM s""",
 }
 # The diff's side prefix is dropped and repeats removed in first-seen order.
 SQL["path_of"] = _T + ", u AS (SELECT p_partkey, ps, unnest(list_transform(regexp_extract_all(text, '" + _RX + "'), lambda p: CASE WHEN regexp_matches(p, '^[ab]/') AND length(p) - length(replace(p, '/', '')) > 1 THEN substring(p, 3) ELSE p END)) AS p, unnest(range(len(regexp_extract_all(text, '" + _RX + "')))) AS i FROM t), f AS (SELECT p_partkey, p, min(i) AS i FROM u GROUP BY p_partkey, p), j AS (SELECT p_partkey, string_agg(p, ' ' ORDER BY i) AS paths FROM f GROUP BY p_partkey) SELECT t.p_partkey, CASE WHEN len(ps) = 1 THEN ps[1] END AS path, coalesce(j.paths, '') AS paths FROM t LEFT JOIN j USING (p_partkey)"
