@@ -23,6 +23,18 @@ def checked(a: DataFrame, b: DataFrame, keys: list[str], control: str) -> DataFr
     return joined.withColumn(control, same).drop("_x", "_y")
 
 
+def checked_by_position(a: DataFrame, b: DataFrame, checks: list[str], position: str = "position") -> DataFrame:
+    """a with b's other columns, row by row; a missing partner or a check that differs fails the job when the row is read."""
+    other = b.select(position, F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in checks], *[c for c in b.columns if c not in (position, *checks)])
+    both = a.withColumn("_here", F.lit(True)).join(other, position, "full_outer")
+    fine = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+    for c in checks:
+        fine &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    said = F.concat(F.lit("rows differ at position "), F.coalesce(F.col(position).cast("string"), F.lit("null")))
+    kept = F.when(fine, F.col(position)).otherwise(F.raise_error(said).cast(a.schema[position].dataType))
+    return both.withColumn(position, kept).drop("_here", "_there", *[f"_{c}" for c in checks])
+
+
 def citations(cited: DataFrame, tracked: DataFrame, present: DataFrame, key: str = "name") -> DataFrame:
     """(name, problem): cited but absent, tracked but not cited, cited but not tracked."""
     label = lambda d, p: d.select(key).distinct().withColumn("problem", F.lit(p))

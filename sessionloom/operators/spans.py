@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def spans(turns: DataFrame, session: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """session, turn, role, text, span_id (dense append order), tokens, history (tokens before)."""
-    rows = turns.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", X.token_estimate(F.col("text")).cast("long"))
+def spans(turns: DataFrame, session: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: Column | None = None) -> DataFrame:
+    """session, turn, role, text, span_id (dense append order), tokens, history (tokens before).
+
+    Tokens are counted by X.token_estimate, or by the given Column of the turns (a pandas UDF of another counter, say).
+    """
+    counted = X.token_estimate(F.coalesce(F.col(text), F.lit(""))) if tokens is None else F.greatest(F.lit(1), tokens)
+    rows = turns.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), counted.cast("long").alias("tokens"))
     w = Window.partitionBy("session").orderBy("turn")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("span_id", F.row_number().over(w) - 1).withColumn("history", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

@@ -27,7 +27,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = SESSION) -
 
 
 def write_jsonl(rows: DataFrame, path: str, limit: int | None = None) -> None:
-    """Rows with messages, nulls left out; a limit takes the first by session_id."""
+    """Rows with messages, the session row's fields only, nulls left out; a limit takes the first by session_id."""
+    rows = rows.select(*[c for c in SESSION.names if c in rows.columns])
     present = [c for c in ("messages_json", "messages", "trajectory") if c in rows.columns]
     rows = rows.where(F.coalesce(*[F.col(c).isNotNull() for c in present]) if len(present) == 1 else " OR ".join(f"{c} IS NOT NULL" for c in present))
     if limit is not None:
@@ -70,6 +71,19 @@ def repo_of(meta_json: Column) -> Column:
     return F.coalesce(F.nullif(head, F.lit("")), F.lit("unknown"))
 
 
+def restricted(corpus: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The corpus' rows whose keys are wanted."""
+    return corpus.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def first_examples(examples: DataFrame, sessions: int | None = None, rows: int | None = None) -> DataFrame:
+    """At most so many sessions, and rows, in order of session and turn: the same ones in every run."""
+    if sessions is not None:
+        chosen = examples.select("session").distinct().orderBy("session").limit(sessions)
+        examples = examples.join(chosen, "session", "left_semi")
+    return examples if rows is None else examples.orderBy("session", "q_turn").limit(rows)
+
+
 def same_ids(a: DataFrame, b: DataFrame, key: str = "session_id") -> DataFrame:
     """Keys that only one of two corpora has, and which."""
     x, y = a.select(F.col(key).alias("x")).distinct(), b.select(F.col(key).alias("y")).distinct()

@@ -15,7 +15,9 @@ from sessionloom.operators import pack as P
 from sessionloom.operators import replay as R
 from sessionloom.operators import routing
 from sessionloom.operators import spans as S
+from sessionloom.operators import receipts
 from sessionloom.sources import receipts as O
+from sessionloom.sources import sessions as IO
 
 CALL = '{"name": "execute_bash", "arguments": "{\\"command\\": \\"cd /w && head -3 lib/core.go\\"}"}'
 CASES = [
@@ -311,3 +313,35 @@ def test_streaming_changes_hold_one_text_a_key(spark, tmp_path):
     finally:
         q.stop()
     assert [(r["turn"], r["superseded"]) for r in spark.table("changes").collect()] == [(4, [1]), (9, [2, 4])]
+
+
+def test_positions_that_differ_fail(spark):
+    a = spark.createDataFrame([(0, 5, "x"), (1, 6, "y")], "position int, history int, files string")
+    b = spark.createDataFrame([(0, 5, "x", 0.5), (1, 6, "y", 0.7)], "position int, history int, files string, f1 double")
+    assert [r["f1"] for r in receipts.checked_by_position(a, b, ["history", "files"]).orderBy("position").collect()] == [0.5, 0.7]
+    for other in (b.where("position = 0"), b.withColumn("files", F.lit("x"))):
+        with pytest.raises(Exception, match="rows differ at position 1"):
+            receipts.checked_by_position(a, other, ["history", "files"]).collect()
+
+
+def test_receipts_of_a_pattern(spark, tmp_path):
+    for name, schema, more in (("a", "t-v1", {}), ("b", "t-v1", {"partial": True}), ("c", "other", {}), ("skip-d", "t-v1", {})):
+        O.write_receipt(spark, f"file://{tmp_path}/{name}.json", schema, [{"x": 1}], **more)
+    rows = IO.read_receipts(spark, f"file://{tmp_path}/*.json", "schema string, partial boolean, rows array<struct<x:int>>", exclude="^skip", tag="t-v1")
+    assert [r["receipt"] for r in rows.collect()] == ["a.json"]
+
+
+def test_session_rows_are_projected_and_limited(spark, tmp_path):
+    df = spark.createDataFrame([("b", "[]", "drop"), ("a", "[]", "drop"), ("c", None, "drop")], "session_id string, messages_json string, other string")
+    IO.write_jsonl(df, str(tmp_path / "o"), limit=1)
+    lines = [x for p in (tmp_path / "o").glob("part-*") for x in p.read_text().splitlines()]
+    assert [json.loads(x) for x in lines] == [{"session_id": "a", "messages_json": "[]"}]
+    assert IO.restricted(df, df.where("session_id = 'b'"), ["session_id"]).count() == 1
+    made = spark.createDataFrame([(s, t) for s in (3, 1, 2) for t in (2, 1)], "session int, q_turn int")
+    assert [tuple(r) for r in IO.first_examples(made, sessions=2, rows=3).collect()] == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_another_token_counter(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a b c"), (1, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    got = S.spans(df, tokens=F.coalesce(F.length("text"), F.lit(0))).orderBy("turn").collect()
+    assert [(r["tokens"], r["history"]) for r in got] == [(5, 0), (1, 5)]
