@@ -148,7 +148,7 @@ SQL = {
       SELECT id, round(full_kv_transfer_s, 9) AS full_kv_transfer_s, round(full_reprefill_s, 9) AS full_reprefill_s, round(ephemeral_s, 9) AS ephemeral_s, full_kv_bytes, active_bytes
       FROM r""",
     "prefill_floor": f"""WITH {_H}
-      SELECT id, round({_FLOOR} ELSE 1.59 * (history / 32768.0) END, 9) AS scaled, round({_FLOOR} END, 9) AS compat, history < 32768 OR history >= 524288 AS cannot_resume, CASE WHEN history < 524288 THEN round({_FLOOR} END, 3) END AS resume_s, {_step('history', C.LOOKUP_S)} AS lookup_s, {_step('working', C.ACTIVE_PREFILL_S)} AS prefill_s
+      SELECT id, round({_FLOOR} ELSE 1.59 * (history / 32768.0) END, 9) AS scaled, round({_FLOOR} END, 9) AS compat, history < 32768 OR history >= 524288 AS cannot_resume, CASE WHEN history < 524288 THEN round_even({_FLOOR} END, 3) END AS resume_s, {_step('history', C.LOOKUP_S)} AS lookup_s, {_step('working', C.ACTIVE_PREFILL_S)} AS prefill_s
       FROM h""",
     "accounting_crossover": f"""WITH r AS (SELECT range * 16384 AS history
       FROM range(1, 65)),
