@@ -20,8 +20,8 @@
    (not the rows) of texts that share a bucket and are not linked.
 
 Components come from minimum labels with pointer jumping over tables in the shared folder. Joins on
-component labels, where one label may stand on a large part of the rows, send the smaller side to
-all tasks while it is counted to be small, and are salted beyond that.
+component labels and on buckets, where one key may stand on a large part of the rows, send the
+smaller side to all tasks while it is counted to be small, and are salted beyond that.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a row without
 doc_id is returned with a null component and kept, and links nothing; rows that repeat a doc_id
@@ -222,7 +222,7 @@ def _meet(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "i
 
     `spread` is a column of big that tells rows of one key apart; small has a row a key.
     """
-    if small.count() <= SENT:
+    if small.count() <= SENT:  # small is a written table, so counting is reading a footer
         return big.join(F.broadcast(small), key, how)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
@@ -490,7 +490,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
         at = scratch.keep(open_.join(labels, "node").select("bk", "node", "comp", order.alias("o")), "at")
         hubs = at.groupBy("bk").agg(F.min(F.struct("o", "node", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         hubs = scratch.keep(hubs.select("bk", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "hubs")
-        met = at.join(hubs, "bk").where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        met = _meet(at, hubs, "bk", "node").where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         links = scratch.keep(_confirm(scratch.keep(estimated(met), "met"), sets, num, den), "links")
         if not links.isEmpty():
             comp = lambda end, name: labels.select(F.col("node").alias(end), F.col("comp").alias(name))
@@ -498,21 +498,22 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
             labels = _joined(scratch, labels, ends)
         scratch.drop(at, links)
         # A bucket of two has met whole: its one pair went through the first wave.
-        open_ = buckets.where("members > 2").join(hubs.select("bk"), "bk", "left_semi")
+        open_ = _meet(buckets.where("members > 2"), hubs.select("bk"), "bk", "node", "left_semi")
     # Buckets that still hold several components: compare across components inside them.
     at = scratch.keep(open_.join(labels, "node").select("bk", "node", "comp"), "at")
     by = at.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bk")
     by = by.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     by = scratch.keep(by.select("bk", F.col("top.comp").alias("top"), F.col("top.n").alias("top_n"), "all_n"), "by")
     if not by.isEmpty():
-        met = at.join(by, "bk").join(sigs.select("node", "n", "sig", "bands"), "node")
+        met = _meet(at, by, "bk", "node").join(sigs.select("node", "n", "sig", "bands"), "node")
         cells = _cells(met, F.col("all_n"), F.col("top_n"), BLOCK, tasks).drop("all_n", "top_n")
         near = scratch.keep(cells.mapInArrow(_with_candidates(least, num, den), "bk long, node binary").distinct(), "near")
         tops = by.select("bk", "top")
-        near = near.join(labels.select("node", "comp"), "node").join(sigs.select("node", "n", "sig", "bands"), "node").join(tops, "bk")
+        near = near.join(labels.select("node", "comp"), "node").join(sigs.select("node", "n", "sig", "bands"), "node")
+        near = _meet(near, tops, "bk", "node")
         mass = F.col("n") * 8
         weigh = near.groupBy("bk").agg(F.sum(mass).alias("all_bytes"), F.sum(F.when(F.col("comp") == F.col("top"), mass).otherwise(0)).alias("top_bytes"))
-        near = near.join(weigh, "bk").join(sets, "node")
+        near = _meet(near, scratch.keep(weigh, "weigh"), "bk", "node").join(sets, "node")
         cells = _cells(near, F.col("all_bytes"), F.col("top_bytes"), BYTES, tasks).drop("all_bytes", "top_bytes")
         links = scratch.keep(cells.mapInArrow(_forest(least, num, den), "u binary, v binary").distinct(), "links")
         if not links.isEmpty():
