@@ -50,8 +50,8 @@ MISSED, DEVIATIONS = 1e-5, 5
 WAVES = 2
 #: Signatures, and bytes of full sets, of one block; pairs that one step compares.
 BLOCK, BYTES, PAIRS = 32_768, 16 << 20, 1 << 20
-#: Rows of at most 40 bytes that are sent to all tasks (under 100 MB as a hash table); salts beyond that.
-SENT, SALTS = 1_000_000, 16
+#: Rows of at most three short keys that are sent to all tasks, counted before (about 40 MB as a hash table); salts beyond that.
+SENT, SALTS = 300_000, 16
 #: Texts and bytes of text of one step.
 TEXTS, STEP_BYTES = 1000, 8 << 20
 #: Word hashes that a worker remembers.
