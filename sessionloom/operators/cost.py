@@ -95,7 +95,11 @@ def growth(rows: DataFrame, values: list[str], by: str = "history") -> DataFrame
 
 
 def placement(sessions: DataFrame, kv_bytes: int = 131_072, budget_s: float = 1.0, digits: int = 4) -> DataFrame:
-    """Sessions (session, ordinal, history, state) ranked by measured cost and by footprint."""
+    """Sessions (session, ordinal, history, state) ranked by measured cost and by footprint.
+
+    The ranks are over all sessions given, so both sorts are one task's: this is a report on a choice
+    of sessions, of narrow rows. Ranks within groups are `metrics.ranked_by_cost`.
+    """
     from .metrics import ranked_by_cost
 
     true = ceiling(F.col("history"), LOOKUP_S) + ceiling(F.col("state"), ACTIVE_PREFILL_S)
