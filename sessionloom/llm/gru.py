@@ -13,7 +13,8 @@ document is learned from once. It falls to one of ROUNDS rounds by a hash of its
 partition goes on from the same weights over its documents, and the results are averaged by tokens.
 A corpus that the sample holds whole is learned from there alone.
 
-Documents are scored whole: the state is carried from window to window and reset where a document
+Every text is cut and looked up once: its units are kept as a table that the rounds and the scoring
+read. Documents are scored whole: the state is carried from window to window and reset where a document
 begins. A task packs documents end to end into parallel lanes, longest first, so lanes stay full.
 
 Counts of the WARM most frequent tokens are sent to the tasks (a fixed number); every other token
@@ -43,16 +44,17 @@ from .common import Scratch, fold_rows, steps
 #: Units and classes of the network, hidden size, and steps of one window.
 OWN, BUCKETS, CLASSES, HIDDEN, WINDOW = 448, 64, 16, 24, 64
 UNITS = OWN + BUCKETS
-#: Counts that every task holds; tokens of the learning sample; passes over it.
-WARM, SAMPLE_TOKENS, EPOCHS = 50_000, 400_000, 2
+#: Counts that every task holds (no result depends on how many, only how many tokens take the join);
+#: tokens of the learning sample; passes over it.
+WARM, SAMPLE_TOKENS, EPOCHS = 200_000, 400_000, 2
 #: Rounds over all training documents; lanes and first rate of a partition's steps, tokens it holds at once; tasks that add weights.
 ROUNDS, WIDE, RATE, HELD, ADDERS = 4, 256, 2e-3, 1_000_000, 16
 #: Tokens that a task packs into lanes at once, lanes at most, and texts and bytes of text of one step.
 PACK, LANES, TEXTS, STEP_BYTES = 5_000_000, 384, 500, 8 << 20
 #: Counts below this have a class each in the histogram of counts, larger ones 64 for each doubling.
 EXACT_COUNTS = 1024
-#: Distinct tokens that a counting task holds before it hands them on.
-COUNTED = 300_000
+#: Distinct tokens that a counting task holds before it hands them on, and that a task remembers beside the known ones.
+COUNTED, REMEMBERED = 300_000, 300_000
 #: The end token; no word is empty.
 END = b""
 
@@ -157,87 +159,132 @@ class Gru:
             who[lane, at : at + len(x)] = d
         return np.ascontiguousarray(read.T), np.ascontiguousarray(said.T), np.ascontiguousarray(who.T)
 
-    def _states(self, read: np.ndarray, h: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """States after each step of a window; a document's start resets its lane."""
+    def _states(self, read: np.ndarray, h: np.ndarray, tape: dict | None = None) -> np.ndarray:
+        """States after each step of a window; a document's start resets its lane.
+
+        With a tape, the states before each step and the gates are kept in it for the way back.
+        """
         k, p = HIDDEN, self.p
         out = np.empty((*read.shape, k), np.float32)
+        # The logistic function is taken by way of tanh, so what goes into it is halved beforehand.
+        x = p["x"] + p["b"]
+        gzr, gn = (x[:, : 2 * k] * h.dtype.type(0.5))[read], x[:, 2 * k :][read]
+        uzr, un_ = p["u"][:, : 2 * k] * h.dtype.type(0.5), np.ascontiguousarray(p["u"][:, 2 * k :])
         starts = read == UNITS
         some = starts.any(axis=1)
         for t in range(len(read)):
             if some[t]:
                 h = np.where(starts[t][:, None], np.float32(0), h)
-            gx, gu = p["x"][read[t]] + p["b"], h @ p["u"]
-            zr = 1 / (1 + np.exp(-(gx[:, : 2 * k] + gu[:, : 2 * k])))
+            zr = h @ uzr
+            zr += gzr[t]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :k], zr[:, k:]
-            un = gu[:, 2 * k :] + p["bn"]
-            n = np.tanh(gx[:, 2 * k :] + r * un)
-            new = n + z * (h - n)
+            un = h @ un_
+            un += p["bn"]
+            n = r * un
+            n += gn[t]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
             if tape is not None:
-                tape.append((h, z, r, un, n))
+                for name, v in zip(("was", "z", "r", "un", "n"), (h, z, r, un, n)):
+                    tape[name][t] = v
             out[t] = h = new
         return out
 
+    @staticmethod
+    def _exp(a: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a becomes exp of the scores a = h w + b; what was subtracted from them, a row or 0.
+
+        States lie between -1 and 1, so the weights tell whether anything can overflow: two such sums
+        are multiplied, and e^40 * 16 * e^40 * 32 still is a 32-bit float.
+        """
+        off = np.zeros(1, a.dtype)
+        if float((np.abs(w).sum(0) + np.abs(b)).max()) > 40:
+            off = a.max(1)
+            a -= off[:, None]
+        np.exp(a, out=a)
+        return off
+
     def _log_probs(self, h: np.ndarray, said: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each said unit; with grads, also what flows back into h."""
         p, cls = self.p, said // self.size
-        out = np.empty(len(h))
+        order = np.argsort(cls.astype(np.int8), kind="stable")
+        h, cls, rows = h[order], cls[order], np.arange(len(h))
+        pos, cuts = said[order] - cls * self.size, np.searchsorted(cls, np.arange(CLASSES + 1))
         a = h @ p["oc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        rows = np.arange(len(h))
-        out[:] = a[rows, cls] - np.log(total)
+        own = a[rows, cls]
+        own -= self._exp(a, p["oc"], p["bc"])
+        total = a @ np.ones(CLASSES, a.dtype)  # a product is faster than a sum over a short axis
         back = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["oc"], grads["bc"] = h.T @ d, d.sum(0)
-            back = d @ p["oc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            a /= total[:, None]
+            a[rows, cls] -= 1
+            grads["oc"], grads["bc"] = h.T @ a, a.sum(0)
+            back = a @ p["oc"].T
+        ones = np.ones(self.size, a.dtype)
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                x = h[at]
-                a = x @ p["ou"][c] + p["bu"][c]
-                a -= a.max(1, keepdims=True)
-                e = np.exp(a)
-                total, pos = e.sum(1), said[at] - c * self.size
-                out[at] += a[np.arange(len(at)), pos] - np.log(total)
-                if grads is not None:
-                    d = e / total[:, None]
-                    d[np.arange(len(at)), pos] -= 1
-                    grads["ou"][c], grads["bu"][c] = x.T @ d, d.sum(0)
-                    back[at] += d @ p["ou"][c].T
+            lo, hi = int(cuts[c]), int(cuts[c + 1])
+            if lo == hi:
+                continue
+            x, at, w = h[lo:hi], rows[: hi - lo], p["ou"][c]
+            a = x @ w
+            a += p["bu"][c]
+            picked = a[at, pos[lo:hi]]
+            own[lo:hi] += picked - self._exp(a, w, p["bu"][c])
+            inner = a @ ones
+            total[lo:hi] *= inner
+            if grads is not None:
+                a /= inner[:, None]
+                a[at, pos[lo:hi]] -= 1
+                grads["ou"][c], grads["bu"][c] = x.T @ a, a.sum(0)
+                back[lo:hi] += a @ w.T
+        out = np.empty(len(h))
+        out[order] = own - np.log(total)
+        if back is not None:
+            back[order] = back.copy()
         return out, back
 
     def _gradients(self, read: np.ndarray, said: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean negative log probability of one window, and the state after it."""
-        k, p, tape = HIDDEN, self.p, []
+        k, p = HIDDEN, self.p
         live = said >= 0
+        tape = {name: np.empty((*read.shape, k), h.dtype) for name in ("was", "z", "r", "un", "n")}
         states = self._states(np.where(live, read, UNITS), h, tape)
         g = {name: np.zeros_like(v) for name, v in p.items()}
-        flow = np.zeros_like(states)
-        _, flow[live] = self._log_probs(states[live], said[live], g)
         n_live = max(1, int(live.sum()))
-        d, gates = np.zeros_like(h), np.empty((*read.shape, 3 * k), h.dtype)
+        if n_live == live.size:
+            flow = self._log_probs(states.reshape(-1, k), said.ravel(), g)[1].reshape(states.shape)
+        else:
+            flow = np.zeros_like(states)
+            _, flow[live] = self._log_probs(states[live], said[live], g)
+        was, z, r, un, n = (tape[name] for name in ("was", "z", "r", "un", "n"))
+        # What does not depend on the way back is taken for the whole window at once.
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (was - n) * z * (1 - z), un * r * (1 - r)
+        goes_on = ((read != UNITS) & live)[:, :, None].astype(h.dtype)
+        d, turned = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+        back, dn = np.empty((*read.shape, 3 * k), h.dtype), np.empty_like(states, dtype=h.dtype)
         for t in range(len(read) - 1, -1, -1):
-            was, z, r, un, n = tape[t]
             d = d + flow[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (was - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            gate = np.concatenate([dz, dr, dn], axis=1)
-            back = np.concatenate([dz, dr, dn * r], axis=1)
-            gates[t] = gate
-            g["b"] += gate.sum(0)
-            g["bn"] += (dn * r).sum(0)
-            g["u"] += was.T @ back
-            d = (d * z + back @ p["u"].T) * (read[t] != UNITS)[:, None] * live[t][:, None]
+            np.multiply(d, to_n[t], out=dn[t])
+            np.multiply(d, to_z[t], out=back[t, :, :k])
+            np.multiply(dn[t], to_r[t], out=back[t, :, k : 2 * k])
+            np.multiply(dn[t], r[t], out=back[t, :, 2 * k :])
+            d *= z[t]
+            d += back[t] @ turned
+            d *= goes_on[t]
+        flat = back.reshape(-1, 3 * k)
+        g["u"] = was.reshape(-1, k).T @ flat
+        g["bn"] = flat[:, 2 * k :].sum(0)
         at = np.where(live, read, UNITS).ravel()
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.int16), kind="stable")
         which, first = np.unique(at[order], return_index=True)
-        g["x"][which] = np.add.reduceat(gates.reshape(-1, 3 * k)[order], first)
+        g["x"][which, : 2 * k] = np.add.reduceat(flat[order, : 2 * k], first)
+        g["x"][which, 2 * k :] = np.add.reduceat(dn.reshape(-1, k)[order], first)
+        g["b"] = g["x"].sum(0)  # every step read one unit
         return {name: v / n_live for name, v in g.items()}, states[-1]
 
     def weights(self) -> np.ndarray:
@@ -313,23 +360,38 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["c"]) for r in got), key=lambda x: (-x[1], x[0]))[:most]
 
 
-def units_of(texts: list, known: dict) -> list[list[int]]:
-    """Places in the count vector: of the known tokens, then of the buckets."""
-    cut = [tokens(t) for t in texts]
-    own = {w: known[w] if w in known else len(known) + bucket(w) - OWN for w in set().union(*cut)}
-    return [list(map(own.__getitem__, x)) for x in cut]
+class Places(dict):
+    """Place of a token in the count vector: of the known ones, then of the buckets; what it was asked for it keeps.
 
+    At most REMEMBERED tokens beside the known ones are kept between steps.
+    """
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self.known) + bucket(word) - OWN
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
-def learned(docs: DataFrame, net: Gru, index: dict, unit: np.ndarray, rate: float) -> Gru:
-    """One round: each partition learns from all its texts of docs(t); the mean of the weights by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((net, index, unit))
+    def trim(self) -> None:
+        if len(self) > len(self.known) + REMEMBERED:
+            self.clear()
+            self.update(self.known)
+
+
+def learned(docs: DataFrame, net: Gru, rate: float) -> Gru:
+    """One round: each partition learns from all its documents of docs(u), units; the mean of the weights by tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, known, unit_ = sent.value
-        own, held, size, seen = start.with_weights(start.weights()), [], 0, 0
+        own, held, size, seen = sent.value.with_weights(sent.value.weights()), [], 0, 0
         for b in batches:
-            for part in steps(b, "t", TEXTS, STEP_BYTES):
-                got = [unit_[x].astype(np.int64) for x in units_of(part.column("t").to_pylist(), known)]
+            for part in steps(b, "u", TEXTS, STEP_BYTES):
+                got = _units(part)
                 held, size = held + got, size + sum(map(len, got))
                 if size > HELD:
                     own.learn(held, 1, WIDE, rate)
@@ -358,7 +420,84 @@ def _row(pid: int, seen: int, w: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["pid", "seen", "w"])
 
 
-_OUT = [("k1", pa.int64()), ("k2", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("unit", pa.int32()), ("tf", pa.int64())]
+def _units(part: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.int16) for x in part.column("u")]
+
+
+_ENCODED = "k1 long, k2 long, held_out boolean, s long, h long, n_tokens long, n_known long, base double, within double, u binary, words array<binary>, units array<int>, tf array<long>"
+
+
+def encoded(rows: DataFrame, sent) -> DataFrame:
+    """Each text of rows(k1, k2, held_out, s, h, t) as units, with the sums over its known tokens and its rare tokens' counts.
+
+    `sent` broadcasts (places of the known tokens, unit, base and share of every place).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, unit, base, within = sent.value
+        places, first_rare = Places(known), len(base) - BUCKETS
+        for b in batches:
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
+                n, n_known, sums, shares, units = [], [], [], [], []
+                rare: list[bytes] = []
+                times: list[int] = []
+                ends = [0]
+                for t in part.column("t").to_pylist():
+                    words = tokens(t)
+                    x = places.of(words)
+                    far = np.flatnonzero(x >= first_rare)
+                    if len(far):
+                        tf = Counter(map(words.__getitem__, far.tolist()))
+                        rare += tf
+                        times += tf.values()
+                    ends.append(len(rare))
+                    n.append(len(x))
+                    n_known.append(len(x) - len(far))
+                    sums.append(float(base[x].sum()))
+                    shares.append(float(within[x].sum()))
+                    units.append(unit[x].tobytes())
+                at = pa.array(ends, pa.int32())
+                lists = (pa.array(rare, pa.binary()), pa.array(unit[places.of(rare)].astype(np.int32)), pa.array(times, pa.int64()))
+                cols = [*(part.column(c) for c in ("k1", "k2", "held_out", "s", "h")), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums), pa.array(shares), pa.array(units, pa.binary())]
+                cols += [pa.ListArray.from_arrays(at, x) for x in lists]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ENCODED.split(", ")])
+                places.trim()
+
+    return rows.select("k1", "k2", "held_out", "s", "h", "t").mapInArrow(run, _ENCODED)
+
+
+_SCORED = "k1 long, k2 long, held_out boolean, n_tokens long, n_known long, base double, within double, score double"
+
+
+def network_scores(docs: DataFrame, net: Gru) -> DataFrame:
+    """The columns of _SCORED for each of docs' rows, by their units u."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, size = [], [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            s, at = sent.value.score(waiting), 0
+            for cols, n in held:
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(s[at : at + n])], names=names)
+                at += n
+            held.clear()
+            waiting.clear()
+
+        for b in batches:
+            for part in steps(b, "u", TEXTS, STEP_BYTES):
+                got = [x.copy() for x in _units(part)]  # the batch goes before they are scored
+                held.append(([part.column(c) for c in names[:-1]], len(got)))
+                waiting += got
+                size += sum(map(len, got))
+                if size > PACK:
+                    yield from scored()
+                    size = 0
+        if waiting:
+            yield from scored()
+
+    return docs.select(*names[:-1], "u").mapInArrow(run, _SCORED)
 
 
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 5, held: int = 1) -> DataFrame:
@@ -366,12 +505,11 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), (fold_rows(doc_id, modulus) == held).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = scratch.keep(token_counts(train), "counts")
+    counts = scratch.keep(token_counts(rows.where(~F.col("held_out"))), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     warm = frequent(counts, WARM)
     index = {w: i for i, (w, _) in enumerate(warm)}
-    unit = np.array([i if i < OWN else bucket(w) for i, (w, _) in enumerate(warm)] + list(range(OWN, UNITS)), dtype=np.int64)
+    unit = np.array([i if i < OWN else bucket(w) for i, (w, _) in enumerate(warm)] + list(range(OWN, UNITS)), dtype=np.int16)
 
     def unit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kinds = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
@@ -386,83 +524,33 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for r in sums:
         unit_n[r["unit"]], unit_v[r["unit"]] = r["n"], r["v"]
     share = np.where(np.arange(UNITS) < OWN, 1.0, unit_n + 0.5 * (unit_v + 1))
+    c = np.array([x for _, x in warm] + [0] * BUCKETS, dtype=np.float64)
+    rare = np.arange(len(c)) >= len(warm)
+    base_of = np.where(rare, 0.0, np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
+    within = np.where(rare | (unit < OWN), 0.0, np.log10((c + 0.5) / share[unit]))
+    sent = spark.sparkContext.broadcast((index, unit, base_of, within))  # WARM words
 
-    # The start: a bounded sample of whole training documents, by a hash of the row.
-    per = n / max(1, train.count())
-    wanted = SAMPLE_TOKENS / max(1.0, per)
-    docs_n = max(1.0, n / max(1.0, per))
-    sample = train.where(F.pmod(F.xxhash64("id", "t", F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, wanted / docs_n) * (1 << 30))).select("t", F.xxhash64("id", "t", F.lit(6)).alias("h"))
-
-    def to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in steps(b, "t", TEXTS, STEP_BYTES):
-                got = units_of(part.column("t").to_pylist(), index)
-                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array([unit[x].astype(np.int16).tobytes() for x in got], pa.binary())], names=["h", "u"])
+    # Every text is cut and looked up once; the rounds and the scoring read its units.
+    draw = lambda seed: F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.lit(1 << 30))
+    keyed = rows.select(F.coalesce("id", F.lit(-(1 << 63))).alias("k1"), F.xxhash64("t").alias("k2"), "held_out", draw(5).alias("s"), draw(6).alias("h"), "t")
+    coded = scratch.keep(encoded(keyed, sent), "encoded")
+    train = coded.where(~F.col("held_out"))
 
+    # The start: a bounded sample of whole training documents, by a hash of the row.
     got, size = [], 0
-    for _, r in sorted((r["h"], bytes(r["u"])) for r in sample.mapInArrow(to_units, "h long, u binary").collect()):
+    for r in sorted(train.where(F.col("s") <= int(min(1.0, SAMPLE_TOKENS / max(1, n)) * (1 << 30))).select("h", "u").collect(), key=lambda r: (r["h"], bytes(r["u"]))):
         if size < 1.2 * SAMPLE_TOKENS:
-            got.append(np.frombuffer(r, dtype=np.int16).astype(np.int64))
+            got.append(np.frombuffer(r["u"], dtype=np.int16))
             size += len(got[-1])
     net = Gru()
     net.fit(got, unit_n)
     if size < n:
         for k in range(ROUNDS):
-            part = train.where(F.pmod(F.xxhash64("id", "t", F.lit(7)), F.lit(ROUNDS)) == k).select("t")
-            net = learned(part, net, index, unit, RATE * (1 - k / ROUNDS))
-    c = np.array([x for _, x in warm] + [0] * BUCKETS, dtype=np.float64)
-    rare = np.arange(len(c)) >= len(warm)
-    base_of = np.where(rare, 0.0, np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
-    within = np.where(rare | (unit < OWN), 0.0, np.log10((c + 0.5) / share[unit]))
-    sent = spark.sparkContext.broadcast((index, net, unit, base_of, within))  # WARM words and the network
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model, unit_, base_, within_ = sent.value
-        held_back: list[tuple] = []
-        waiting: list[np.ndarray] = []
-        size = 0
-
-        def scored() -> pa.RecordBatch:
-            s = model.score(waiting)
-            cols = list(zip(*held_back))
-            none = [None] * len(held_back)
-            data = [*cols[:6], s + np.array(cols[6]), none, none, none]
-            b = pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(data, _OUT)], names=[k for k, _ in _OUT])
-            held_back.clear()
-            waiting.clear()
-            return b
-
-        for b in batches:
-            for part in steps(b, "t", TEXTS, STEP_BYTES):
-                texts = part.column("t").to_pylist()
-                k1, k2, held_out = (part.column(x).to_pylist() for x in ("k1", "k2", "held_out"))
-                rare_rows: list[tuple] = []
-                for i, ids in enumerate(units_of(texts, known)):
-                    x = np.array(ids, dtype=np.int64)
-                    far = np.flatnonzero(x >= len(base_) - BUCKETS)
-                    if len(far):
-                        words = tokens(texts[i])
-                        rare_rows += [(k1[i], k2[i], w, bucket(w), tf) for w, tf in Counter([words[j] for j in far.tolist()]).items()]
-                    held_back.append((k1[i], k2[i], held_out[i], len(x), len(x) - len(far), float(base_[x].sum()), float(within_[x].sum())))
-                    waiting.append(unit_[x].astype(np.int16))
-                    size += len(x)
-                if rare_rows:
-                    c1, c2, w, u, tf = zip(*rare_rows)
-                    none = [None] * len(w)
-                    data = [c1, c2, none, none, none, none, none, w, u, tf]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(data, _OUT)], names=[k for k, _ in _OUT])
-                if size > PACK:
-                    yield scored()
-                    size = 0
-        if waiting:
-            yield scored()
-
-    keyed = rows.select(F.coalesce("id", F.lit(-(1 << 63))).alias("k1"), F.xxhash64("t").alias("k2"), "held_out", "t")
-    schema = "k1 long, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, unit int, tf long"
-    both = scratch.keep(keyed.mapInArrow(run, schema), "scored")
-    main = both.where("word is null")
+            net = learned(train.where(F.col("h") % ROUNDS == k).select("u"), net, RATE * (1 - k / ROUNDS))
+    main = scratch.keep(network_scores(coded, net), "scored").withColumn("score", F.col("score") + F.col("within"))
     # Tokens beyond WARM: each meets its count; no such token is more than 1/WARM of the corpus.
-    met = both.where("word is not null").select("k1", "k2", "word", "unit", "tf").join(counts.where(~F.col("word").isin(END)).hint("merge"), "word", "left")
+    far = coded.select("k1", "k2", F.explode(F.arrays_zip("words", "units", "tf")).alias("w")).select("k1", "k2", F.col("w.words").alias("word"), F.col("w.units").alias("unit"), "w.tf")
+    met = far.join(counts.where(~F.col("word").isin(END)).hint("merge"), "word", "left")
     unit_share = spark.createDataFrame([(i, float(share[i])) for i in range(UNITS)], "unit int, share double")
     c0 = F.coalesce("c", F.lit(0)) + 0.5
     rare_sums = met.join(F.broadcast(unit_share), "unit").groupBy("k1", "k2").agg(

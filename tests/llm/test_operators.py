@@ -6,6 +6,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -56,6 +57,36 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace as Of
+
+    from sessionloom.llm import common
+
+    def session(master, folder):
+        own = Of(isDefined=lambda: folder is not None, get=lambda: folder)
+        context = Of(master=master, _jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: own)))
+        return Of(conf=Of(get=lambda name, default=None: default, set=lambda name, value: None), sparkContext=context)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(session("spark://host:7077", None))
+    assert common.shared_dir(session("spark://host:7077", "hdfs://x/shared/")) == "hdfs://x/shared"
+    assert os.path.isdir(common.shared_dir(session("local[2]", None)))
+    assert common.shared_dir(spark).startswith("file:")
+
+
+def test_scratch_is_removed(spark):
+    from sessionloom.llm import common
+
+    kept, roots = common.Scratch(spark), list(common.Scratch.roots)
+    kept.keep(spark.range(3), "t")
+    path = kept.root.removeprefix("file://")
+    assert os.path.isdir(path)
+    monkey, common.Scratch.roots = common.Scratch.roots, [kept.root]
+    common.clear_scratch()
+    common.Scratch.roots = [r for r in monkey if r != kept.root]
+    assert not os.path.exists(path) and set(roots) - {kept.root} == set(common.Scratch.roots)
+
+
 # 1 chat
 
 
@@ -274,6 +305,14 @@ def test_neighbours_recall_ties_and_odd_rows(spark, parts, monkeypatch):
     assert hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/embeddings.parquet"), reason="the driver's tables are not here")
+def test_neighbours_recall_on_the_drivers_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    want = brute_neighbours([(r["vec_id"], r["embedding"]) for r in df.collect()], 20, 20)
+    hits = sum(r["vec_id"] in {i for _, i in want[r["query_id"]]} for r in forest.neighbours(df).collect())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_neighbours_of_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in forest.neighbours(df).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
@@ -317,6 +356,14 @@ def test_gru_score_does_not_depend_on_packing_and_sums_to_one():
     assert (10.0**every).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_gru_scores_do_not_overflow():
+    net, docs = gru.Gru(), [np.random.default_rng(7).integers(0, gru.UNITS, 50)]
+    small = net.score(docs)
+    for c in ("bc", "bu"):  # a shift of all scores changes nothing
+        net.p[c] = net.p[c] + np.float32(300)
+    assert np.allclose(net.score(docs), small, rtol=1e-4)
+
+
 def test_gru_scores_against_brute_force(spark, odd, empty):
     rng = random.Random(9)
     lines = [(100 + i, " ".join(rng.choice(("the cat sat", "le chat dort", "Die Katze schläft")) for _ in range(rng.randrange(30)))) for i in range(200)]

@@ -89,3 +89,41 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter(r["doc_id"] for r in seen[4]) == times
     for r in seen[4]:
         assert r["ids"] == library.encode_ordinary(clean[r["doc_id"]][1]) and r["n_tokens"] == len(r["ids"])
+
+
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and sources, repeated rows, a very long text, clashing extra columns; and no rows at all."""
+    rng = random.Random(2)
+    long_ = " ".join(f"{rng.choice(KINDS['en'].split())}{rng.randrange(900)}" for _ in range(30_000))
+    said = [" ".join(rng.choices(KINDS[k].split(), k=40)) for k in ("de", "en", "fr") for _ in range(20)]
+    rows = [(i, t, ("de", "en", "fr")[i // 20], f"s{i % 3}", 1) for i, t in enumerate(said)]
+    rows += [(None, "own words of no id one two three", "en", None, None), (None, "other words of no id four five six", None, None, None)]
+    rows += [(70, long_, "en", "s0", 1), (71, long_ + " tail", None, "s1", 1), (72, said[0], "de", "s0", 2), (72, said[0], "de", "s0", 2), (73, None, None, None, None), (74, "", "en", "s0", 0)]
+    extra = {c: "x" for c in ("k0", "t", "id", "ids", "n_tokens", "node", "norm", "row", "copies", "times", "lang_pred", "_score", "_gone", "_i", "_p")}
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, part in (("odd", rows), ("none", [])):
+        d = tmp_path / name
+        docs = spark.createDataFrame(part, columns)
+        docs.withColumns({k: spark_lit(v) for k, v in extra.items()}).write.parquet(str(d / "documents.parquet"))
+        docs, seen = spark.read.parquet(str(d / "documents.parquet")), []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(d)).write.parquet(str(d / f"out{k}"))
+            docs = spark.read.parquet(str(d / f"out{k}"))
+            seen.append(docs.collect())
+            assert k == 4 or docs.columns == [*columns.replace(" long", "").replace(" string", "").split(", "), *extra]
+        if name == "none":
+            assert seen == [[]] * 5
+            continue
+        assert Counter(r["doc_id"] for r in seen[0]) == Counter(r[0] for r in rows if r[0] not in (73, 74))
+        assert Counter(r["doc_id"] for r in seen[1]) == Counter([*range(60), None, None, 70, 71])
+        ids = [r["doc_id"] for r in seen[2]]
+        assert ids.count(None) == 2 and 70 in ids and 71 not in ids
+        copies = Counter((r["doc_id"], r["text"]) for r in seen[3])
+        assert set(copies) <= {(r["doc_id"], r["text"]) for r in seen[2]} and max(copies.values()) <= 3
+        assert Counter(r["doc_id"] for r in seen[4]) == Counter(r["doc_id"] for r in seen[3])
+
+
+def spark_lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value)
