@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ WARM, SAMPLE_TOKENS, EPOCHS = 200_000, 400_000, 2
 #: Rounds over all training documents; lanes and first rate of a partition's steps, tokens it holds at once; tasks that add weights.
 ROUNDS, WIDE, RATE, HELD, ADDERS = 4, 256, 2e-3, 1_000_000, 16
 #: Tokens that a task packs into lanes at once, lanes at most, and texts and bytes of text of one step.
-PACK, LANES, TEXTS, STEP_BYTES = 5_000_000, 384, 500, 8 << 20
+PACK, LANES, TEXTS, STEP_BYTES = 5_000_000, 384, 2000, 8 << 20
 #: Counts below this have a class each in the histogram of counts, larger ones 64 for each doubling.
 EXACT_COUNTS = 1024
 #: Distinct tokens that a counting task holds before it hands them on, and that a task remembers beside the known ones.
@@ -318,6 +319,25 @@ class Gru:
         return out / np.log(10)
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-cased, one after another, and how many each has; end tokens are left out."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.binary())
+    said = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at either end give empty words
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    kept = np.r_[0, np.cumsum(said)][ends]
+    return words.filter(pa.array(said)), np.diff(np.r_[0, kept]).astype(np.int64)
+
+
+def spelt(words: pa.Array) -> list[bytes]:
+    """A binary array's values, from its buffers; much faster than value by value."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = words.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts of docs(t), the end token included."""
 
@@ -330,8 +350,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return b
 
         for b in batches:
-            for t in b.column("t"):
-                seen.update(tokens(t.as_py()))
+            for part in steps(b, "t", TEXTS, STEP_BYTES):
+                words, n = cut(part.column("t"))
+                found, get = words.value_counts(), seen.get
+                for word, c in zip(spelt(found.field(0)), found.field(1).to_numpy().tolist()):
+                    seen[word] = get(word, 0) + c
+                seen[END] += len(n)
                 if len(seen) > COUNTED:
                     yield out()
         if seen:
@@ -438,29 +462,30 @@ def encoded(rows: DataFrame, sent) -> DataFrame:
         places, first_rare = Places(known), len(base) - BUCKETS
         for b in batches:
             for part in steps(b, "t", TEXTS, STEP_BYTES):
-                n, n_known, sums, shares, units = [], [], [], [], []
-                rare: list[bytes] = []
-                times: list[int] = []
-                ends = [0]
-                for t in part.column("t").to_pylist():
-                    words = tokens(t)
-                    x = places.of(words)
-                    far = np.flatnonzero(x >= first_rare)
-                    if len(far):
-                        tf = Counter(map(words.__getitem__, far.tolist()))
-                        rare += tf
-                        times += tf.values()
-                    ends.append(len(rare))
-                    n.append(len(x))
-                    n_known.append(len(x) - len(far))
-                    sums.append(float(base[x].sum()))
-                    shares.append(float(within[x].sum()))
-                    units.append(unit[x].tobytes())
-                at = pa.array(ends, pa.int32())
-                lists = (pa.array(rare, pa.binary()), pa.array(unit[places.of(rare)].astype(np.int32)), pa.array(times, pa.int64()))
-                cols = [*(part.column(c) for c in ("k1", "k2", "held_out", "s", "h")), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums), pa.array(shares), pa.array(units, pa.binary())]
-                cols += [pa.ListArray.from_arrays(at, x) for x in lists]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ENCODED.split(", ")])
+                words, n = cut(part.column("t"))
+                # Each distinct word is looked up once a step.
+                coded = words.dictionary_encode()
+                kinds, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+                known_at = places.of(spelt(kinds))
+                x, end = known_at[which] if len(which) else np.zeros(0, np.int32), places[END]
+                # Rare words by document: how often each occurs.
+                far = np.flatnonzero(x >= first_rare)
+                of_doc = np.repeat(np.arange(len(n)), n)[far]
+                pairs, tf = np.unique(of_doc * max(1, len(kinds)) + which[far], return_counts=True)
+                doc, word = np.divmod(pairs, max(1, len(kinds)))
+                at = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
+                lists = (kinds.take(pa.array(word)), pa.array(unit[known_at[word]].astype(np.int32)), pa.array(tf.astype(np.int64)))
+                # The whole sequences, each with its end token; none is empty.
+                x = np.insert(x, np.cumsum(n), end)
+                size = n + 1
+                first = np.cumsum(size) - size
+                n_known = size - np.bincount(of_doc, minlength=len(n)) - int(end >= first_rare)
+                offsets = np.r_[0, np.cumsum(2 * size)].astype(np.int32)
+                units = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(unit[x].tobytes())])
+                cols = [*(part.column(c) for c in ("k1", "k2", "held_out", "s", "h")), pa.array(size), pa.array(n_known)]
+                cols += [pa.array(np.add.reduceat(base[x], first)), pa.array(np.add.reduceat(within[x], first)), units]
+                cols += [pa.ListArray.from_arrays(at, y) for y in lists]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _ENCODED.split(", ")])
                 places.trim()
 
     return rows.select("k1", "k2", "held_out", "s", "h", "t").mapInArrow(run, _ENCODED)
