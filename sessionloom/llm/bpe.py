@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps
+from .common import small_batches, steps
 
 _BIT = [1 << i for i in range(256)]
 #: Entries of one generation of what a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Texts and bytes of text of one step, and pre-tokens that share one queue.
 TEXTS, STEP_BYTES, PIECES = 500, 4 << 20, 2_000
 #: Blanks that certainly begin a pre-token, and texts in which other blanks exist.
@@ -201,6 +201,10 @@ class ByteBpe:
             self.older, self.spaced = spaced, {}
         return out
 
+    def rest(self) -> None:
+        """Lets go of the older generations: a worker lives on between tasks, and serves other stages too."""
+        self.old, self.older = {}, {}
+
     def decode(self, codes: list[bytes]) -> list[bytes]:
         """The bytes that each text's ids stand for; at most STEP_BYTES of ids are spelt at a time."""
         out: list[bytes] = []
@@ -255,6 +259,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id
     """
     if path is None:
         path, pattern = default_ranks()
+    small_batches(docs.sparkSession)
     names = [*(f"k{i}" for i in range(len(keep))), "ids", "n_tokens", *["decoded_sha256"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +271,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
                 back = [pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(found)], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(np.diff(offsets).astype(np.int64)), *back], names=names)
+        own.rest()
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     types = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded_sha256", T.StringType())] * decoded])
@@ -293,6 +299,7 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes, then decodes the ids, in one pass."""
     if path is None:
         path, pattern = default_ranks()
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,5 +312,6 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path
                 a = pa.array([digest(x).hexdigest() for x in codes], pa.string())
                 z = pa.array([digest(x).hexdigest() for x in own.decode(codes)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, a, z], schema=schema)
+        own.rest()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a character class of Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one Arrow batch.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,17 @@ def _delete(sc: SparkContext, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from here on in this session, if it has not set fewer.
+
+    Rows hold whole texts: with the default of 10,000 rows, batches of some ten megabytes stay in
+    the buffers of every executor and worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor loses none of them.
 
@@ -58,6 +71,7 @@ class Scratch:
     roots: list[str] = []
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.roots.append(self.root)
 

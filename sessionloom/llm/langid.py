@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_rows, free_name, steps
+from .common import fold_rows, free_name, small_batches, steps
 
 #: Buckets of the hashed profile; training rows a language, training rows, and languages, at most.
 DIM, PER_LANG, SAMPLE, LANGS = 4096, 300, 12_000, 300
 #: Bytes of one text that profiling works on at once; texts and bytes of text of one step.
-STEP_BYTES, TEXTS, TEXT_BYTES = 1 << 20, 512, 8 << 20
+STEP_BYTES, TEXTS, TEXT_BYTES = 1 << 20, 256, 8 << 20
 
 _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[:128] = 32
@@ -149,6 +149,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train=None) -> LanguageModel:
     """Learns from the labelled rows that `train` admits (default: crc32 of the id mod 4 is not 2)."""
+    small_batches(docs.sparkSession)
     train = (fold_rows(doc_id, 4) != 2) if train is None else train
     named = docs.where(train & F.col(lang).isNotNull())
     counts = named.groupBy(F.col(lang).cast("string").alias("l")).count().orderBy("l").limit(LANGS + 1).collect()
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns, a prediction and a score between 0 and 1; only the text is read."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a row of DIM weights a family and a pair within one
+    small_batches(docs.sparkSession)
     names = docs.columns
     prediction, score = free_name(docs, prediction), free_name(docs, score)
 

@@ -54,8 +54,8 @@ BLOCK, BYTES, PAIRS = 32_768, 16 << 20, 1 << 20
 SENT, SALTS = 300_000, 16
 #: Texts and bytes of text of one step.
 TEXTS, STEP_BYTES = 1000, 8 << 20
-#: Word hashes that a worker remembers.
-REMEMBERED = 300_000
+#: Word hashes that a task remembers.
+REMEMBERED = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(6))
 _MULT = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -174,6 +174,7 @@ def features(docs: DataFrame, text: str, doc_id: str, band_rows: int) -> DataFra
                 longs = pa.list_(pa.int64())
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, longs), pa.array(bands, longs)]
                 yield pa.RecordBatch.from_arrays(cols, names=_FEATURES.names)
+        _words.clear()  # the worker lives on and serves other stages
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, _FEATURES)
 
@@ -188,6 +189,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFra
                 if found:
                     cols = [pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["node", "items"])
+        _words.clear()
 
     # The ids go to the texts while they are counted to be few; beyond that the texts are exchanged.
     near = F.broadcast(wanted) if wanted.count() <= SENT else wanted
