@@ -50,8 +50,9 @@ MISSED, DEVIATIONS = 1e-5, 5
 WAVES = 2
 #: Signatures, and bytes of full sets, of one block; pairs that one step compares.
 BLOCK, BYTES, PAIRS = 32_768, 16 << 20, 1 << 20
-#: Rows of at most three short keys that are sent to all tasks, counted before (about 40 MB as a hash table); salts beyond that.
-SENT, SALTS = 300_000, 16
+#: Rows of at most three short keys that are sent to all tasks, counted before; salts beyond that. Such a
+#: table passes through the driver, which keeps it until its garbage is collected: 20,000 rows are about 3 MB.
+SENT, SALTS = 20_000, 16
 #: Texts and bytes of text of one step.
 TEXTS, STEP_BYTES = 1000, 8 << 20
 #: Word hashes that a task remembers.
@@ -228,7 +229,8 @@ def _meet(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "i
         return big.join(F.broadcast(small), key, how)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    return dealt.join(small.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
+    # Estimates leave out that salts multiply the rows: without the hint Spark may send them all.
+    return dealt.join(small.withColumn("_salt", salts).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -518,6 +518,24 @@ def test_minhash_group_about_the_threshold(spark, edits):
     assert got == brute_components(rows)
 
 
+@pytest.fixture
+def sent(monkeypatch):
+    """The number of rows of every frame that is sent to all tasks through the driver."""
+    rows, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: rows.append(df.count()) or real(df))
+    return rows
+
+
+def test_minhash_joins_send_few_rows(spark, sent):
+    small = spark.range(25_000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    big = spark.range(60_000).select(F.least(F.col("id"), F.lit(30_000)).alias("k"), F.col("id").alias("row"))
+    for how, n in (("inner", 25_000), ("left", 60_000), ("left_semi", 25_000)):
+        got = minhash._meet(big, small, "k", "row", how)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, big.join(small, "k", how).collect())) and got.count() == n
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert max(sent, default=0) <= 20_000
+
+
 def test_steps_are_bounded_by_bytes():
     import pyarrow as pa
 
