@@ -53,6 +53,8 @@ BLOCK, BYTES, PAIRS = 32_768, 16 << 20, 1 << 20
 #: Rows of at most three short keys that are sent to all tasks, counted before; salts beyond that. Such a
 #: table passes through the driver, which keeps it until its garbage is collected: 20,000 rows are about 3 MB.
 SENT, SALTS = 20_000, 16
+#: Planes, and bits of one, of the filter on ids: 4 MB are sent, however many ids there are.
+PLANES, PLANE = 1024, 32_768
 #: Texts and bytes of text of one step.
 TEXTS, STEP_BYTES = 1000, 8 << 20
 #: Word hashes that a task remembers.
@@ -180,6 +182,16 @@ def features(docs: DataFrame, text: str, doc_id: str, band_rows: int) -> DataFra
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, _FEATURES)
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All of the rows whose doc_id is wanted, and few others: one bit of a filter tells each id."""
+    spot = F.xxhash64("doc_id")
+    plane, bit = F.pmod(spot, F.lit(PLANES)), F.pmod(F.shiftrightunsigned(spot, 20), F.lit(PLANE))
+    bits = wanted.select(plane.alias("_plane"), bit.alias("_bit")).groupBy("_plane").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumns({"_plane": plane, "_bit": bit}).join(F.broadcast(bits), "_plane")
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(node, items): the full sets of the wanted (doc_id)s, items as bytes of sorted hashes."""
 
@@ -192,9 +204,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFra
                     yield pa.RecordBatch.from_arrays(cols, names=["node", "items"])
         _words.clear()
 
-    # The ids go to the texts while they are counted to be few; beyond that the texts are exchanged.
-    near = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).join(near, "doc_id", "left_semi")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    # The ids go to the texts while they are counted to be few; beyond that the texts that a filter leaves are exchanged.
+    few = wanted.count() <= SENT
+    rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi") if few else _likely(rows, wanted).join(wanted.hint("merge"), "doc_id", "left_semi")
     # Rows of one doc_id with different texts, and equal sets, would otherwise give a node twice.
     return rows.select("t").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"])
 

@@ -536,6 +536,17 @@ def test_minhash_joins_send_few_rows(spark, sent):
     assert max(sent, default=0) <= 20_000
 
 
+def test_minhash_sets_of_many_ids(spark, sent):
+    rows = spark.range(-40_000, 40_000).select(F.when(F.col("id") != 0, F.col("id")).alias("doc_id"), F.concat(F.lit("own "), F.abs("id")).alias("text"))
+    wanted = spark.range(-40_000, 10_000, 2).select(F.col("id").alias("doc_id")).where("doc_id <> 0")
+    got = minhash._sets(rows, wanted, "text", "doc_id").select("node").collect()
+    texts = {f"own {abs(i)}" for i in range(-40_000, 10_000, 2) if i}
+    assert sorted(bytes(r["node"]) for r in got) == sorted(minhash._digest(minhash.shingles(t)) for t in texts)
+    assert max(sent) <= 20_000
+    near = minhash._likely(rows.select("doc_id", F.col("text").alias("t")), wanted)
+    assert near.join(wanted, "doc_id").count() == wanted.count() and near.count() < 1.02 * wanted.count()
+
+
 def test_steps_are_bounded_by_bytes():
     import pyarrow as pa
 
