@@ -182,9 +182,12 @@ def features(docs: DataFrame, text: str, doc_id: str, band_rows: int) -> DataFra
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, _FEATURES)
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All of the rows whose doc_id is wanted, and few others: one bit of a filter tells each id."""
-    spot = F.xxhash64("doc_id")
+def _likely(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All of the rows whose key is wanted, and few others: one bit of a filter tells each key.
+
+    An exact join may follow, but no semi join: Spark would push it below the filter.
+    """
+    spot = F.xxhash64(key)
     plane, bit = F.pmod(spot, F.lit(PLANES)), F.pmod(F.shiftrightunsigned(spot, 20), F.lit(PLANE))
     bits = wanted.select(plane.alias("_plane"), bit.alias("_bit")).groupBy("_plane").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -207,7 +210,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFra
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     # The ids go to the texts while they are counted to be few; beyond that the texts that a filter leaves are exchanged.
     few = wanted.count() <= SENT
-    rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi") if few else _likely(rows, wanted).join(wanted.hint("merge"), "doc_id", "left_semi")
+    rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi") if few else _likely(rows, wanted).join(wanted.distinct().hint("merge"), "doc_id")
     # Rows of one doc_id with different texts, and equal sets, would otherwise give a node twice.
     return rows.select("t").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"])
 
@@ -228,6 +231,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
+    sets = _likely(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
     first = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     second = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     return pairs.join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
@@ -485,14 +489,18 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
     scratch, least, tasks = Scratch(docs.sparkSession), least_estimate(num / den), shuffle_partitions(docs.sparkSession)
     feats = scratch.keep(features(docs, text, doc_id, banding(num / den)), "features")
     usable = feats.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    named = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = usable.join(named, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    nodes = scratch.keep(nodes.select("node", "doc_id", "n", "sig", "bands"), "nodes")
+    nodes = usable.groupBy("node").agg(F.min_by(F.struct("doc_id", "n", "sig", "bands"), "doc_id").alias("first"))
+    nodes = scratch.keep(nodes.select("node", "first.*"), "nodes")
+    of_docs = scratch.keep(feats.select("doc_id", "n", "node"), "of_docs")
+    scratch.drop(feats)
+    # Most bands and nodes are alone in their buckets: only what a filter leaves is exchanged for the exact joins.
     rows = nodes.select("node", F.explode("bands").alias("bk"))
-    shared = rows.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.keep(rows.join(shared.withColumnRenamed("n", "members"), "bk"), "buckets")
-    central = buckets.groupBy("node").agg(F.sum("members").alias("central"))
-    sigs = scratch.keep(nodes.join(central, "node"), "sigs")
+    shared = scratch.keep(rows.groupBy("bk").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    buckets = scratch.keep(_likely(rows, shared, "bk").join(shared.hint("merge"), "bk"), "buckets")
+    central = scratch.keep(buckets.groupBy("node").agg(F.sum("members").alias("central")), "central")
+    sigs = scratch.keep(_likely(nodes, central, "node").join(central.hint("merge"), "node"), "sigs")
+    named = scratch.keep(nodes.select("node", "doc_id"), "names")
+    scratch.drop(nodes, shared, central)
     sets = scratch.keep(_sets(docs, scratch.keep(sigs.select("doc_id").distinct(), "wanted"), text, doc_id), "sets")
     labels = scratch.keep(sigs.select("node", F.col("node").alias("comp"), "central"), "labels")
 
@@ -524,13 +532,13 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
     if not by.isEmpty():
         met = _meet(at, by, "bk", "node").join(sigs.select("node", "n", "sig", "bands"), "node")
         cells = _cells(met, F.col("all_n"), F.col("top_n"), BLOCK, tasks).drop("all_n", "top_n")
-        near = scratch.keep(cells.mapInArrow(_with_candidates(least, num, den), "bk long, node binary").distinct(), "near")
+        found = scratch.keep(cells.mapInArrow(_with_candidates(least, num, den), "bk long, node binary").distinct(), "near")
         tops = by.select("bk", "top")
-        near = near.join(labels.select("node", "comp"), "node").join(sigs.select("node", "n", "sig", "bands"), "node")
+        near = found.join(labels.select("node", "comp"), "node").join(sigs.select("node", "n", "sig", "bands"), "node")
         near = _meet(near, tops, "bk", "node")
         mass = F.col("n") * 8
         weigh = near.groupBy("bk").agg(F.sum(mass).alias("all_bytes"), F.sum(F.when(F.col("comp") == F.col("top"), mass).otherwise(0)).alias("top_bytes"))
-        near = _meet(near, scratch.keep(weigh, "weigh"), "bk", "node").join(sets, "node")
+        near = _meet(near, scratch.keep(weigh, "weigh"), "bk", "node").join(_likely(sets, found, "node"), "node")
         cells = _cells(near, F.col("all_bytes"), F.col("top_bytes"), BYTES, tasks).drop("all_bytes", "top_bytes")
         links = scratch.keep(cells.mapInArrow(_forest(least, num, den), "u binary, v binary").distinct(), "links")
         if not links.isEmpty():
@@ -539,10 +547,9 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num:
     several = labels.join(sigs.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     several = scratch.keep(several.where("nodes > 1").drop("nodes"), "several")
     grouped = _meet(labels.select("node", "comp"), several, "comp", "node").select("node", "component_id")
-    named = nodes.select("node", "doc_id").join(grouped, "node", "left")
-    named = scratch.keep(named.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
-    scratch.drop(nodes, buckets, sigs, sets, labels)
-    out = feats.select("doc_id", "n", "node").join(named, "node", "left")
+    ids = scratch.keep(named.join(grouped, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "ids")
+    scratch.drop(named, buckets, sigs, sets, labels)
+    out = of_docs.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -547,6 +547,24 @@ def test_minhash_sets_of_many_ids(spark, sent):
     assert near.join(wanted, "doc_id").count() == wanted.count() and near.count() < 1.02 * wanted.count()
 
 
+def test_minhash_filter_comes_before_the_exchange_of_texts(spark, monkeypatch):
+    """Of many texts only those that the filter leaves meet the exact join: it stands above the filter."""
+    monkeypatch.setattr(minhash, "SENT", 0)
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id")).alias("text"))
+    wanted = spark.range(0, 2000, 500).select(F.col("id").alias("doc_id")).union(spark.range(1).select(F.lit(1500).cast("long")))
+    got = minhash._sets(rows, wanted, "text", "doc_id")
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert len(joins) == 2 and "doc_id" in joins[0] and "_plane" in joins[1]
+    assert sorted(bytes(r["node"]) for r in got.collect()) == sorted(minhash._digest(minhash.shingles(f"own {i}")) for i in range(0, 2000, 500))
+
+
+def test_minhash_likely_by_any_key(spark):
+    rows = spark.range(5000).select(F.encode(F.col("id").cast("string"), "utf-8").alias("node"), F.col("id").alias("n"))
+    wanted = rows.where("n % 100 = 7").select("node")
+    near = minhash._likely(rows, wanted, "node")
+    assert near.columns == rows.columns and near.join(wanted, "node").count() == wanted.count() == 50 and near.count() < 60
+
+
 def test_steps_are_bounded_by_bytes():
     import pyarrow as pa
 
