@@ -8,7 +8,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from sessionloom.llm import bpe, mixing
+from sessionloom.llm import bpe, minhash, mixing
 
 KINDS = {"de": "der die das und nicht schön für ist ein auf", "en": "the of and to in that with is was for", "fr": "le la les et être qui dans une est pour"}
 
@@ -123,6 +123,27 @@ def test_stages_of_odd_and_empty_tables(spark, tmp_path):
         assert Counter(r["doc_id"] for r in seen[4]) == Counter(r["doc_id"] for r in seen[3])
 
 
+def test_near_dedup_does_not_exchange_texts_for_sets(spark, tmp_path, monkeypatch):
+    """Beyond the rows that are sent, the texts of a few wanted sets do not take all texts through an exchange."""
+    monkeypatch.setattr(minhash, "SENT", 0)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.randrange(10**9):x}" for _ in range(1500)), None, None, None) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " tail", None, None, None) for i in range(5)]
+    d = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(d)
+    written = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in stages()}
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    before = set(written())
+    kept = corpus_pipeline.near_dedup(spark, spark.read.parquet(d), str(tmp_path)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(400))
+    assert sum(n for k, n in written().items() if k not in before) < 0.5 * sum(len(r[1]) for r in rows)
+
+
 def spark_lit(value):
     from pyspark.sql import functions as F
 
