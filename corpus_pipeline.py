@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.llm import bpe, content_sort, langid, minhash, mixing
-from sessionloom.llm.common import Scratch, table
+from sessionloom.llm.common import Scratch, small_batches, table
+
+#: Rows of one Arrow batch: executors carry what all stages leave behind, and a batch of 500 texts is about a megabyte.
+BATCH_ROWS = 500
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,26 +22,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The score is no calibrated probability, so none is cut by it: with many languages, short texts
     with a right label score low.
     """
+    small_batches(spark, BATCH_ROWS)
     return langid.keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the smallest doc_id stays."""
+    small_batches(spark, BATCH_ROWS)
     return content_sort.content_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of 5-word shingle sets at Jaccard 0.8 or more, the smallest doc_id stays."""
+    small_batches(spark, BATCH_ROWS)
     return minhash.near_dedup(docs, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    small_batches(spark, BATCH_ROWS)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and the digest of what they decode to."""
+    small_batches(spark, BATCH_ROWS)
     return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), decoded=True)
 
 

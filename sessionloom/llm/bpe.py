@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, steps
+from .common import remembers, small_batches, steps, tidy
 
 _BIT = [1 << i for i in range(256)]
 #: Entries of one generation of what a worker remembers.
@@ -238,6 +238,9 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+remembers("bpe", bpe.cache_clear)
+
+
 def default_ranks() -> tuple[str, str]:
     import public_tokenizers
 
@@ -275,7 +278,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     types = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded_sha256", T.StringType())] * decoded])
-    return rows.mapInArrow(run, types).toDF(*keep, *names[len(keep) :])
+    return rows.mapInArrow(tidy("bpe", run), types).toDF(*keep, *names[len(keep) :])
 
 
 def decode_ids(encoded: DataFrame, ids: str = "ids", keep: tuple = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -292,7 +295,7 @@ def decode_ids(encoded: DataFrame, ids: str = "ids", keep: tuple = ("doc_id",),
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*(f"k{i}" for i in range(part.num_columns - 1)), "decoded"])
 
     rows = encoded.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])).toDF(*keep, "decoded")
+    return rows.mapInArrow(tidy("bpe", run), T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])).toDF(*keep, "decoded")
 
 
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -314,4 +317,4 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, a, z], schema=schema)
         own.rest()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy("bpe", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

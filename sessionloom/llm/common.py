@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch.
 BATCH_ROWS = 2000
+#: How each operator lets go of what it remembers in a worker between tasks.
+_forget: dict[str, Callable[[], object]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,15 +53,15 @@ def _delete(sc: SparkContext, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from here on in this session, if it has not set fewer.
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of at most so many rows from here on in this session, if it has not set fewer.
 
     Rows hold whole texts: with the default of 10,000 rows, batches of some ten megabytes stay in
     the buffers of every executor and worker.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 class Scratch:
@@ -102,6 +105,48 @@ def clear_scratch() -> None:
 atexit.register(clear_scratch)
 
 
+def remembers(operator: str, forget: Callable[[], object]) -> None:
+    """`forget` lets go of what the operator keeps in the memory of a worker."""
+    _forget[operator] = forget
+
+
+def forget_others(operator: str) -> None:
+    for name, forget in _forget.items():
+        if name != operator:
+            forget()
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system, where the allocators can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow, in a worker that lives on between tasks and serves all operators.
+
+    What other operators remember goes before, free memory goes back after. Functions inside others
+    are sent with copies of the module's variables that they name, so they reach a worker's own
+    variables by way of functions of a module only.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def few_rows(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
+    """A frame of some rows. Sent as an Arrow table: lists of rows start Python workers of their own kind on all executors."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 def steps(batch: pa.RecordBatch, column: str, most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most so many rows and, but for a single row, bytes of the column's texts."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

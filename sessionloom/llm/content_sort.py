@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, Scratch, shuffle_partitions
+from .common import SPACE, Scratch, shuffle_partitions, tidy
 
 #: Characters of the text that take part in the splitters.
 SPLITTER_CHARS = 64
@@ -98,7 +98,7 @@ def content_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), normalised(F.col(text)).alias("norm"))
     types = T.StructType([T.StructField("id", T.LongType()), T.StructField("run", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("head", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("edge", T.BooleanType()), T.StructField("text", T.StringType())])
-    runs = scratch.keep(_sorted(rows).mapInArrow(_members, types), "runs")
+    runs = scratch.keep(_sorted(rows).mapInArrow(tidy("content_sort", _members), types), "runs")
     join = F.broadcast(_stitched(runs))  # at most two rows a range
     out = runs.where("not edge").drop("text").join(join, "run", "left")
     across = F.col("keeper_run").isNotNull()
@@ -152,6 +152,6 @@ def content_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         if cur is not None:
             yield edge()
 
-    runs = scratch.keep(ordered.mapInArrow(heads, heads_type), "heads")
+    runs = scratch.keep(ordered.mapInArrow(tidy("content_sort", heads), heads_type), "heads")
     gone = _stitched(runs).where("keeper_run <> run").select("run")
     return runs.where("not edge").join(F.broadcast(gone), "run", "left_anti").select("row.*")

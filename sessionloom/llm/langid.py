@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_rows, free_name, small_batches, steps
+from .common import few_rows, fold_rows, free_name, small_batches, steps, tidy
 
 #: Buckets of the hashed profile; training rows a language, training rows, and languages, at most.
 DIM, PER_LANG, SAMPLE, LANGS = 4096, 300, 12_000, 300
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     )
     per = max(2, min(PER_LANG, SAMPLE // len(counts)))
     admitted = [(r["l"], int(min(1.0, 1.3 * per / r["count"]) * (1 << 30)) + 1) for r in counts]
-    admitted = docs.sparkSession.createDataFrame(admitted, "l string, below long")  # a row a language
+    admitted = few_rows(docs.sparkSession, pa.schema([("l", pa.string()), ("below", pa.int64())]), admitted)  # a row a language
     picked = rows.join(F.broadcast(admitted), "l").where(F.col("h") < F.col("below")).select("t", "l", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 x = profiles(part.column("t").to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("l"), part.column("h"), pa.array([v.tobytes() for v in x], pa.binary())], names=["l", "h", "x"])
 
-    got = picked.mapInArrow(run, "l string, h long, x binary").collect()  # a bounded sample, about 1.3 * SAMPLE rows of 8 KB
+    got = picked.mapInArrow(tidy("langid", run), "l string, h long, x binary").collect()  # a bounded sample, about 1.3 * SAMPLE rows of 8 KB
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["h"], bytes(r["x"]))):
         by.setdefault(r["l"], []).append(bytes(r["x"]))
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", predicti
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("p", T.StringType()), T.StructField("s", T.DoubleType())])
-    return rows.mapInArrow(run, schema).toDF(*names, prediction, score)
+    return rows.mapInArrow(tidy("langid", run), schema).toDF(*names, prediction, score)
 
 
 def label_documents(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

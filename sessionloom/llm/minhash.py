@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, shuffle_partitions, steps
+from .common import Scratch, free_name, remembers, shuffle_partitions, steps, tidy
 
 WORDS, K, BITS = 5, 320, 2
 #: Chance to share no band at the threshold, at most; standard deviations that an estimate may be low.
@@ -94,6 +94,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(s + np.uint64(WORDS)))
 
 
+def forget_words() -> None:
+    _words.clear()
+
+
+remembers("minhash", forget_words)
+
+
 def minima(s: np.ndarray) -> np.ndarray:
     x, out = (s >> np.uint64(32)).astype(np.uint32), np.full(K, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(x), 512):
@@ -177,9 +184,9 @@ def features(docs: DataFrame, text: str, doc_id: str, band_rows: int) -> DataFra
                 longs = pa.list_(pa.int64())
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, longs), pa.array(bands, longs)]
                 yield pa.RecordBatch.from_arrays(cols, names=_FEATURES.names)
-        _words.clear()  # the worker lives on and serves other stages
+        forget_words()  # the worker lives on and serves other stages
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, _FEATURES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy("minhash", run), _FEATURES)
 
 
 def _likely(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -205,14 +212,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFra
                 if found:
                     cols = [pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["node", "items"])
-        _words.clear()
+        forget_words()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     # The ids go to the texts while they are counted to be few; beyond that the texts that a filter leaves are exchanged.
     few = wanted.count() <= SENT
     rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi") if few else _likely(rows, wanted).join(wanted.distinct().hint("merge"), "doc_id")
     # Rows of one doc_id with different texts, and equal sets, would otherwise give a node twice.
-    return rows.select("t").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"])
+    return rows.select("t").mapInArrow(tidy("minhash", run), "node binary, items binary").dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,7 +241,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     sets = _likely(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
     first = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     second = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    return pairs.join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(tidy("minhash", run), "a binary, b binary")
 
 
 def _meet(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
@@ -381,7 +388,7 @@ def _over_cells(cell, schema: list[tuple[str, pa.DataType]]):
         close()
         yield emit()
 
-    return run
+    return tidy("minhash", run)
 
 
 def _with_candidates(least: float, num: int, den: int):

@@ -23,11 +23,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, free_name
+from .common import WORD, Scratch, few_rows, free_name
 
 #: Documents that meet in one block, residuals that meet in one node of the tree.
 BLOCK, FANOUT = 20_000, 64
@@ -119,6 +120,7 @@ def _node(seed: int, level: int):
 
 
 _NODE = "key long, key2 long, ordinal long, source string, source_no long, size long, p double, node long, extra long, held boolean"
+_PLAN = pa.schema([("of", pa.string()), ("source_no", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("expected", pa.float64())])
 _NODE_NAMES = [x.split()[0] for x in _NODE.split(", ")]
 
 
@@ -142,7 +144,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     targets = shared_targets(sizes, cycled_weights(list(sizes), cycle), share * sum(sizes.values()), cap) if sizes else {}
     numbered = {s: i for i, s in enumerate(cycled_weights(list(sizes)))}
     plan = [(s, numbered[s], int(sizes[s]), float(targets[s]), min(float(cap), targets[s] / sizes[s]) if sizes[s] else 0.0) for s in sizes]
-    plan = spark.createDataFrame(plan, "of string, source_no long, source_size long, target double, expected double")
+    plan = few_rows(spark, _PLAN, plan)
     rows = rows.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("times"))))
     rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")  # a row a source
     whole = F.floor(F.col("expected") + EPS)

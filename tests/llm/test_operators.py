@@ -812,3 +812,41 @@ def test_templates_of_one_leaf_are_all_dropped(spark):
     got = {r["doc_id"]: r for r in templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i]["text"] == rows[i][1].split("\n")[1] and got[i]["lines_dropped"] == 1 for i in range(60))
     assert all(got[100 + i]["lines_dropped"] == 0 for i in range(20))
+
+
+def test_a_worker_lets_go_of_what_operators_remember(spark):
+    """After a task of near dedup or of another operator, the worker holds no word hashes and no encoder."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, words(50, i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def seen(batches):
+        import os
+
+        from sessionloom.llm import bpe, minhash
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(minhash._words)]), pa.array([bpe.bpe.cache_info().currsize])], names=["pid", "n_words", "encoders"])
+
+    def held():
+        got = spark.range(64).repartition(16).mapInArrow(seen, "pid long, n_words long, encoders long").collect()
+        return {r["pid"]: (r["n_words"], r["encoders"]) for r in got}
+
+    bpe.round_trip(docs).collect()
+    assert any(encoders for _, encoders in held().values())
+    for _ in range(12):  # each of the workers in turn
+        minhash.features(docs, "text", "doc_id", 8).collect()
+    assert held() and set(held().values()) == {(0, 0)}
+
+
+def test_few_rows_start_no_python_workers(spark):
+    import pyarrow as pa
+
+    from sessionloom.llm.common import few_rows
+
+    schema = pa.schema([("of", pa.string()), ("n", pa.int64()), ("x", pa.float64())])
+    for rows in ([("b", 2, 0.5), (None, 1, 1.5)], []):
+        df = few_rows(spark, schema, rows)
+        assert df.dtypes == [("of", "string"), ("n", "bigint"), ("x", "double")]
+        assert [tuple(r) for r in df.collect()] == rows
+        assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
